@@ -1,0 +1,232 @@
+"""Numeric helpers for one batch of series inside a task: correlograms, AR by least squares, ARMA by CSS."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+LOG_2PI = float(np.log(2 * np.pi))
+
+
+def autocorrelation(y: np.ndarray, max_lag: int) -> np.ndarray:
+    d = y - y.mean()
+    total = d @ d
+    if total <= 0:
+        return np.full(max_lag, np.nan)
+    return np.array([d[k:] @ d[:-k] / total if k < len(d) else np.nan for k in range(1, max_lag + 1)])
+
+
+def partial_autocorrelation(rho) -> np.ndarray:
+    """Durbin-Levinson recursion on autocorrelations of lag 1, 2, ..."""
+    r = np.array([np.nan if v is None else v for v in rho], dtype=float)
+    out = np.full(len(r), np.nan)
+    phi = np.zeros(0)
+    for k in range(len(r)):
+        below = 1.0 - phi @ r[:k]
+        a = (r[k] - phi @ r[:k][::-1]) / below if below else np.nan
+        phi = np.append(phi - a * phi[::-1], a)
+        out[k] = a
+    return out
+
+
+def short_lag(row, max_lag: int, partial: bool) -> int:
+    y = np.asarray(row, dtype=float)
+    if len(y) < max_lag + 10:
+        return 1
+    r = autocorrelation(y, max_lag)
+    if np.isnan(r).any():
+        return 1
+    r = partial_autocorrelation(r) if partial else r
+    inside = np.flatnonzero(np.abs(r) < 1.96 / np.sqrt(len(y)))
+    return max(1, int(inside[0])) if len(inside) else max_lag
+
+
+def ar_path(row, horizon: int, lags: int | None, max_lags: int, min_obs: int):
+    """(order, forecast path, aic, status) of a least-squares AR with constant."""
+    y = np.asarray(row, dtype=float)
+    n = len(y)
+    if n < min_obs:
+        return None, [None] * horizon, None, "short"
+    p = lags or short_lag(y, max_lags, partial=True)
+    p = max(1, min(p, n // 3))
+    design = np.column_stack([np.ones(n - p)] + [y[p - k : n - k] for k in range(1, p + 1)])
+    try:
+        coef, _, rank, _ = np.linalg.lstsq(design, y[p:], rcond=None)
+    except np.linalg.LinAlgError:
+        return None, [None] * horizon, None, "failed"
+    rss = float(np.sum((y[p:] - design @ coef) ** 2))
+    m = n - p
+    aic = m * (np.log(rss / m) + LOG_2PI + 1) + 2 * (p + 2) if rss > 0 else None
+    path = list(y[-p:])
+    for _ in range(horizon):
+        path.append(coef[0] + sum(coef[k] * path[-k] for k in range(1, p + 1)))
+    out = np.array(path[p:])
+    return str(p), out.tolist(), aic, "ok" if np.isfinite(out).all() else "failed"
+
+
+def _roots_outside(coef: np.ndarray) -> np.ndarray:
+    """Whether 1 - c1 z - c2 z^2 ... has all roots outside the unit circle, per row."""
+    b, m = coef.shape
+    if m == 0:
+        return np.ones(b, dtype=bool)
+    companion = np.zeros((b, m, m))
+    companion[:, 0, :] = coef
+    companion[:, np.arange(1, m), np.arange(m - 1)] = 1.0
+    finite = np.isfinite(coef).all(axis=1)
+    companion[~finite] = 0.0
+    return finite & (np.abs(np.linalg.eigvals(companion)).max(axis=1) < 0.999)
+
+
+def _residuals(z_raw, mask, theta, p, q, mean, slopes):
+    """Innovations of each row and, if asked, their derivatives by (mean, ar, ma); presample values are 0."""
+    b, n = z_raw.shape
+    mu = theta[:, :1] if mean else 0.0
+    ar, ma = theta[:, mean : mean + p], theta[:, mean + p :]
+    z = (z_raw - mu) * mask
+    e = np.zeros((b, n))
+    jac = np.zeros((b, n, theta.shape[1])) if slopes else None
+    for t in range(n):
+        e_t = z[:, t].copy()
+        for i in range(1, min(p, t) + 1):
+            e_t -= ar[:, i - 1] * z[:, t - i]
+        for j in range(1, min(q, t) + 1):
+            e_t -= ma[:, j - 1] * e[:, t - j]
+        e[:, t] = e_t * mask[:, t]
+        if slopes:
+            g = np.zeros((b, theta.shape[1]))
+            if mean:
+                g[:, 0] = -1.0 + ar[:, : min(p, t)].sum(axis=1)
+            for i in range(1, min(p, t) + 1):
+                g[:, mean + i - 1] = -z[:, t - i]
+            for j in range(1, min(q, t) + 1):
+                g[:, mean + p + j - 1] = -e[:, t - j]
+            for j in range(1, min(q, t) + 1):
+                g -= ma[:, j - 1 : j] * jac[:, t - j]
+            jac[:, t] = g * mask[:, t : t + 1]
+    return z, e, jac
+
+
+def _start(z_raw, mask, p, q, mean):
+    """Starting values: mean, and a regression on lagged values and lagged long-AR residuals."""
+    b, n = z_raw.shape
+    count = mask.sum(axis=1)
+    mu = (z_raw * mask).sum(axis=1) / count
+    z = (z_raw - mu[:, None] * mean) * mask
+    theta = np.zeros((b, mean + p + q))
+    if mean:
+        theta[:, 0] = mu
+    e = z
+    if q:
+        m = max(p, q) + 3
+        e = z - _regress(z, [_lagged(z, k) for k in range(1, m + 1)], mask)[1]
+        e *= mask
+    columns = [_lagged(z, k) for k in range(1, p + 1)] + [_lagged(e, k) for k in range(1, q + 1)]
+    if columns:
+        theta[:, mean:] = _regress(z, columns, mask)[0]
+    return theta
+
+
+def _lagged(a, k):
+    out = np.zeros_like(a)
+    out[:, k:] = a[:, :-k]
+    return out
+
+
+def _regress(y, columns, mask):
+    x = np.stack(columns, axis=2) * mask[:, :, None]
+    gram = np.einsum("btm,btk->bmk", x, x)
+    gram += np.eye(gram.shape[1]) * (1e-8 * (1 + np.trace(gram, axis1=1, axis2=2)))[:, None, None]
+    coef = np.linalg.solve(gram, np.einsum("btm,bt->bm", x, y)[:, :, None])[:, :, 0]
+    return coef, np.einsum("btm,bm->bt", x, coef)
+
+
+def _shrink(theta, p, q, mean):
+    """Pull starting values into the stationary and invertible region."""
+    for lo, size, sign in ((mean, p, 1.0), (mean + p, q, -1.0)):
+        for _ in range(12):
+            bad = ~_roots_outside(sign * theta[:, lo : lo + size])
+            if not bad.any():
+                break
+            theta[bad, lo : lo + size] = np.nan_to_num(theta[bad, lo : lo + size]) * 0.6
+    return theta
+
+
+def _admissible(theta, p, q, mean):
+    return _roots_outside(theta[:, mean : mean + p]) & _roots_outside(-theta[:, mean + p :])
+
+
+def css_group(rows: list[np.ndarray], p: int, d: int, q: int, horizon: int, iterations: int = 40):
+    """Fit ARIMA(p, d, q) to all rows at once by damped Gauss-Newton steps; a mean is fitted when d is 0."""
+    mean = 1 if d == 0 else 0
+    diffed = [np.diff(y, n=d) if d else y for y in rows]
+    b, n = len(rows), max(len(y) for y in diffed)
+    z_raw, mask = np.zeros((b, n)), np.zeros((b, n))
+    for i, y in enumerate(diffed):
+        z_raw[i, : len(y)], mask[i, : len(y)] = y, 1.0
+    scale = np.maximum(np.sqrt(((z_raw**2) * mask).sum(axis=1) / mask.sum(axis=1)), 1e-300)
+    z_raw = z_raw / scale[:, None]
+    theta = _shrink(_start(z_raw, mask, p, q, mean), p, q, mean)
+    m = theta.shape[1]
+    damping = np.full(b, 1e-3)
+    z, e, jac = _residuals(z_raw, mask, theta, p, q, mean, True)
+    sse = (e**2).sum(axis=1)
+    for _ in range(iterations if m else 0):
+        hess = np.einsum("btm,btk->bmk", jac, jac)
+        diag = np.einsum("bmm->bm", hess)
+        lhs = hess + np.eye(m) * (damping[:, None] * (diag + 1e-10))[:, None, :] + np.eye(m) * 1e-12
+        step = np.linalg.solve(lhs, np.einsum("btm,bt->bm", jac, e)[:, :, None])[:, :, 0]
+        trial = theta - step
+        fine = _admissible(trial, p, q, mean)
+        trial[~fine] = theta[~fine]
+        z_t, e_t, jac_t = _residuals(z_raw, mask, trial, p, q, mean, True)
+        sse_t = (e_t**2).sum(axis=1)
+        better = fine & (sse_t < sse)
+        gain = np.where(better, (sse - sse_t) / np.maximum(sse, 1e-300), 0.0)
+        theta[better], z[better], e[better], jac[better], sse[better] = (
+            trial[better], z_t[better], e_t[better], jac_t[better], sse_t[better],
+        )
+        damping = np.clip(np.where(better, damping / 4, damping * 4), 1e-10, 1e10)
+        if not better.any() and damping.min() > 1e6 or (better.any() and gain.max() < 1e-10):
+            break
+    out = []
+    mu = theta[:, 0] if mean else np.zeros(b)
+    ar, ma = theta[:, mean : mean + p], theta[:, mean + p :]
+    for i, y in enumerate(diffed):
+        size = len(y)
+        hist_z, hist_e = list(z[i, :size]), list(e[i, :size])
+        path = []
+        for _ in range(horizon):
+            v = sum(ar[i, k - 1] * hist_z[-k] for k in range(1, p + 1) if k <= len(hist_z))
+            v += sum(ma[i, k - 1] * hist_e[-k] for k in range(1, q + 1) if k <= len(hist_e))
+            hist_z.append(v)
+            hist_e.append(0.0)
+            path.append((v + mu[i]) * scale[i])
+        values = np.array(path)
+        tail = rows[i]
+        for level in range(d, 0, -1):
+            base = np.diff(tail, n=level - 1)[-1]
+            values = base + np.cumsum(values)
+        variance = sse[i] * scale[i] ** 2 / size
+        aic = size * (np.log(variance) + LOG_2PI + 1) + 2 * (m + 1) if variance > 0 else np.nan
+        ok = np.isfinite(values).all() and np.isfinite(aic)
+        out.append((f"{p},{d},{q}", values.tolist() if ok else None, float(aic) if ok else None, "ok" if ok else "failed"))
+    return out
+
+
+def css_paths(rows, p, d, q, horizon: int) -> pd.DataFrame:
+    """Fit every row with its own order; rows of equal order are fitted together."""
+    series = [np.asarray(r, dtype=float) for r in rows]
+    result: list = [(None, None, None, "failed")] * len(series)
+    orders: dict[tuple[int, int, int], list[int]] = {}
+    for i, key in enumerate(zip(p, d, q)):
+        key = tuple(int(v) for v in key)
+        if len(series[i]) > sum(key) + 3:
+            orders.setdefault(key, []).append(i)
+    for key, members in orders.items():
+        try:
+            fits = css_group([series[i] for i in members], *key, horizon)
+        except np.linalg.LinAlgError:
+            continue
+        for i, fit in zip(members, fits):
+            result[i] = fit
+    return pd.DataFrame(result, columns=["order", "path", "aic", "status"])
