@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tidepanel.functions.arima import ar_path, css_paths, partial_autocorrelation, short_lag
 from tidepanel.functions.dates import future_month_start
@@ -29,7 +30,7 @@ def autocorrelation(panel: DataFrame, x: str = "x", max_lag: int = 12) -> DataFr
     One window pass and one aggregate per series: no row is paired with another by a join.
     """
     w = by_time()
-    whole = by_time().rowsBetween(-(2**63), 2**63 - 1)
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = panel.filter(F.col(x).isNotNull()).withColumn("_d", F.col(x) - F.avg(x).over(whole))
     ahead = seen.withColumns({f"_d{k}": F.lead("_d", k).over(w) for k in range(1, max_lag + 1)})
     sums = ahead.groupBy(*KEYS).agg(
@@ -43,7 +44,7 @@ def autocorrelation(panel: DataFrame, x: str = "x", max_lag: int = 12) -> DataFr
     return sums.select(*KEYS, "n", F.inline(lags))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _pacf(acf: pd.Series) -> pd.Series:
     return pd.Series([None if row is None else partial_autocorrelation(row) for row in acf])
 
