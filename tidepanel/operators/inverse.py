@@ -12,22 +12,32 @@ RECENT = 12  # rows that define the recent trend of a series
 BLEND = 0.7  # weight of the forecast against that trend
 
 
+def with_previous_level(panel: DataFrame, value: str = "value") -> DataFrame:
+    """Attach the observed level before each row as ``_level_before``."""
+    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
+    return panel.withColumn("_level_before", F.last(value, ignorenulls=True).over(before))
+
+
+def anchor_aggregates(value: str = "value") -> list[Column]:
+    """Aggregates over ``with_previous_level`` rows for the last and last-but-one observed level."""
+    at = F.when(F.col(value).isNotNull(), F.col("t"))
+    return [F.max_by(value, at).alias("last"), F.max_by("_level_before", at).alias("prev")]
+
+
 def anchors(levels: DataFrame, value: str = "value") -> DataFrame:
     """Last and last-but-one observed level of each series."""
-    observed = levels.filter(F.col(value).isNotNull())
-    paired = observed.withColumn("_prev", F.lag(value).over(by_time()))
-    newest = F.max_by(F.struct(F.col(value).alias("last"), F.col("_prev").alias("prev")), "t").alias("_a")
-    return paired.groupBy(*KEYS).agg(newest).select(*KEYS, "_a.last", "_a.prev")
+    return with_previous_level(levels, value).groupBy(*KEYS).agg(*anchor_aggregates(value))
 
 
 def to_levels(
-    forecast: DataFrame, anchor: DataFrame, f: str = "f", out: str = "value", guard: str = "null", path: tuple[str, ...] = ()
+    forecast: DataFrame, anchor: DataFrame | None = None, f: str = "f", out: str = "value", guard: str = "null", path: tuple[str, ...] = ()
 ) -> DataFrame:
     """Invert forecasts ``(series, h, f, tcode)`` step by step through running sums and products.
 
     A NULL step stays NULL and the path goes on from where it was. With ``guard='null'`` an anchor that
     cannot be used (absent, non-positive under a log, zero under code 7) gives NULL; ``'repeat'`` gives
-    the last level. ``path`` names further columns that tell forecast paths apart.
+    the last level. ``path`` names further columns that tell forecast paths apart. Without ``anchor`` the
+    forecast rows carry ``last`` and ``prev`` themselves.
     """
     steps = (
         Window.partitionBy(*KEYS, *path).orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -36,7 +46,8 @@ def to_levels(
     if guard == "repeat":
         prev = F.coalesce(prev, last)
     given = val.isNotNull()
-    joined = forecast.join(anchor, KEYS, "left").withColumns({"_c1": F.sum(f).over(steps), "_n": F.count(f).over(steps)})
+    anchored = forecast if anchor is None else forecast.join(anchor, KEYS, "left")
+    joined = anchored.withColumns({"_c1": F.sum(f).over(steps), "_n": F.count(f).over(steps)})
     growth = F.try_divide(last - prev, prev)
     joined = joined.withColumns({
         "_c2": F.sum(F.when(given, F.col("_c1"))).over(steps),

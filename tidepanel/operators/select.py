@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.panel import KEYS, panel_length
+from tidepanel.panel import KEYS
 
 # The eight series groups and their names.
 GROUP_NAMES = {
@@ -129,10 +129,16 @@ def split_holdout(panel: DataFrame, holdout: int) -> DataFrame:
     """Mark the last ``holdout`` periods of each panel; a panel that is not longer is an error."""
     if holdout < 1:
         raise ValueError("holdout must be at least 1")
-    size = panel_length(panel)
-    short = F.raise_error(F.format_string(f"%d periods cannot spare {holdout}", F.col("n_periods")))
-    train = F.when(F.col("n_periods") > holdout, F.col("t") <= F.col("n_periods") - holdout).otherwise(short.cast("boolean"))
-    return panel.join(size, "panel_id").withColumn("is_train", train).drop("n_periods")
+    n = F.col("n_periods")
+    short = F.raise_error(F.format_string(f"%d periods cannot spare {holdout}", n))
+    return panel.withColumn("is_train", F.when(n > holdout, F.col("t") <= n - holdout).otherwise(short.cast("boolean")))
+
+
+def history_and_holdout(panel: DataFrame, holdout: int) -> tuple[DataFrame, DataFrame]:
+    """The two parts; the history's calendar ends where the holdout begins."""
+    marked = split_holdout(panel, holdout)
+    history = marked.filter("is_train").drop("is_train").withColumn("n_periods", F.col("n_periods") - holdout)
+    return history, marked.filter(~F.col("is_train")).drop("is_train")
 
 
 def usable_by_count(panel: DataFrame, x: str = "x", min_obs: int = 100) -> DataFrame:

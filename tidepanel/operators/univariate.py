@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidepanel.functions.arima import ar_path, css_paths, partial_autocorrelation, short_lag
 from tidepanel.functions.dates import future_month_start
-from tidepanel.operators.inverse import anchors, level_path, to_levels
+from tidepanel.operators.inverse import anchor_aggregates, level_path, to_levels, with_previous_level
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
 
@@ -67,15 +67,21 @@ def choose_order(correlogram: DataFrame, max_lag: int = 12) -> DataFrame:
     return correlogram.groupBy(*KEYS, "n").agg(first.alias("_first")).select(*KEYS, "n", order.cast("int").alias("order"))
 
 
-def ar1_fit(panel: DataFrame, x: str = "x", min_obs: int = MIN_OBS["ar"]) -> DataFrame:
-    """Intercept and slope of each value on the one before it, by built-in regression aggregates."""
-    seen = panel.filter(F.col(x).isNotNull()).withColumn("_before", F.lag(x).over(by_time()))
-    fit = seen.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
+def ar1_fit(panel: DataFrame, x: str = "x", value: str = "value", min_obs: int = MIN_OBS["ar"]) -> DataFrame:
+    """Regress each observed value on the one before it; keep what a forecast needs (anchors, code, last date).
+
+    Built-in regression aggregates over one window pass; everything stays with the series, nothing is joined.
+    """
+    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_previous_level(panel, value).withColumn("_before", F.last(x, ignorenulls=True).over(before))
+    fit = rows.groupBy(*KEYS).agg(
+        F.count(x).alias("n"),
         F.regr_intercept(x, "_before").alias("c"),
         F.regr_slope(x, "_before").alias("phi"),
-        F.max_by(x, "t").alias("x_last"),
-        *([F.max("tcode").alias("tcode")] if "tcode" in panel.columns else []),
+        F.max_by(x, F.when(F.col(x).isNotNull(), F.col("t"))).alias("x_last"),
+        *anchor_aggregates(value),
+        F.max("tcode").alias("tcode"),
+        F.max("ds").alias("last_ds"),
     )
     return fit.withColumns({c: F.when(F.col("n") >= min_obs, F.col(c)) for c in ("c", "phi")})
 
@@ -87,30 +93,23 @@ def ar1_path(fit: DataFrame, horizon: int) -> DataFrame:
     drift = F.when(F.col("phi") == 1, F.col("c") * F.col("h")).otherwise(
         F.col("c") * F.try_divide(1 - power, 1 - F.col("phi"))
     )
-    kept = ["tcode"] if "tcode" in fit.columns else []
-    return steps.select(*KEYS, *kept, "h", (drift + power * F.col("x_last")).alias("f"))
-
-
-def dated(forecast: DataFrame, panel: DataFrame) -> DataFrame:
-    """Date the steps by the months after the panel's last row."""
-    last = panel.groupBy("panel_id").agg(F.max("ds").alias("_last"))
-    return forecast.join(last, "panel_id").withColumn("ds", future_month_start(F.col("_last"), F.col("h"))).drop("_last")
+    return steps.withColumn("f", drift + power * F.col("x_last"))
 
 
 def ar1_forecast(panel: DataFrame, horizon: int) -> DataFrame:
-    """AR(1) on the transformed series, inverted to levels: built-in operators from end to end."""
-    path = ar1_path(ar1_fit(stationary(panel)), horizon)
-    return dated(to_levels(path, anchors(panel)), panel)
+    """AR(1) on the transformed series, inverted to levels: built-in operators and one shuffle by series."""
+    steps = ar1_path(ar1_fit(stationary(panel)), horizon)
+    ds = future_month_start(F.col("last_ds"), F.col("h"))
+    kept = steps.select(*KEYS, "tcode", "h", ds.alias("ds"), "f", "last", "prev")
+    return to_levels(kept).select(*KEYS, "tcode", "h", "ds", "f", "value")
 
 
 def naive(panel: DataFrame, horizon: int, rule: str = "last", x: str = "value") -> DataFrame:
     """The last observation, or the mean, at every step."""
-    seen = panel.filter(F.col(x).isNotNull())
-    value = F.max_by(x, "t") if rule == "last" else F.avg(x)
-    return (
-        seen.groupBy(*KEYS).agg(value.alias("f"))
-        .select(*KEYS, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "f")
-    )
+    value = F.max_by(x, F.when(F.col(x).isNotNull(), F.col("t"))) if rule == "last" else F.avg(x)
+    base = panel.groupBy(*KEYS).agg(value.alias("f"), F.max("ds").alias("_last")).filter("f is not null")
+    steps = base.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return steps.select(*KEYS, "h", future_month_start(F.col("_last"), F.col("h")).alias("ds"), "f")
 
 
 def pack(panel: DataFrame, x: str = "x", value: str = "value") -> DataFrame:

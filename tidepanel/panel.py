@@ -60,7 +60,7 @@ def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
 
     Each observed row emits itself plus the empty periods up to the next one, so no calendar table is
     multiplied with the series list. Only the first row of a series needs the panel's start and only
-    the last one its end.
+    the last one its end. ``n_periods`` keeps the length of the calendar at hand on every row.
     """
     step = F.expr(STEP[freq])
     bounds = cells.groupBy("panel_id").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
@@ -78,12 +78,13 @@ def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
             ),
         )
     )
-    grid = spans.select(*KEYS, "lo", "ds", "value", F.explode("periods").alias("period"))
+    grid = spans.select(*KEYS, "lo", "hi", "ds", "value", F.explode("periods").alias("period"))
     return grid.select(
         *KEYS,
         F.col("period").alias("ds"),
         period_index(F.col("lo"), F.col("period"), freq).alias("t"),
         F.when(F.col("period") == F.col("ds"), F.col("value")).alias("value"),
+        period_index(F.col("lo"), F.col("hi"), freq).alias("n_periods"),
     )
 
 
@@ -100,4 +101,4 @@ def with_meta(panel: DataFrame, meta: DataFrame, default_code: int | None = 1) -
 
 def panel_length(panel: DataFrame) -> DataFrame:
     """Number of calendar periods of each panel."""
-    return panel.groupBy("panel_id").agg(F.max("t").alias("n_periods"))
+    return panel.groupBy("panel_id").agg(F.max("n_periods").alias("n_periods"))

@@ -24,7 +24,7 @@ def forecast_and_truth(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def naive_forecast_table(history: DataFrame) -> DataFrame:
-    return univariate.dated(univariate.naive(history, HORIZON), history).select(*KEYS, "h", "ds", F.col("f").alias("value"))
+    return univariate.naive(history, HORIZON).withColumnRenamed("f", "value")
 
 
 def supplier_x(spark, d) -> DataFrame:

@@ -32,8 +32,7 @@ def coded_nation(spark, d) -> DataFrame:
 
 def split_nation(spark, d) -> tuple[DataFrame, DataFrame]:
     """History and held-out last year of ``nation_month``."""
-    marked = select.split_holdout(coded_nation(spark, d), HORIZON)
-    return marked.filter("is_train").drop("is_train"), marked.filter(~F.col("is_train")).drop("is_train")
+    return select.history_and_holdout(coded_nation(spark, d), HORIZON)
 
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
@@ -287,7 +286,7 @@ def restored_columns(spark, d):
     from tidepanel.operators.univariate import naive
 
     history, _ = split_nation(spark, d)
-    fc = naive(history.filter("tcode <> 4"), HORIZON)
+    fc = naive(history.filter("tcode <> 4"), HORIZON).drop("ds")
     steps = panel_length(history).select("panel_id", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("h"))
     whole = select.restore_columns(fc, T.nation_meta(spark, d), steps)
     return whole.select("series", "pos", "h", rounded(F.col("f"), 1).alias("value"))
@@ -376,11 +375,9 @@ ROUND_TRIP = (
 
 def _held_out_steps(spark, d) -> tuple[DataFrame, DataFrame]:
     """The true transformed values of the last year as a forecast, and the anchors before it."""
-    x = select.split_holdout(transform.stationary(coded_nation(spark, d)), HORIZON)
-    size = panel_length(x)
-    steps = x.filter(~F.col("is_train")).join(size, "panel_id")
-    steps = steps.select(*KEYS, "tcode", (F.col("t") - F.col("n_periods") + HORIZON).alias("h"), F.col("x").alias("f"))
-    return steps, inverse.anchors(x.filter("is_train"))
+    history, late = select.history_and_holdout(transform.stationary(coded_nation(spark, d)), HORIZON)
+    steps = late.select(*KEYS, "tcode", (F.col("t") - F.col("n_periods") + HORIZON).alias("h"), F.col("x").alias("f"))
+    return steps, inverse.anchors(history)
 
 
 @register("anchors", query("SELECT series, round(last, 2) AS last, round(prev, 2) AS prev FROM (" + anchors_sql("sm") + ")"))
