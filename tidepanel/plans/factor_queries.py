@@ -24,7 +24,7 @@ def coded_supplier(spark, d) -> DataFrame:
 
 
 ZC = ("zc", """SELECT series, t, coalesce((x - avg(x) OVER w) / CASE WHEN stddev_samp(x) OVER w > 0 THEN stddev_samp(x) OVER w ELSE 1 END, 0) AS z
-    FROM nmx QUALIFY count(x) OVER w >= 60 WINDOW w AS (PARTITION BY series)""")
+    FROM nmx WINDOW w AS (PARTITION BY series) QUALIFY count(x) OVER w >= 60""")
 
 
 @register("gram_matrix", query("SELECT CAST(a.t - 1 AS INT) AS i, CAST(b.t - 1 AS INT) AS j, round(sum(a.z * b.z), 6) + 0.0 AS g FROM zc a JOIN zc b ON a.series = b.series AND a.t <= b.t GROUP BY ALL HAVING sum(a.z * b.z) <> 0", ZC))
@@ -197,13 +197,13 @@ def trend12(spark, d):
 
 @register(
     "vol_blend",
-    query("""SELECT series, round(base, 6) AS base, round(least(greatest(recent, 0.1 * base), 10 * base), 6) AS vol FROM (
+    query("""SELECT series, round(base, 1) AS base, round(least(greatest(recent, 0.1 * base), 10 * base), 1) AS vol FROM (
         SELECT series, 0.5 * any_value(s2) + 0.5 * var_samp(d) AS base, var_samp(d) AS recent FROM (
             SELECT series, t, value - lag(value) OVER (PARTITION BY series ORDER BY t) AS d, var_samp(value) OVER (PARTITION BY series) AS s2 FROM sm) WHERE t > (SELECT max(t) FROM sm) - 11 GROUP BY series)"""),
 )
 def vol_blend(spark, d):
     out = predictive.blended_variance(T.supplier_month(spark, d), lookback=12)
-    return out.select("series", rounded(F.col("base"), 6).alias("base"), rounded(F.col("vol"), 6).alias("vol"))
+    return out.select("series", rounded(F.col("base"), 1).alias("base"), rounded(F.col("vol"), 1).alias("vol"))
 
 
 @register("predictive_draws")
