@@ -21,10 +21,12 @@ from tidepanel.functions.dates import future_month_start
 from tidepanel.functions.panelmath import as_block, last_two, level_rows, stream
 from tidepanel.operators import factor
 from tidepanel.operators.inverse import level_path
+from tidepanel.operators.simulate import LOOKBACK, regime_paths
 from tidepanel.panel import KEYS
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, spread
 
 MAX_CELLS = 2_000_000  # panel cells that one task may hold (16 MB of doubles)
+DRAWS_PER_TABLE = 25  # draws of the distributed sampler that are stored together
 
 ROW = "panel_id string, series string, tcode int, first_ds date, n_levels int, z array<double>, mu double, sd double, last double, prev double"
 STATE = ROW + ", chain int, lam array<double>, psi double, theta array<double>"
@@ -55,14 +57,13 @@ def standardized(packed: DataFrame, spec: factor.FactorSpec) -> DataFrame:
     return packed.mapInPandas(_standardize(spec), ROW)
 
 
-def split_by_size(rows: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame | None]:
-    """(panels that fit into a task, larger panels or None). Counts cells per panel once."""
-    sizes = rows.groupBy("panel_id").agg(F.sum(F.size("z").cast("long")).alias("_cells"))
-    large = sizes.filter(F.col("_cells") > max_cells)
+def split_by_size(packed: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame | None]:
+    """(panels that fit into a task, larger panels or None). Counts the cells per panel once."""
+    sizes = packed.groupBy("panel_id").agg(F.sum(F.size("v").cast("long")).alias("_cells"))
+    large = sizes.filter(F.col("_cells") > max_cells).select("panel_id")
     if large.limit(1).count() == 0:
-        return rows, None
-    names = large.select("panel_id")
-    return rows.join(names, "panel_id", "left_anti"), rows.join(names, "panel_id", "left_semi")
+        return packed, None
+    return packed.join(large, "panel_id", "left_anti"), packed.join(large, "panel_id", "left_semi")
 
 
 # ------------------------------------------------------------- one iteration, distributed
@@ -189,6 +190,10 @@ def _start(rows: DataFrame, models: DataFrame, kind: str, order: int, chains: in
     return chained.mapInPandas(run, STATE)
 
 
+def _started(packed: DataFrame, spec: factor.FactorSpec, kind: str, chains: int = 1) -> DataFrame:
+    return _start(standardized(packed, spec), factor.window_models(packed, spec), kind, spec.order, chains)
+
+
 # ------------------------------------------------------------- expectation-maximisation
 
 
@@ -227,19 +232,18 @@ def _em_path(horizon: int):
 
 
 def fit_dfm(packed: DataFrame, spec: factor.FactorSpec, iterations: int = 50, max_cells: int = MAX_CELLS) -> DataFrame:
-    """State-space dynamic factor model by EM; returns the fitted state, one row per series.
+    """State-space dynamic factor model by EM; returns the fitted state, one row per series, checkpointed.
 
     Factors follow a VAR of ``spec.order``; errors are independent over series and time.
     """
     if spec.prepare != "pca":
         raise ValueError("the state-space model keeps missing cells: use prepare='pca'")
-    rows = standardized(packed, spec)
-    start = _start(rows, factor.window_models(packed, spec), "em", spec.order, 1)
-    small, large = split_by_size(start, max_cells)
-    fitted = small.groupBy("panel_id", "chain").applyInPandas(_em_in_task(iterations), STATE)
+    small, large = split_by_size(packed, max_cells)
+    start = spread(_started(small, spec, "em"), "panel_id", "chain")
+    fitted = cut_lineage(start.groupBy("panel_id", "chain").applyInPandas(_em_in_task(iterations), STATE))
     if large is None:
         return fitted
-    state = cut_lineage(large)
+    state = cut_lineage(_started(large, spec, "em"))
     for it in range(iterations):
         step = _information(state).groupBy("panel_id", "chain").applyInPandas(_em_step, STEP)
         state = cut_lineage(_advance(state, step, "em", 0, it))
@@ -327,24 +331,26 @@ def _large_draws(state: DataFrame, step: DataFrame, draw: int) -> DataFrame:
 def gibbs(
     packed: DataFrame, spec: factor.FactorSpec, n_samples: int = 1000, n_tune: int = 500, chains: int = 1, seed: int = 0, max_cells: int = MAX_CELLS
 ) -> DataFrame:
-    """Posterior draws ``(panel_id, chain, draw, param, series, i, k, value)`` of the Bayesian factor model.
+    """Posterior draws ``(panel_id, chain, draw, param, series, i, k, value)`` of the Bayesian factor model, checkpointed.
 
     Factors are AR(1) and drawn by forward filtering and backward sampling; loadings have a standard normal prior,
     series variances an inverse gamma (3, 2), innovation variances an inverse gamma (3, 1).
     """
-    rows = standardized(packed, spec)
-    start = _start(rows, factor.window_models(packed, spec), "gibbs", spec.order, chains)
-    small, large = split_by_size(start, max_cells * chains)
-    draws = small.groupBy("panel_id", "chain").applyInPandas(_gibbs_in_task(n_samples, n_tune, seed), DRAWS)
+    small, large = split_by_size(packed, max_cells)
+    start = spread(_started(small, spec, "gibbs", chains), "panel_id", "chain")
+    draws = cut_lineage(start.groupBy("panel_id", "chain").applyInPandas(_gibbs_in_task(n_samples, n_tune, seed), DRAWS))
     if large is None:
         return draws
-    state, kept = cut_lineage(large), []
+    state, kept, stored = cut_lineage(_started(large, spec, "gibbs", chains)), [], [draws]
     for it in range(n_tune + n_samples):
         step = cut_lineage(_information(state).groupBy("panel_id", "chain").applyInPandas(_gibbs_step(seed, it), STEP))
         state = cut_lineage(_advance(state, step, "gibbs", seed, it))
         if it >= n_tune:
             kept.append(_large_draws(state, step, it - n_tune))
-    return reduce(DataFrame.unionByName, kept, draws)
+        if len(kept) == DRAWS_PER_TABLE or it == n_tune + n_samples - 1:
+            stored.append(cut_lineage(reduce(DataFrame.unionByName, kept)))
+            kept = []
+    return reduce(DataFrame.unionByName, stored)
 
 
 def posterior_means(draws: DataFrame) -> DataFrame:
@@ -399,7 +405,25 @@ def _panel_paths(sims: int, horizon: int, seed: int, step: int):
     return run
 
 
-def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool):
+def _regime_panel(sims: int, horizon: int, seed: int, step: int):
+    """Factor values from the rich posterior dynamics: every simulation runs on from its own joint draw."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        panel = part["panel_id"].iloc[0]
+        wide = {}
+        for param in ("F", "Phi", "Sigma2"):
+            rows = part[part["param"] == param].sort_values(["chain", "draw", "i", "k"])
+            k = int(rows["k"].max()) + 1
+            n = len(rows[["chain", "draw"]].drop_duplicates())
+            wide[param] = rows["value"].to_numpy().reshape(n, -1, k)
+        pick = stream(seed, panel, "pick", step).integers(len(wide["Phi"]), size=sims)
+        out = regime_paths(stream(seed, panel, "path", step), wide["F"][pick], wide["Phi"][pick, 0], wide["Sigma2"][pick, 0], pick + 1, horizon)
+        return pd.DataFrame({"panel_id": [panel], "paths": [out.ravel().tolist()]})
+
+    return run
+
+
+def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool, rich: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for panel, part in batch.groupby("panel_id"):
@@ -409,8 +433,12 @@ def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool):
                 for row in part.itertuples():
                     lam, psi = np.asarray(row.lam_draws, dtype=float).reshape(-1, k), np.asarray(row.psi_draws, dtype=float)
                     pick = stream(seed, panel, "pick", step).integers(len(psi), size=sims)
-                    noise = stream(seed, panel, row.series, step).standard_normal((sims, horizon))
-                    std = np.einsum("sk,shk->sh", lam[pick], paths) + np.sqrt(psi[pick])[:, None] * noise
+                    rng = stream(seed, panel, row.series, step)
+                    shock = rng.standard_normal((sims, horizon))
+                    if rich:
+                        growing = np.sqrt(1 + 0.3 * np.arange(1, horizon + 1) / horizon)
+                        shock = shock * np.where(rng.random((sims, horizon)) < 0.05, 2.0, growing)
+                    std = np.einsum("sk,shk->sh", lam[pick], paths) + np.sqrt(psi[pick])[:, None] * shock
                     level = level_rows((std * row.sd + row.mu)[None], np.array([row.last]), np.array([row.prev]), np.array([row.tcode]), True)[0]
                     p5, p95 = np.percentile(level, [5, 95], axis=0)
                     for h in range(horizon):
@@ -422,30 +450,48 @@ def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool):
 
 def predict(
     packed: DataFrame, spec: factor.FactorSpec, draws: DataFrame, method: str = "bayesian", horizon: int = 1, sims: int = 1000, seed: int = 0,
-    step: int = 0, keep: bool = False,
+    step: int = 0, keep: bool = False, rich: bool = False,
 ) -> DataFrame:
     """Posterior predictive mean, 5% and 95% points of every series' next periods.
 
     Each simulation takes one joint draw of loadings and variances. ``bayesian`` runs the mean factors on with the
-    least-squares AR(1) of each, ``bayesian-ar`` with a fresh draw of a Bayesian AR(1) at every step.
+    least-squares AR(1) of each, ``bayesian-ar`` with a fresh draw of a Bayesian AR(1) at every step. ``rich``
+    runs each joint draw on from its own factor history with trend, cycles, clustered variance and jumps.
     """
+    per_series = draws.filter("param in ('Lambda', 'Psi')")
+    ordered = F.array_sort(F.collect_list(F.struct("chain", "draw", "k", "value")))
+    per_series = per_series.groupBy(*KEYS).pivot("param", ["Lambda", "Psi"]).agg(ordered)
+    per_series = per_series.select(
+        *KEYS, F.transform("Lambda", lambda r: r["value"]).alias("lam_draws"), F.transform("Psi", lambda r: r["value"]).alias("psi_draws")
+    )
+    paths = _regime_draws(draws, sims, horizon, seed, step) if rich else _ar_paths(draws, method, sims, horizon, seed, step)
+    rows = standardized(packed, spec).drop("z").join(per_series, KEYS).join(paths, "panel_id")
+    return rows.mapInPandas(_predict_rows(sims, horizon, seed, step, keep, rich), factor.DRAWN)
+
+
+PATHS = "panel_id string, paths array<double>"
+
+
+def _regime_draws(draws: DataFrame, sims: int, horizon: int, seed: int, step: int) -> DataFrame:
+    """Only the newest factor values of each draw are needed, so only they meet."""
+    params = draws.filter("param in ('F', 'Phi', 'Sigma2')")
+    end = params.groupBy("panel_id").agg(F.max("i").alias("_end"))
+    recent = params.join(end, "panel_id").filter((F.col("param") != "F") | (F.col("i") > F.col("_end") - LOOKBACK)).drop("_end", "series")
+    return recent.groupBy("panel_id").applyInPandas(_regime_panel(sims, horizon, seed, step), PATHS)
+
+
+def _ar_paths(draws: DataFrame, method: str, sims: int, horizon: int, seed: int, step: int) -> DataFrame:
     factors = posterior_factors(draws)
     if method == "bayesian":
         ar = factor.factor_ar1(factors).select("panel_id", "k", "f_last", *[F.array(c).alias(c) for c in ("c", "phi", "sigma")])
     elif method == "bayesian-ar":
-        ar = factor_ar1_draws(factors, seed=seed).groupBy("panel_id", "k").agg(
-            F.max("f_last").alias("f_last"), *[F.transform(F.array_sort(F.collect_list(F.struct("draw", c))), lambda r, c=c: r[c]).alias(c) for c in ("c", "phi", "sigma")]
-        )
+        def in_order(c: str):
+            return F.transform(F.array_sort(F.collect_list(F.struct("draw", c))), lambda r: r[c]).alias(c)
+
+        ar = factor_ar1_draws(factors, seed=seed).groupBy("panel_id", "k").agg(F.max("f_last").alias("f_last"), *[in_order(c) for c in ("c", "phi", "sigma")])
     else:
         raise ValueError(f"unknown method {method!r}")
-    paths = ar.groupBy("panel_id").applyInPandas(_panel_paths(sims, horizon, seed, step), "panel_id string, paths array<double>")
-    ordered = F.array_sort(F.collect_list(F.struct("chain", "draw", "k", "value")))
-    per_series = draws.filter("param in ('Lambda', 'Psi')").groupBy(*KEYS).pivot("param", ["Lambda", "Psi"]).agg(ordered)
-    per_series = per_series.select(
-        *KEYS, F.transform("Lambda", lambda r: r["value"]).alias("lam_draws"), F.transform("Psi", lambda r: r["value"]).alias("psi_draws")
-    )
-    rows = standardized(packed, spec).drop("z").join(per_series, KEYS).join(paths, "panel_id")
-    return rows.mapInPandas(_predict_rows(sims, horizon, seed, step, keep), factor.DRAWN)
+    return ar.groupBy("panel_id").applyInPandas(_panel_paths(sims, horizon, seed, step), PATHS)
 
 
 # ------------------------------------------------------------- methods by name, rolling and filling
@@ -455,15 +501,15 @@ METHODS = ("efficient", "bayesian", "bayesian-ar")
 
 def next_period(
     packed: DataFrame, spec: factor.FactorSpec, method: str = "efficient", sims: int = 1000, n_samples: int = 1000, n_tune: int = 500, seed: int = 0,
-    center: str = "draws", rich: bool = False, keep: bool = False, max_cells: int = MAX_CELLS,
+    center: str = "draws", rich: bool = False, keep: bool = False, blend: bool = False, matlab: bool = False, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Refit on the packed levels and simulate the next period with the named method."""
     if method == "efficient":
-        return factor.draw_next(packed, spec, sims, seed, center, rich, keep)
+        return factor.draw_next(packed, spec, sims, seed, center, rich, keep, blend, matlab)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     draws = gibbs(packed, spec, n_samples, n_tune, seed=seed, max_cells=max_cells)
-    return predict(packed, spec, draws, method, 1, sims, seed, keep=keep)
+    return predict(packed, spec, draws, method, 1, sims, seed, keep=keep, rich=rich)
 
 
 def rolling_horizon(packed: DataFrame, spec: factor.FactorSpec, horizon: int, **options) -> DataFrame:

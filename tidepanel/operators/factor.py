@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.panelmath import as_block, last_two, level_rows, ready_rows, scale_rows, stationary_rows, stream
+from tidepanel.functions.panelmath import as_block, blended_rows, last_two, level_rows, ready_rows, scale_rows, stationary_rows, stream
 from tidepanel.operators.simulate import factor_paths
 from tidepanel.panel import KEYS
+from tidepanel.session import spread
 
 MAX_WINDOW = 4096  # periods; the cross-moment matrix of a window has this many rows at most
 FLUSH_CELLS = 16_000_000  # partial matrix cells a task holds before it hands them on
@@ -219,7 +220,7 @@ def _window_model(spec: FactorSpec):
 
 def window_models(packed: DataFrame, spec: FactorSpec) -> DataFrame:
     """One row per panel and window with singular values, scores, factor dynamics and factor path."""
-    cells = cross_moments(packed, spec)
+    cells = spread(cross_moments(packed, spec), "panel_id", "origin")
     return cells.groupBy("panel_id", "origin").applyInPandas(_window_model(spec), MODEL)
 
 
@@ -401,7 +402,7 @@ def matlab_percentile(values: np.ndarray, share: float) -> np.ndarray:
     return np.apply_along_axis(lambda r: np.interp(share * n, np.arange(n) + 0.5, r), -1, ordered)
 
 
-def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool, keep: bool, guard_repeat: bool = True):
+def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool, keep: bool, blend: bool, matlab: bool):
     """One period ahead for every series of a batch: simulated levels, their mean and 5%/95% points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -427,12 +428,15 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
                     std = load @ paths[key].T + psi[:, None] * noise
                     trans = std * sd[:, None] + mu[:, None]
                     last, prev = last_two(v)
-                    draws = level_rows(trans[:, :, None], last, prev, codes, guard_repeat)[:, :, 0]
-                    point = level_rows(trans.mean(axis=1)[:, None], last, prev, codes, guard_repeat)[:, 0]
+                    draws = level_rows(trans[:, :, None], last, prev, codes, repeat=True)[:, :, 0]
+                    point = level_rows(trans.mean(axis=1)[:, None], last, prev, codes, repeat=True)[:, 0]
+                    if blend:
+                        draws = blended_rows(trans, v, codes, draws)
                     draws[~usable] = np.nan
                     out["mean"] = draws.mean(axis=1)
                     out["value"] = np.where(usable, point if center == "point" else out["mean"], np.nan)
-                    out["p5"], out["p95"] = np.percentile(draws, [5, 95], axis=1)
+                    ends = [matlab_percentile(draws, p) for p in (0.05, 0.95)] if matlab else np.percentile(draws, [5, 95], axis=1)
+                    out["p5"], out["p95"] = ends
                     out["sd"] = draws.std(axis=1)
                     if keep:
                         kept = [row.tolist() if ok else None for row, ok in zip(draws, usable)]
@@ -444,12 +448,15 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
 
 
 def draw_next(
-    packed: DataFrame, spec: FactorSpec, sims: int = 1000, seed: int = 0, center: str = "draws", rich: bool = False, keep: bool = False
+    packed: DataFrame, spec: FactorSpec, sims: int = 1000, seed: int = 0, center: str = "draws", rich: bool = False, keep: bool = False,
+    blend: bool = False, matlab: bool = False,
 ) -> DataFrame:
     """Simulated next period of every series from the efficient factor model.
 
     ``value`` is the mean of the simulated levels (``center='draws'``) or the level of the mean (``'point'``).
+    ``rich`` takes the heuristic factor dynamics, ``blend`` the inverse that leans on the recent trend, ``matlab``
+    the percentiles with mid-point positions; ``keep`` returns the simulated levels too.
     Random streams are named by panel, series and period, so results do not depend on partitioning.
     """
     rows = _series_models(packed, window_models(packed, spec))
-    return rows.mapInPandas(_draw_step(spec, sims, seed, center, rich, keep), DRAWN)
+    return rows.mapInPandas(_draw_step(spec, sims, seed, center, rich, keep, blend, matlab), DRAWN)

@@ -19,6 +19,7 @@ from tidepanel.functions.dates import future_month_start
 from tidepanel.operators.inverse import anchor_aggregates, level_path, to_levels, with_previous_level
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
+from tidepanel.session import spread
 
 MIN_OBS = {"ar": 20, "ma": 20, "arima": 30}
 FIT = "order string, path array<double>, aic double, status string"
@@ -122,12 +123,6 @@ def pack(panel: DataFrame, x: str = "x", value: str = "value") -> DataFrame:
     return rows.select(*KEYS, "y", tail(-1).alias("last"), tail(-2).alias("prev"), "tcode", "last_ds")
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread fits over the cluster: packed rows are few bytes but much work, so they must not be coalesced."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
-
-
 def _ar_fit(horizon: int, lags: int | None, max_lags: int):
     @F.pandas_udf(FIT)
     def fit(y: pd.Series) -> pd.DataFrame:
@@ -154,7 +149,7 @@ def _ma_order(max_order: int):
 
 def fit_ar(packed: DataFrame, horizon: int, lags: int | None = None, max_lags: int = 12) -> DataFrame:
     """AR by least squares with a constant; ``lags=None`` picks the order from the partial autocorrelations."""
-    return _spread(packed, *KEYS).withColumn("fit", _ar_fit(horizon, lags, max_lags)(F.col("y")))
+    return spread(packed, *KEYS).withColumn("fit", _ar_fit(horizon, lags, max_lags)(F.col("y")))
 
 
 def fit_ma(packed: DataFrame, horizon: int, order: int | None = None, max_order: int = 12) -> DataFrame:
@@ -162,7 +157,7 @@ def fit_ma(packed: DataFrame, horizon: int, order: int | None = None, max_order:
     n = F.size("y")
     chosen = F.lit(order) if order else _ma_order(max_order)(F.col("y"))
     q = F.greatest(F.lit(1), F.least(chosen, F.floor(n / 4).cast("int")))
-    rows = _spread(packed, *KEYS).withColumn("_q", q)
+    rows = spread(packed, *KEYS).withColumn("_q", q)
     fit = _css_fit(horizon)(F.col("y"), F.lit(0), F.lit(0), F.col("_q"))
     mean = F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / n
     return _guarded(rows.withColumn("_fit", fit), "ma", F.array_repeat(mean, horizon)).drop("_q")
@@ -177,7 +172,7 @@ def fit_arima(
     """
     if order is not None:
         p, d, q = order
-        rows = _spread(packed, *KEYS)
+        rows = spread(packed, *KEYS)
         fitted = rows.withColumn("_fit", _css_fit(horizon)(F.col("y"), F.lit(p), F.lit(d), F.lit(q)))
         return _guarded(fitted, "arima", F.array_repeat(F.try_element_at("y", F.lit(-1)), horizon))
     best = arima_grid(packed, horizon, max_p, max_q).groupBy(*KEYS).agg(
@@ -193,7 +188,7 @@ def arima_grid(packed: DataFrame, horizon: int, max_p: int = 3, max_q: int = 3)
         for p in range(max_p + 1) for q in range(max_q + 1) if (p, q) != (0, 0)
     ])
     long_enough = packed.filter(F.size("y") >= MIN_OBS["arima"])
-    rows = _spread(long_enough.select(*KEYS, "y", F.inline(orders)), *KEYS, "p", "q")
+    rows = spread(long_enough.select(*KEYS, "y", F.inline(orders)), *KEYS, "p", "q")
     fits = rows.select(*KEYS, "p", "q", _css_fit(horizon)(F.col("y"), F.col("p"), F.lit(0), F.col("q")).alias("fit"))
     return fits.filter("fit.status = 'ok'").select(*KEYS, "p", "q", F.col("fit.aic").alias("aic"), "fit")
 

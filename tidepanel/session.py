@@ -24,11 +24,24 @@ def local_session(cpus: int | str = "*", memory: str = "12g") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the cluster's checkpoint folder and go on from there.
 
-    ``spark.checkpoint.dir`` names a shared folder on a cluster. Only where it is unset, as in local tests,
-    a temporary folder is used.
+    ``spark.checkpoint.dir`` names a shared folder on a cluster. Only a local session without that setting,
+    as in tests, gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidepanel-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all shuffle partitions by ``keys``.
+
+    Model fits are few bytes and much work. An explicit partition count keeps adaptive execution from merging
+    them into few tasks; a grouped fit by the same keys then needs no further shuffle.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

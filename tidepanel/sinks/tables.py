@@ -63,6 +63,12 @@ def write_intervals(interval: DataFrame, path: str, horizon: int) -> None:
     long_intervals(interval, horizon).write.mode("append").partitionBy("horizon", "measure").parquet(path)
 
 
+def write_samples(steps: DataFrame, path: str) -> None:
+    """Simulated values of every step ``(series, sim, h, value)``, partitioned by step."""
+    rows = steps.filter("draws is not null").select(*KEYS, "h", F.posexplode("draws").alias("sim", "value"))
+    rows.write.mode("append").partitionBy("h").parquet(path)
+
+
 def run_record(spark, run_id: int, **parameters) -> DataFrame:
     """One row with the parameters of a run."""
     row = {"run_id": run_id, **parameters}
