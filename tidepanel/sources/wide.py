@@ -93,7 +93,10 @@ def read_intervals(spark: SparkSession, root: str, horizon: int, panel_id: str)
 
 
 def read_appendix(spark: SparkSession, path: str, panel_id: str, encoding: str = "UTF-8") -> DataFrame:
-    """Series to group map from a CSV with columns ``fred`` and ``group``."""
+    """Series to group map from a CSV with columns ``fred`` and ``group``.
+
+    Files that are not UTF-8 are read as ``iso-8859-1``; names and groups are plain ASCII in either.
+    """
     raw = spark.read.csv(path, header=True, encoding=encoding)
     return raw.select(
         F.lit(panel_id).alias("panel_id"), F.col("fred").alias("series"), F.col("group").try_cast("int").alias("group_id")
