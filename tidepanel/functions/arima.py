@@ -155,7 +155,7 @@ def _admissible(theta, p, q, mean):
     return _roots_outside(theta[:, mean : mean + p]) & _roots_outside(-theta[:, mean + p :])
 
 
-def css_group(rows: list[np.ndarray], p: int, d: int, q: int, horizon: int, iterations: int = 40):
+def css_group(rows: list[np.ndarray], p: int, d: int, q: int, horizon: int, iterations: int = 30):
     """Fit ARIMA(p, d, q) to all rows at once by damped Gauss-Newton steps; a mean is fitted when d is 0."""
     mean = 1 if d == 0 else 0
     diffed = [np.diff(y, n=d) if d else y for y in rows]
@@ -167,27 +167,33 @@ def css_group(rows: list[np.ndarray], p: int, d: int, q: int, horizon: int, iter
     z_raw = z_raw / scale[:, None]
     theta = _shrink(_start(z_raw, mask, p, q, mean), p, q, mean)
     m = theta.shape[1]
-    damping = np.full(b, 1e-3)
     z, e, jac = _residuals(z_raw, mask, theta, p, q, mean, True)
     sse = (e**2).sum(axis=1)
-    for _ in range(iterations if m else 0):
-        hess = np.einsum("btm,btk->bmk", jac, jac)
+    damping = np.full(b, 1e-3)
+    open_ = np.arange(b) if m else np.arange(0)
+    for _ in range(iterations):
+        if not len(open_):
+            break
+        j_o, e_o = jac[open_], e[open_]
+        hess = np.matmul(j_o.transpose(0, 2, 1), j_o)
         diag = np.einsum("bmm->bm", hess)
-        lhs = hess + np.eye(m) * (damping[:, None] * (diag + 1e-10))[:, None, :] + np.eye(m) * 1e-12
-        step = np.linalg.solve(lhs, np.einsum("btm,bt->bm", jac, e)[:, :, None])[:, :, 0]
-        trial = theta - step
+        lhs = hess + np.eye(m) * (damping[open_, None] * (diag + 1e-10))[:, None, :] + np.eye(m) * 1e-12
+        slope = np.matmul(j_o.transpose(0, 2, 1), e_o[:, :, None])
+        step = np.linalg.solve(lhs, slope)[:, :, 0]
+        promised = (step * slope[:, :, 0]).sum(axis=1) / np.maximum(sse[open_], 1e-300)
+        trial = theta[open_] - step
         fine = _admissible(trial, p, q, mean)
-        trial[~fine] = theta[~fine]
-        z_t, e_t, jac_t = _residuals(z_raw, mask, trial, p, q, mean, True)
+        trial[~fine] = theta[open_][~fine]
+        z_t, e_t, _ = _residuals(z_raw[open_], mask[open_], trial, p, q, mean, False)
         sse_t = (e_t**2).sum(axis=1)
-        better = fine & (sse_t < sse)
-        gain = np.where(better, (sse - sse_t) / np.maximum(sse, 1e-300), 0.0)
-        theta[better], z[better], e[better], jac[better], sse[better] = (
-            trial[better], z_t[better], e_t[better], jac_t[better], sse_t[better],
-        )
-        damping = np.clip(np.where(better, damping / 4, damping * 4), 1e-10, 1e10)
-        if not better.any() and damping.min() > 1e6 or (better.any() and gain.max() < 1e-10):
-            break
+        better = fine & (sse_t < sse[open_])
+        won = open_[better]
+        gain = np.where(better, (sse[open_] - sse_t) / np.maximum(sse[open_], 1e-300), np.inf)
+        damping[open_] = np.where(better, damping[open_] / 5, damping[open_] * 10)
+        theta[won], sse[won] = trial[better], sse_t[better]
+        if len(won):
+            z[won], e[won], jac[won] = _residuals(z_raw[won], mask[won], theta[won], p, q, mean, True)
+        open_ = open_[(gain > 1e-7) & (promised > 1e-7) & (damping[open_] < 1e4)]
     out = []
     mu = theta[:, 0] if mean else np.zeros(b)
     ar, ma = theta[:, mean : mean + p], theta[:, mean + p :]

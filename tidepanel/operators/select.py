@@ -166,8 +166,7 @@ def drop_empty_series(panel: DataFrame, x: str = "x", complete: bool = False) ->
     return panel.join(kept.select(*KEYS), KEYS, "left_semi")
 
 
-def restore_columns(forecast: DataFrame, meta: DataFrame, steps: DataFrame) -> DataFrame:
-    """Every series of ``meta`` at every step, NULL where there is no forecast; input order in ``pos``."""
-    grid = meta.select(*KEYS, "pos").join(steps, "panel_id")
-    on = [c for c in forecast.columns if c in grid.columns]
-    return grid.join(forecast, on, "left")
+def restore_columns(forecast: DataFrame, meta: DataFrame, horizon: int) -> DataFrame:
+    """Every series of ``meta`` at every step 1..horizon, NULL where there is no forecast; input order in ``pos``."""
+    grid = meta.select(*KEYS, "pos", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    return grid.join(forecast, [*KEYS, "h"], "left")

@@ -22,6 +22,8 @@ from tidepanel.panel import KEYS, by_time
 from tidepanel.session import spread
 
 MIN_OBS = {"ar": 20, "ma": 20, "arima": 30}
+# The fits below are marked as not deterministic so that the optimizer never copies one into a filter and a
+# projection and pays for it twice; their results do not vary.
 FIT = "order string, path array<double>, aic double, status string"
 
 
@@ -128,7 +130,7 @@ def _ar_fit(horizon: int, lags: int | None, max_lags: int):
     def fit(y: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([ar_path(row, horizon, lags, max_lags, MIN_OBS["ar"]) for row in y], columns=["order", "path", "aic", "status"])
 
-    return fit
+    return fit.asNondeterministic()
 
 
 def _css_fit(horizon: int):
@@ -136,7 +138,7 @@ def _css_fit(horizon: int):
     def fit(y: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
         return css_paths(list(y), p.to_numpy(), d.to_numpy(), q.to_numpy(), horizon)
 
-    return fit
+    return fit.asNondeterministic()
 
 
 def _ma_order(max_order: int):
@@ -144,7 +146,7 @@ def _ma_order(max_order: int):
     def order(y: pd.Series) -> pd.Series:
         return pd.Series([short_lag(row, max_order, partial=False) for row in y])
 
-    return order
+    return order.asNondeterministic()
 
 
 def fit_ar(packed: DataFrame, horizon: int, lags: int | None = None, max_lags: int = 12) -> DataFrame:

@@ -14,6 +14,15 @@ STEP = {
 }
 
 
+def panel_name(name: str, column: str = "series") -> Column:
+    """The panel's name as a value of every row.
+
+    A bare literal would let the optimizer fold ``panel_id = panel_id`` away and join without a key, which ends
+    in a cartesian product; tied to a column it stays an equality key.
+    """
+    return F.concat(F.lit(name), F.substring(F.col(column).cast("string"), 1, 0)).alias("panel_id")
+
+
 def by_time(*extra: str) -> Window:
     """Rows of one series in time order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.scalars import rounded
 from tidepanel.operators import evaluate, factor, joins, predictive
 from tidepanel.operators.transform import standardize, stationary
-from tidepanel.panel import KEYS, with_meta
+from tidepanel.panel import KEYS, panel_name, with_meta
 from tidepanel.plans.catalog import register
 from tidepanel.plans.panel_queries import coded_nation, split_nation
 from tidepanel.plans.panels_sql import HORIZON, query
@@ -160,7 +160,7 @@ DRAWS = "SELECT CAST(l_suppkey AS VARCHAR) AS series, l_extendedprice AS value F
 def _price_draws(spark, d) -> DataFrame:
     """Line prices as draws of their supplier's next value."""
     return T.table(spark, d, "lineitem").select(
-        F.lit("draws").alias("panel_id"), F.col("l_suppkey").cast("string").alias("series"), F.col("l_extendedprice").alias("value")
+        panel_name("draws", "l_suppkey"), F.col("l_suppkey").cast("string").alias("series"), F.col("l_extendedprice").alias("value")
     )
 
 

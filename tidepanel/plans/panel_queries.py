@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.dates import FORMATS_WIDE, future_month_start, future_same_day, horizon_label, month_key, parse_date_column, unpadded
 from tidepanel.functions.scalars import add_suffix, number, range_label, rounded, strip_suffix
 from tidepanel.operators import impute, inverse, select, transform
-from tidepanel.panel import KEYS, panel_length, with_meta
+from tidepanel.panel import KEYS, panel_name, with_meta
 from tidepanel.plans.catalog import register
 from tidepanel.plans.panels_sql import HORIZON, anchors_sql, levels_sql, query, transform_sql
 from tidepanel.sinks import tables as sinks
@@ -287,8 +287,7 @@ def restored_columns(spark, d):
 
     history, _ = split_nation(spark, d)
     fc = naive(history.filter("tcode <> 4"), HORIZON).drop("ds")
-    steps = panel_length(history).select("panel_id", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("h"))
-    whole = select.restore_columns(fc, T.nation_meta(spark, d), steps)
+    whole = select.restore_columns(fc, T.nation_meta(spark, d), HORIZON)
     return whole.select("series", "pos", "h", rounded(F.col("f"), 1).alias("value"))
 
 
@@ -409,7 +408,7 @@ ONE_STEP = """CASE WHEN last IS NOT NULL AND f IS NOT NULL THEN CASE tcode WHEN
 def _simulated(spark, d) -> DataFrame:
     """Line discounts as simulated one-step values of their supplier's series."""
     return T.table(spark, d, "lineitem").select(
-        F.lit("supplier_month").alias("panel_id"), F.col("l_suppkey").cast("string").alias("series"), "l_orderkey", "l_linenumber",
+        panel_name("supplier_month", "l_suppkey"), F.col("l_suppkey").cast("string").alias("series"), "l_orderkey", "l_linenumber",
         (F.col("l_suppkey") % 7 + 1).cast("int").alias("tcode"), (F.col("l_discount") - 0.05).alias("f"),
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.panel import regularize
+from tidepanel.panel import panel_name, regularize
 
 
 # Declared schemas: opening a table starts no job that reads file footers.
@@ -55,7 +55,7 @@ def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("c_nationkey", "ds")
         .agg((F.sum("cents") / 100).alias("value"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(F.lit("nation_month").alias("panel_id"), F.col("n_name").alias("series"), "ds", "value")
+        .select(panel_name("nation_month", "n_name"), F.col("n_name").alias("series"), "ds", "value")
     )
 
 
@@ -64,7 +64,7 @@ def nation_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.lit("nation_month").alias("panel_id"),
+        panel_name("nation_month", "n_name"),
         F.col("n_name").alias("series"),
         (F.col("n_nationkey") % 7 + 1).cast("int").alias("tcode"),
         (F.col("r_regionkey") + 1).cast("int").alias("group_id"),
@@ -95,14 +95,14 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", _month("l_shipdate").alias("ds"))
         .agg((F.sum(units) / 10000).alias("value"))
-        .select(F.lit("supplier_month").alias("panel_id"), F.col("l_suppkey").cast("string").alias("series"), "ds", "value")
+        .select(panel_name("supplier_month", "l_suppkey"), F.col("l_suppkey").cast("string").alias("series"), "ds", "value")
     )
     return regularize(cells, "month")
 
 
 def supplier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
-        F.lit("supplier_month").alias("panel_id"),
+        panel_name("supplier_month", "s_suppkey"),
         F.col("s_suppkey").cast("string").alias("series"),
         (F.col("s_suppkey") % 7 + 1).cast("int").alias("tcode"),
     )
@@ -114,7 +114,7 @@ def flag_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(F.concat("l_returnflag", "l_linestatus").alias("series"), F.col("l_shipdate").cast("date").alias("ds"))
         .agg(F.sum("l_quantity").alias("value"))
-        .select(F.lit("flag_day").alias("panel_id"), "series", "ds", "value")
+        .select(panel_name("flag_day"), "series", "ds", "value")
     )
     return regularize(cells, "day")
 
@@ -125,7 +125,7 @@ def event_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("series"), F.date_trunc("HOUR", "ts").alias("ds"))
         .agg((F.sum(_cents(F.col("value"))) / F.count("value") / 100).alias("value"))
-        .select(F.lit("event_hour").alias("panel_id"), "series", "ds", "value")
+        .select(panel_name("event_hour"), "series", "ds", "value")
     )
     return regularize(cells, "hour")
 
@@ -142,6 +142,6 @@ def signed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_mktsegment", "ds")
         .agg((F.sum(_cents(F.col("c_acctbal")) * F.col("n")) / F.sum("n") / 100).alias("value"))
-        .select(F.lit("signed_day").alias("panel_id"), F.col("c_mktsegment").alias("series"), "ds", "value")
+        .select(panel_name("signed_day", "c_mktsegment"), F.col("c_mktsegment").alias("series"), "ds", "value")
     )
     return regularize(cells, "day")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import FORMATS_BASIC, parse_date_column
 from tidepanel.functions.scalars import number, strip_suffix
-from tidepanel.panel import KEYS, unique_cells
+from tidepanel.panel import KEYS, panel_name, unique_cells
 
 
 def read_wide_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -20,7 +20,7 @@ def read_wide_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
 def _melt(wide: DataFrame, panel_id: str, date_col: str) -> DataFrame:
     names = [c for c in wide.columns if c not in (date_col, "_file")]
     cells = wide.unpivot([F.col(f"`{date_col}`").alias("date_text")], [F.col(f"`{n}`") for n in names], "series", "raw")
-    return cells.withColumn("panel_id", F.lit(panel_id))
+    return cells.withColumn("panel_id", panel_name(panel_id))
 
 
 def is_code_row(date_text):
@@ -58,7 +58,7 @@ def split_wide(
         code = F.coalesce("tcode", F.lit(1))
     else:
         raise ValueError(f"unknown code rule {codes!r}")
-    meta = order.withColumn("panel_id", F.lit(panel_id)).join(coded, KEYS, "left")
+    meta = order.withColumn("panel_id", panel_name(panel_id)).join(coded, KEYS, "left")
     if codes == "strict":
         meta = meta.join(any_code, "panel_id", "left")
         code = F.when(F.col("_n") > 0, code).otherwise(missing)
@@ -99,7 +99,7 @@ def read_appendix(spark: SparkSession, path: str, panel_id: str, encoding: str =
     """
     raw = spark.read.csv(path, header=True, encoding=encoding)
     return raw.select(
-        F.lit(panel_id).alias("panel_id"), F.col("fred").alias("series"), F.col("group").try_cast("int").alias("group_id")
+        panel_name(panel_id, "fred"), F.col("fred").alias("series"), F.col("group").try_cast("int").alias("group_id")
     )
 
 
