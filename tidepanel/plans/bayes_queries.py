@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions.scalars import rounded
+
 from tidepanel.operators import bayes, factor, impute
 from tidepanel.panel import KEYS, with_meta
 from tidepanel.plans.catalog import register
 from tidepanel.plans.factor_queries import READY, coded_supplier
 from tidepanel.plans.panel_queries import coded_nation
-from tidepanel.plans.panels_sql import HORIZON
+from tidepanel.plans.panels_sql import HORIZON, query
 from tidepanel.sources import tables as T
 
 DFM = factor.FactorSpec(k=2, min_obs=60, order=1, horizon=HORIZON)
@@ -87,6 +89,16 @@ def fill_gaps(spark, d):
     return bayes.unpack_levels(filled.drop("filled")).select("series", "t", "ds", "value")
 
 
+@register("fill_keeps_observed", query("SELECT series, t, ds, round(value, 2) AS value FROM nm WHERE value IS NOT NULL"))
+def fill_keeps_observed(spark, d):
+    """The filled nation panel without the filled cells: the observed ones, unchanged."""
+    panel = coded_nation(spark, d)
+    gaps = impute.gap_cells(panel)
+    filled = bayes.fill_gaps(factor.pack_levels(panel), SMALL, gaps, sims=50, seed=7)
+    observed = bayes.unpack_levels(filled.drop("filled")).join(gaps, [*KEYS, "t", "ds"], "left_anti")
+    return observed.filter("value is not null").select("series", "t", "ds", rounded(F.col("value"), 2).alias("value"))
+
+
 @register("fill_trailing")
 def fill_trailing(spark, d):
     """Only the ragged edge of the supplier panel, and only the rows it touches."""

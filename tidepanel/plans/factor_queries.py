@@ -10,6 +10,7 @@ from tidepanel.operators import evaluate, factor, joins, predictive
 from tidepanel.operators.transform import standardize, stationary
 from tidepanel.panel import KEYS, panel_name, with_meta
 from tidepanel.plans.catalog import register
+from tidepanel.plans.panel_queries import READY as READY_SQL
 from tidepanel.plans.panel_queries import coded_nation, split_nation
 from tidepanel.plans.panels_sql import HORIZON, query
 from tidepanel.sources import tables as T
@@ -152,6 +153,43 @@ def horizon_sweep(spark, d):
     return factor.manifest(sweep).drop("panel_id")
 
 
+FULL = factor.FactorSpec(k=25, min_obs=60, horizon=1)
+
+
+@register("pca_reconstruction", query("SELECT series, t, round(z, 6) + 0.0 AS z FROM zc", ZC))
+def pca_reconstruction(spark, d):
+    """With as many factors as series, scores times loadings give the standardised panel back."""
+    packed = factor.pack_levels(coded_nation(spark, d))
+    models = factor.window_models(packed, FULL)
+    common = factor.map_factors(factor.factor_scores(models), factor.panel_loadings(packed, FULL, models), "t")
+    return common.select("series", "t", rounded(F.col("common"), 6).alias("z"))
+
+
+PERSIST_WINDOW = 36
+
+
+@register(
+    "rolling_persistence",
+    query(
+        """SELECT series, CAST(o AS INT) AS origin, CAST(last_ds + to_months(1) AS DATE) AS ds, round(CASE tcode WHEN 2 THEN last + f WHEN 3 THEN 2 * last - prev + f WHEN 4 THEN exp(f)
+        WHEN 5 THEN last * exp(f) WHEN 6 THEN last * exp(ln(last) - ln(prev) + f) WHEN 7 THEN last * (last / prev + f) ELSE f END, -2) + 0.0 AS value FROM fin""",
+        ("win", f"""SELECT n.*, o, row_number() OVER (PARTITION BY series, o ORDER BY CASE WHEN value IS NULL THEN 1 ELSE 0 END, t DESC) AS rn, t - o AS i
+            FROM nmx n JOIN (SELECT unnest(range(0, (SELECT max(t) FROM nm) - {PERSIST_WINDOW})) AS o) ON t > o AND t <= o + {PERSIST_WINDOW}"""),
+        ("cutx", "SELECT *, CASE WHEN i <= CASE WHEN tcode IN (3, 6, 7) THEN 2 WHEN tcode IN (2, 5) THEN 1 ELSE 0 END THEN NULL ELSE x END AS wx FROM win"),
+        ("fin", """SELECT series, o, tcode, max(ds) AS last_ds, max(CASE WHEN rn = 1 THEN value END) AS last, max(CASE WHEN rn = 2 THEN value END) AS prev,
+            coalesce(arg_max(wx, t) FILTER (t = o + 36), avg(wx)) AS f FROM cutx GROUP BY series, o, tcode"""),
+    ),
+)
+def rolling_persistence(spark, d):
+    """All factors, held at their last value, in every rolling window: each series repeats its last transformed value.
+
+    Runs the whole rolling pipeline on a model whose forecast is known in closed form.
+    """
+    spec = factor.FactorSpec(k=25, min_obs=24, dynamics="decay", persistence=1.0, horizon=1, window=PERSIST_WINDOW)
+    out = factor.rolling_forecast(factor.pack_levels(coded_nation(spark, d)), spec)
+    return out.select("series", "origin", "ds", rounded(F.col("value"), -2).alias("value"))
+
+
 # ---------------------------------------------------------------- predictive tables
 
 DRAWS = "SELECT CAST(l_suppkey AS VARCHAR) AS series, l_extendedprice AS value FROM lineitem"
@@ -212,6 +250,17 @@ def predictive_draws(spark, d):
     return factor.draw_next(factor.pack_levels(coded_supplier(spark, d)), READY, sims=500).select("series", "t", "mean", "p5", "p95", "sd")
 
 
+@register(
+    "predictive_usable",
+    query("SELECT s.series, (SELECT CAST(max(t) + 1 AS INT) FROM sm) AS t, k.series IS NOT NULL AS usable, k.series IS NOT NULL AS ordered FROM (SELECT DISTINCT series FROM sm) s LEFT JOIN (SELECT DISTINCT series FROM kept) k USING (series)", *READY_SQL),
+)
+def predictive_usable(spark, d):
+    """Every series of the panel, whether it could be forecast, and whether its interval holds its mean."""
+    out = factor.draw_next(factor.pack_levels(coded_supplier(spark, d)), READY, sims=200)
+    inside = F.coalesce(F.col("mean").between(F.col("p5"), F.col("p95")), F.lit(False)) & F.col("usable")
+    return out.select("series", "t", "usable", inside.alias("ordered"))
+
+
 @register("predictive_draws_rich")
 def predictive_draws_rich(spark, d):
     return factor.draw_next(factor.pack_levels(coded_supplier(spark, d)), READY, sims=500, rich=True).select("series", "t", "mean", "p5", "p95", "sd")
