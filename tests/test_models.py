@@ -292,7 +292,7 @@ def test_filling_keeps_observed_cells(make_panel):
     holes[20, 1] = holes[25:27, 3] = holes[-2:, 5] = np.nan
     panel = make_panel(columns(holes))
     spec = factor.FactorSpec(k=1, prepare="ready", dynamics="ar1", horizon=1)
-    filled = bayes.fill_gaps(factor.pack_levels(panel), spec, impute.gap_cells(panel), sims=50)
+    filled = bayes.fill_gaps(factor.pack_levels(panel), spec, sims=50)
     assert sorted((r.series, t) for r in filled.collect() for t in r.filled) == [("s1", 21), ("s3", 26), ("s3", 27), ("s5", 39), ("s5", 40)]
     got = np.array([r.value for r in bayes.unpack_levels(filled).orderBy("series", "t").collect()], dtype=float).reshape(8, 40).T
     seen = ~np.isnan(holes)
@@ -312,3 +312,19 @@ def test_rolling_horizon_feeds_back(make_panel):
     for r in two.filter("h = 2").collect():
         assert r["mean"] == pytest.approx(expected[r.series])
         assert str(r.ds) == "2003-06-01"
+
+
+def test_quantiles_of_a_hot_series(spark):
+    """One series holds nearly all draws, one all-equal draws, one a single draw; results equal numpy's."""
+    from tidepanel.operators import predictive
+
+    rng = np.random.default_rng(0)
+    data = {"hot": rng.lognormal(size=20000).round(3), "flat": np.full(50, 2.5), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}
+    rows = [("p", k, float(v)) for k, values in data.items() for v in values] + [("p", "two", None)]
+    draws = spark.createDataFrame(rows, "panel_id string, series string, value double")
+    for r in predictive.interval(draws).collect():
+        v = data[r.series]
+        assert (r.n, r["mean"], r.p5, r.p95) == pytest.approx((len(v), v.mean(), *np.percentile(v, [5, 95])))
+    for r in predictive.order_statistics(draws, [0.05, 0.5]).collect():
+        v = data[r.series][None]
+        assert (r.p5, r.p50) == pytest.approx((factor.matlab_percentile(v, 0.05)[0], factor.matlab_percentile(v, 0.5)[0]))

@@ -238,6 +238,7 @@ def fit_dfm(packed: DataFrame, spec: factor.FactorSpec, iterations: int = 50, ma
     """
     if spec.prepare != "pca":
         raise ValueError("the state-space model keeps missing cells: use prepare='pca'")
+    packed = cut_lineage(packed)
     small, large = split_by_size(packed, max_cells)
     start = spread(_started(small, spec, "em"), "panel_id", "chain")
     fitted = cut_lineage(start.groupBy("panel_id", "chain").applyInPandas(_em_in_task(iterations), STATE))
@@ -336,6 +337,7 @@ def gibbs(
     Factors are AR(1) and drawn by forward filtering and backward sampling; loadings have a standard normal prior,
     series variances an inverse gamma (3, 2), innovation variances an inverse gamma (3, 1).
     """
+    packed = cut_lineage(packed)
     small, large = split_by_size(packed, max_cells)
     start = spread(_started(small, spec, "gibbs", chains), "panel_id", "chain")
     draws = cut_lineage(start.groupBy("panel_id", "chain").applyInPandas(_gibbs_in_task(n_samples, n_tune, seed), DRAWS))
@@ -530,34 +532,50 @@ def rolling_horizon(packed: DataFrame, spec: factor.FactorSpec, horizon: int, **
     return reduce(DataFrame.unionByName, steps)
 
 
-def fill_gaps(packed: DataFrame, spec: factor.FactorSpec, gaps: DataFrame, sims: int = 300, skip_first: int = 3, min_rows: int = 10, **options) -> DataFrame:
-    """Fill the listed missing cells in time order from a model of the periods before them.
+def packed_gaps(packed: DataFrame, kinds: tuple[str, ...] = ("interior", "trailing")) -> DataFrame:
+    """Attach ``gaps``: the missing periods of each series after its first observation, by kind."""
+    periods = F.sequence(F.lit(1), F.size("v"))
+    seen = F.filter(periods, lambda t: F.element_at("v", t).isNotNull())
+    first, last = F.try_element_at(seen, F.lit(1)), F.try_element_at(seen, F.lit(-1))
 
-    ``gaps`` are ``impute.gap_cells`` rows, all of them or the trailing ones only. One fit serves every cell of a
-    period. Periods with fewer than ``min_rows`` usable rows before them, or among the first ``skip_first``, are
-    left as they are, and no observed cell changes. Returns the packed panel with ``filled``, the periods filled.
+    def wanted(t):
+        missing = F.element_at("v", t).isNull() & (t > F.col("_first"))
+        kind = F.when(t < F.col("_last"), F.lit("interior")).otherwise(F.lit("trailing"))
+        return missing & kind.isin(*kinds)
+
+    spans = packed.withColumns({"_first": first, "_last": last})
+    return spans.withColumn("gaps", F.filter(periods, wanted)).drop("_first", "_last")
+
+
+def fill_gaps(
+    packed: DataFrame, spec: factor.FactorSpec, kinds: tuple[str, ...] = ("interior", "trailing"), sims: int = 300, skip_first: int = 3,
+    min_rows: int = 10, **options,
+) -> DataFrame:
+    """Fill missing cells of the given kinds in time order, each period from a model of the periods before it.
+
+    One fit serves every cell of a period. Periods with fewer than ``min_rows`` usable rows before them, or among
+    the first ``skip_first``, are left as they are, and no observed cell changes. Returns the packed panel with
+    ``filled``, the periods filled. Only the list of incomplete periods, at most a calendar, comes to the driver.
     """
-    periods = [r.t for r in gaps.select("t").distinct().orderBy("t").collect()]
-    wanted = gaps.groupBy(*KEYS).agg(F.collect_set("t").alias("_gaps"))
-    state = packed.join(wanted, KEYS, "left").withColumn("filled", F.array().cast("array<int>"))
-    state = cut_lineage(state)
+    options.setdefault("center", "point")
+    state = cut_lineage(packed_gaps(packed, kinds).withColumn("filled", F.array().cast("array<int>")))
+    periods = [r.t for r in state.select(F.explode("gaps").alias("t")).distinct().orderBy("t").collect()]
     for t in periods:
         if t <= skip_first or t - 1 - 2 < min_rows:
             continue
         past = state.select(*[F.slice("v", 1, t - 1).alias("v") if c == "v" else F.col(c) for c in packed.columns])
-        options.setdefault("center", "point")
         step = next_period(past, spec, sims=sims, **options).select(*KEYS, F.nanvl("value", F.lit(None)).alias("_new"))
-        here = F.array_contains("_gaps", t) & F.element_at("v", t).isNull() & F.col("_new").isNotNull()
+        here = F.array_contains("gaps", t) & F.col("_new").isNotNull()
         filled = F.concat(F.slice("v", 1, t - 1), F.array(F.col("_new")), F.slice("v", t + 1, F.size("v")))
         state = state.join(step, KEYS, "left").withColumns({
             "v": F.when(here, filled).otherwise(F.col("v")),
             "filled": F.when(here, F.concat("filled", F.array(F.lit(t).cast("int")))).otherwise(F.col("filled")),
         })
         state = cut_lineage(state.drop("_new"))
-    return state.drop("_gaps")
+    return state.drop("gaps")
 
 
-def unpack_levels(packed: DataFrame) -> DataFrame:
-    """Packed levels back to long rows ``(series, t, ds, value)``."""
-    rows = packed.select(*KEYS, "first_ds", F.posexplode("v").alias("_i", "value"))
-    return rows.select(*KEYS, (F.col("_i") + 1).alias("t"), F.add_months("first_ds", F.col("_i")).alias("ds"), "value")
+def unpack_levels(packed: DataFrame, *keep: str) -> DataFrame:
+    """Packed levels back to long rows ``(series, t, ds, value)``, with any further columns named."""
+    rows = packed.select(*KEYS, "first_ds", *keep, F.posexplode("v").alias("_i", "value"))
+    return rows.select(*KEYS, (F.col("_i") + 1).alias("t"), F.add_months("first_ds", F.col("_i")).alias("ds"), "value", *keep)

@@ -2,51 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.panel import KEYS, by_time
 
 
-def _value_counts(draws: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Distinct values with their multiplicity and cumulative count.
+BUCKETS = 1024  # value ranges per series in the first pass of an exact quantile
+
 
-    Equal draws are merged before the shuffle by series, so a series with very many draws of few distinct
-    values stays small.
+def _quantiles(draws: DataFrame, positions: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
+    """Exact interpolated order statistics at 1-based ``positions`` (expressions of the count ``n``).
+
+    Equal values are merged first. The values of a series are then counted in ranges, the ranges that hold the
+    wanted ranks are found on those counts, and only their values are ordered. So a series with a third of all
+    draws is spread over tasks by value and never sorted as a whole.
     """
-    group = Window.partitionBy(*KEYS, *by)
-    counted = draws.filter("value is not null").groupBy(*KEYS, *by, "value").agg(F.count(F.lit(1)).alias("_m"))
-    return counted.withColumns({
-        "_upto": F.sum("_m").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "n": F.sum("_m").over(group),
-    })
+    group = [*KEYS, *by]
+    values = draws.filter("value is not null").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m"))
+    span = values.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_m").alias("n"))
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    ranged = values.join(span, group).withColumn("_b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+
+    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = [edge(pos) for pos in positions.values() for edge in (F.floor, F.ceil)]
+    counts = ranged.groupBy(*group, "_b").agg(F.sum("_m").alias("_in"), F.max("n").alias("n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
+    holds = [(F.col("_before") < r) & (r <= F.col("_before") + F.col("_in")) for r in ranks]
+    wanted = counts.filter(reduce(lambda x, y: x | y, holds)).select(*group, "_b", "_before")
+
+    inner = Window.partitionBy(*group, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ranged.join(wanted, [*group, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_m").over(inner))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_m") < rank) & (rank <= F.col("_upto")), F.col("value")))
+
+    columns = []
+    for name, pos in positions.items():
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        columns.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+    return near.groupBy(*group).agg(F.max("n").alias("n"), *columns)
 
 
 def interval(draws: DataFrame, *by: str) -> DataFrame:
     """Mean, exact 5% and 95% points (linear between order statistics) and deviation per series, ignoring NULL."""
-    return draws.groupBy(*KEYS, *by).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(0.05)).alias("p5"),
-        F.percentile("value", F.lit(0.95)).alias("p95"),
-        F.stddev_pop("value").alias("sd"),
-    )
+    last = F.col("n") - 1
+    points = _quantiles(draws, {"p5": last * 0.05 + 1, "p95": last * 0.95 + 1}, by)
+    rest = draws.groupBy(*KEYS, *by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return rest.join(points, [*KEYS, *by], "left").select(*KEYS, *by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "p5", "p95", "sd")
 
 
 def order_statistics(draws: DataFrame, shares: list[float], *by: str) -> DataFrame:
     """Percentiles with mid-point plotting positions: position ``n p + 1/2`` between order statistics, clipped to the ends."""
-    counted = _value_counts(draws, by)
-    below = F.col("_upto") - F.col("_m")
-
-    def at(position):
-        return F.max(F.when((below < position) & (position <= F.col("_upto")), F.col("value")))
-
-    columns = []
-    for p in shares:
-        pos = F.least(F.greatest(F.col("n") * F.lit(p) + 0.5, F.lit(1.0)), F.col("n").cast("double"))
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        columns.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(f"p{round(p * 100)}"))
-    return counted.groupBy(*KEYS, *by).agg(F.max("n").alias("n"), *columns)
+    n = F.col("n")
+    return _quantiles(draws, {f"p{round(p * 100)}": F.least(F.greatest(n * F.lit(p) + 0.5, F.lit(1.0)), n.cast("double")) for p in shares}, by)
 
 
 def recent_slope(panel: DataFrame, value: str = "value", lookback: int = 12) -> DataFrame:

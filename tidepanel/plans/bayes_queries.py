@@ -84,25 +84,22 @@ def rolling_bayes(spark, d):
 @register("fill_gaps")
 def fill_gaps(spark, d):
     """Every interior and trailing gap of the nation panel, filled in time order."""
-    panel = coded_nation(spark, d)
-    filled = bayes.fill_gaps(factor.pack_levels(panel), SMALL, impute.gap_cells(panel), sims=200, seed=7)
+    filled = bayes.fill_gaps(factor.pack_levels(coded_nation(spark, d)), SMALL, sims=200, seed=7)
     return bayes.unpack_levels(filled.drop("filled")).select("series", "t", "ds", "value")
 
 
 @register("fill_keeps_observed", query("SELECT series, t, ds, round(value, 2) AS value FROM nm WHERE value IS NOT NULL"))
 def fill_keeps_observed(spark, d):
     """The filled nation panel without the filled cells: the observed ones, unchanged."""
-    panel = coded_nation(spark, d)
-    gaps = impute.gap_cells(panel)
-    filled = bayes.fill_gaps(factor.pack_levels(panel), SMALL, gaps, sims=50, seed=7)
-    observed = bayes.unpack_levels(filled.drop("filled")).join(gaps, [*KEYS, "t", "ds"], "left_anti")
-    return observed.filter("value is not null").select("series", "t", "ds", rounded(F.col("value"), 2).alias("value"))
+    filled = bayes.fill_gaps(factor.pack_levels(coded_nation(spark, d)), SMALL, sims=50, seed=7)
+    observed = bayes.unpack_levels(filled, "filled").filter(~F.array_contains("filled", F.col("t")) & F.col("value").isNotNull())
+    return observed.select("series", "t", "ds", rounded(F.col("value"), 2).alias("value"))
 
 
 @register("fill_trailing")
 def fill_trailing(spark, d):
     """Only the ragged edge of the supplier panel, and only the rows it touches."""
-    panel = coded_supplier(spark, d)
-    gaps = impute.gap_cells(panel).filter("kind = 'trailing'")
-    filled = bayes.fill_gaps(factor.pack_levels(panel), READY, gaps, sims=300, seed=7)
-    return impute.touched_rows(bayes.unpack_levels(filled.drop("filled")), gaps).select(*KEYS, "t", "ds", F.col("value"))
+    filled = bayes.fill_gaps(factor.pack_levels(coded_supplier(spark, d)), READY, ("trailing",), sims=300, seed=7)
+    rows = bayes.unpack_levels(filled, "filled")
+    touched = rows.filter(F.array_contains("filled", F.col("t"))).select("panel_id", "ds").distinct()
+    return impute.touched_rows(rows, touched).select(*KEYS, "t", "ds", "value")

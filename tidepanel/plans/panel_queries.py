@@ -122,12 +122,14 @@ def long_output(spark, d):
 
 
 def _date_texts(spark, d) -> DataFrame:
-    """Order dates as text; each priority class writes them its own way."""
+    """Order dates as text, merged to distinct texts; each priority class writes them its own way."""
     ds = F.col("o_orderdate").cast("date")
     kind = F.substring("o_orderpriority", 1, 1).cast("int")
     formats = ["M/d/yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "M-d-yyyy"]
     text = F.coalesce(*[F.when(kind == i, F.date_format(ds, f)) for i, f in enumerate(formats, 1)], F.lit("n/a"))
-    return T.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("file"), text.alias("text"))
+    return T.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("file"), text.alias("text")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")
+    )
 
 
 @register(
@@ -140,9 +142,8 @@ def _date_texts(spark, d) -> DataFrame:
 def parse_dates(spark, d):
     parsed = parse_date_column(_date_texts(spark, d), "text", FORMATS_WIDE, ["file"])
     return parsed.groupBy("file", F.trunc("ds", "MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ds").alias("lo"),
-        F.sum(F.when(F.col("ds").isNotNull(), F.col("o_orderkey") * F.day("ds"))).cast("decimal(38,0)").alias("check_sum"),
-    ).withColumn("check_sum", F.col("check_sum").cast("long"))
+        F.sum("rows").alias("n"), F.min("ds").alias("lo"), F.sum(F.col("keys") * F.day("ds")).alias("check_sum")
+    )
 
 
 @register("month_calendar", query("SELECT series, ds, t, round(value, 2) AS value FROM nm"))

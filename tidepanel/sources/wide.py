@@ -17,16 +17,21 @@ def read_wide_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding)
 
 
-def _melt(wide: DataFrame, panel_id: str, date_col: str) -> DataFrame:
-    names = [c for c in wide.columns if c not in (date_col, "_file")]
-    cells = wide.unpivot([F.col(f"`{date_col}`").alias("date_text")], [F.col(f"`{n}`") for n in names], "series", "raw")
-    return cells.withColumn("panel_id", panel_name(panel_id))
-
-
 def is_code_row(date_text):
     return F.contains(F.lower(date_text), F.lit("transform"))
 
 
+def _named(wide: DataFrame, panel_id: str) -> DataFrame:
+    """The wide table with its first column as ``date_text`` and the panel's name."""
+    first, *series = wide.columns
+    rows = wide.select(F.col(f"`{first}`").alias("date_text"), *[F.col(f"`{n}`") for n in series])
+    return rows.withColumn("panel_id", panel_name(panel_id, "date_text"))
+
+
+def _melt(rows: DataFrame, series: list[str], *ids: str) -> DataFrame:
+    return rows.unpivot([F.col(i) for i in ids], [F.col(f"`{n}`") for n in series], "series", "raw")
+
+
 def split_wide(
     wide: DataFrame,
     panel_id: str,
@@ -39,32 +44,24 @@ def split_wide(
     The code row is known by its label. ``codes`` says what to make of it: ``first`` turns an unreadable or
     absent code into 1, ``strict`` leaves it NULL and rejects a file without code row, ``auto`` accepts a file
     with or without one, ``none`` ignores it and sets every code to 1. Rows without a readable date are left out.
+    Dates are read on the wide rows, before these are turned into cells.
     """
-    date_col = wide.columns[0]
-    long = _melt(wide, panel_id, date_col)
-    labelled = is_code_row(F.col("date_text"))
-    order = wide.sparkSession.createDataFrame(
-        [(name, i) for i, name in enumerate(wide.columns[1:], 1)], "series string, pos int"
-    )
-    raw_code = number(F.col("raw"))
-    coded = long.filter(labelled).groupBy(*KEYS).agg(F.max(raw_code).cast("int").alias("tcode"))
-    if codes == "none":
-        code = F.lit(1)
-    elif codes == "strict":
-        missing = F.raise_error(F.lit("no code row in the file")).cast("int")
-        any_code = long.filter(labelled).groupBy("panel_id").agg(F.count(F.lit(1)).alias("_n"))
-        code = F.col("tcode")
-    elif codes in ("first", "auto"):
-        code = F.coalesce("tcode", F.lit(1))
-    else:
+    if codes not in ("first", "strict", "auto", "none"):
         raise ValueError(f"unknown code rule {codes!r}")
-    meta = order.withColumn("panel_id", panel_name(panel_id)).join(coded, KEYS, "left")
-    if codes == "strict":
-        meta = meta.join(any_code, "panel_id", "left")
-        code = F.when(F.col("_n") > 0, code).otherwise(missing)
-    meta = meta.select(*KEYS, code.cast("int").alias("tcode"), "pos")
-    dated = parse_date_column(long.filter(~labelled), "date_text", formats, ["panel_id"]).filter("ds is not null")
-    cells = dated.select(*KEYS, "ds", number(F.col("raw")).alias("value"))
+    series = wide.columns[1:]
+    rows = _named(wide, panel_id)
+    labelled = is_code_row(F.col("date_text"))
+    order = wide.sparkSession.createDataFrame(list(zip(series, range(1, len(series) + 1))), "series string, pos int")
+    order = order.withColumn("panel_id", panel_name(panel_id))
+    found = _melt(rows.filter(labelled), series, "panel_id")
+    coded = found.groupBy("series").agg(F.max(number(F.col("raw"))).cast("int").alias("tcode"), F.lit(True).alias("_found"))
+    code = {
+        "none": F.lit(1),
+        "strict": F.when(F.col("_found"), F.col("tcode")).otherwise(F.raise_error(F.lit("no code row in the file")).cast("int")),
+    }.get(codes, F.coalesce("tcode", F.lit(1)))
+    meta = order.join(coded, "series", "left").select(*KEYS, code.cast("int").alias("tcode"), "pos")
+    dated = parse_date_column(rows.filter(~labelled), "date_text", formats, ["panel_id"]).filter("ds is not null")
+    cells = _melt(dated, series, "panel_id", "ds").select(*KEYS, "ds", number(F.col("raw")).alias("value"))
     return unique_cells(cells, on_duplicate), meta
 
 
@@ -74,13 +71,11 @@ def read_wide(spark: SparkSession, path: str, panel_id: str, encoding: str = "UT
 
 def forecast_rows(wide: DataFrame, panel_id: str, formats: Sequence[str] = FORMATS_BASIC) -> DataFrame:
     """Rows of a wide forecast table for display: code rows (label or colon in the date) skipped, suffix stripped."""
-    long = _melt(wide, panel_id, wide.columns[0])
     text = F.lower("date_text")
-    skipped = F.contains(text, F.lit("transform")) | F.contains(text, F.lit(":"))
-    dated = parse_date_column(long.filter(~skipped), "date_text", formats, ["panel_id"])
-    return dated.filter("ds is not null").select(
-        "panel_id", strip_suffix(F.col("series")).alias("series"), "ds", number(F.col("raw")).alias("value")
-    )
+    rows = _named(wide, panel_id).filter(~(F.contains(text, F.lit("transform")) | F.contains(text, F.lit(":"))))
+    dated = parse_date_column(rows, "date_text", formats, ["panel_id"]).filter("ds is not null")
+    cells = _melt(dated, wide.columns[1:], "panel_id", "ds")
+    return cells.select("panel_id", strip_suffix(F.col("series")).alias("series"), "ds", number(F.col("raw")).alias("value"))
 
 
 def read_intervals(spark: SparkSession, root: str, horizon: int, panel_id: str) -> DataFrame:
