@@ -2,46 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.panel import KEYS, by_time
 
 
-BUCKETS = 1024  # value ranges per series in the first pass of an exact quantile
+ACCURACY = 10_000  # of the quantile sketch: its ranks are off by at most n / ACCURACY
+SMALL = 20_000  # draws of a series up to which all of them are ordered
 
 
-def _quantiles(draws: DataFrame, positions: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
-    """Exact interpolated order statistics at 1-based ``positions`` (expressions of the count ``n``).
+def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tuple[str, ...]) -> DataFrame:
+    """Exact interpolated order statistics; ``shares`` gives name -> (share, 1-based position as expression of ``n``).
 
-    Equal values are merged first. The values of a series are then counted in ranges, the ranges that hold the
-    wanted ranks are found on those counts, and only their values are ordered. So a series with a third of all
-    draws is spread over tasks by value and never sorted as a whole.
+    A mergeable sketch first brackets every wanted rank between two values that are three times its error apart.
+    Values below a bracket are only counted and those inside it are ordered, equal ones merged before. So a
+    series with a third of all draws is spread over tasks and never sorted as a whole, whatever its distribution.
     """
     group = [*KEYS, *by]
-    values = draws.filter("value is not null").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m"))
-    span = values.groupBy(*group).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.sum("_m").alias("n"))
-    share = F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    ranged = values.join(span, group).withColumn("_b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-
-    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = [edge(pos) for pos in positions.values() for edge in (F.floor, F.ceil)]
-    counts = ranged.groupBy(*group, "_b").agg(F.sum("_m").alias("_in"), F.max("n").alias("n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))
-    holds = [(F.col("_before") < r) & (r <= F.col("_before") + F.col("_in")) for r in ranks]
-    wanted = counts.filter(reduce(lambda x, y: x | y, holds)).select(*group, "_b", "_before")
-
-    inner = Window.partitionBy(*group, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = ranged.join(wanted, [*group, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_m").over(inner))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_m") < rank) & (rank <= F.col("_upto")), F.col("value")))
+    seen = draws.filter("value is not null")
+    margin = 3 / ACCURACY
+    probes = [min(max(p + side * margin, 0.0), 1.0) for p, _ in shares.values() for side in (-1, 1)]
+    sketch = F.percentile_approx("value", F.array(*[F.lit(p) for p in probes]), ACCURACY)
+    ends = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_q"))
+    values = seen.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m")).join(ends, group)
+
+    def bracket(i: int, p: float) -> tuple[Column, Column]:
+        whole = F.col("n") <= SMALL
+        below = ~whole & F.lit(p > margin) & (F.col("value") < F.col("_q")[2 * i])
+        above = ~whole & F.lit(p < 1 - margin) & (F.col("value") > F.col("_q")[2 * i + 1])
+        return below, ~below & ~above
+
+    pieces = F.array(*[
+        F.struct(F.lit(name).alias("_name"), below.alias("_below"), inside.alias("_inside"))
+        for i, (name, (p, _)) in enumerate(shares.items()) for below, inside in [bracket(i, p)]
+    ])
+    sorted_out = values.withColumn("_p", F.explode(F.filter(pieces, lambda s: s["_below"] | s["_inside"]))).select(*group, "n", "value", "_m", "_p.*")
+    before = sorted_out.filter("_below").groupBy(*group, "_name").agg(F.sum("_m").alias("_before"))
+    upto = Window.partitionBy(*group, "_name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = sorted_out.filter("_inside").join(before, [*group, "_name"], "left")
+    near = near.withColumn("_upto", F.coalesce("_before", F.lit(0)) + F.sum("_m").over(upto))
+
+    def at(name: str, rank: Column) -> Column:
+        hit = (F.col("_name") == name) & (F.col("_upto") - F.col("_m") < rank) & (rank <= F.col("_upto"))
+        return F.max(F.when(hit, F.col("value")))
 
     columns = []
-    for name, pos in positions.items():
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+    for name, (_, pos) in shares.items():
+        lo, hi = at(name, F.floor(pos)), at(name, F.ceil(pos))
         columns.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
     return near.groupBy(*group).agg(F.max("n").alias("n"), *columns)
 
@@ -49,7 +57,7 @@ def _quantiles(draws: DataFrame, positions: dict[str, Column], by: tuple[str, ..
 def interval(draws: DataFrame, *by: str) -> DataFrame:
     """Mean, exact 5% and 95% points (linear between order statistics) and deviation per series, ignoring NULL."""
     last = F.col("n") - 1
-    points = _quantiles(draws, {"p5": last * 0.05 + 1, "p95": last * 0.95 + 1}, by)
+    points = _quantiles(draws, {"p5": (0.05, last * 0.05 + 1), "p95": (0.95, last * 0.95 + 1)}, by)
     rest = draws.groupBy(*KEYS, *by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     return rest.join(points, [*KEYS, *by], "left").select(*KEYS, *by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "p5", "p95", "sd")
 
@@ -57,7 +65,8 @@ def interval(draws: DataFrame, *by: str) -> DataFrame:
 def order_statistics(draws: DataFrame, shares: list[float], *by: str) -> DataFrame:
     """Percentiles with mid-point plotting positions: position ``n p + 1/2`` between order statistics, clipped to the ends."""
     n = F.col("n")
-    return _quantiles(draws, {f"p{round(p * 100)}": F.least(F.greatest(n * F.lit(p) + 0.5, F.lit(1.0)), n.cast("double")) for p in shares}, by)
+    place = {p: F.least(F.greatest(n * F.lit(p) + 0.5, F.lit(1.0)), n.cast("double")) for p in shares}
+    return _quantiles(draws, {f"p{round(p * 100)}": (p, pos) for p, pos in place.items()}, by)
 
 
 def recent_slope(panel: DataFrame, value: str = "value", lookback: int = 12) -> DataFrame:
