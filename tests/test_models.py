@@ -209,11 +209,11 @@ def test_draw_moments(make_panel):
     assert np.all(np.abs(got[:, 0] - mean) < 5 * spread / np.sqrt(20000))
 
 
-def test_matlab_percentile():
+def test_midpoint_percentile():
     v = np.array([[3.0, 1.0, 2.0, 4.0]])
-    assert factor.matlab_percentile(v, 0.5)[0] == 2.5
-    assert factor.matlab_percentile(v, 0.05)[0] == 1.0
-    assert factor.matlab_percentile(v, 0.30)[0] == pytest.approx(1.7)
+    assert factor.midpoint_percentile(v, 0.5)[0] == 2.5
+    assert factor.midpoint_percentile(v, 0.05)[0] == 1.0
+    assert factor.midpoint_percentile(v, 0.30)[0] == pytest.approx(1.7)
 
 
 # ------------------------------------------------------------- iterated models
@@ -327,4 +327,4 @@ def test_quantiles_of_a_hot_series(spark):
         assert (r.n, r["mean"], r.p5, r.p95) == pytest.approx((len(v), v.mean(), *np.percentile(v, [5, 95])))
     for r in predictive.order_statistics(draws, [0.05, 0.5]).collect():
         v = data[r.series][None]
-        assert (r.p5, r.p50) == pytest.approx((factor.matlab_percentile(v, 0.05)[0], factor.matlab_percentile(v, 0.5)[0]))
+        assert (r.p5, r.p50) == pytest.approx((factor.midpoint_percentile(v, 0.05)[0], factor.midpoint_percentile(v, 0.5)[0]))

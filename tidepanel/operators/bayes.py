@@ -503,11 +503,11 @@ METHODS = ("efficient", "bayesian", "bayesian-ar")
 
 def next_period(
     packed: DataFrame, spec: factor.FactorSpec, method: str = "efficient", sims: int = 1000, n_samples: int = 1000, n_tune: int = 500, seed: int = 0,
-    center: str = "draws", rich: bool = False, keep: bool = False, blend: bool = False, matlab: bool = False, max_cells: int = MAX_CELLS,
+    center: str = "draws", rich: bool = False, keep: bool = False, blend: bool = False, midpoint: bool = False, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Refit on the packed levels and simulate the next period with the named method."""
     if method == "efficient":
-        return factor.draw_next(packed, spec, sims, seed, center, rich, keep, blend, matlab)
+        return factor.draw_next(packed, spec, sims, seed, center, rich, keep, blend, midpoint)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     draws = gibbs(packed, spec, n_samples, n_tune, seed=seed, max_cells=max_cells)

@@ -395,14 +395,14 @@ DRAWN = (
 )
 
 
-def matlab_percentile(values: np.ndarray, share: float) -> np.ndarray:
+def midpoint_percentile(values: np.ndarray, share: float) -> np.ndarray:
     """Order-statistic percentile with mid-point plotting positions, along the last axis."""
     ordered = np.sort(values, axis=-1)
     n = ordered.shape[-1]
     return np.apply_along_axis(lambda r: np.interp(share * n, np.arange(n) + 0.5, r), -1, ordered)
 
 
-def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool, keep: bool, blend: bool, matlab: bool):
+def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool, keep: bool, blend: bool, midpoint: bool):
     """One period ahead for every series of a batch: simulated levels, their mean and 5%/95% points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,7 +435,7 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
                     draws[~usable] = np.nan
                     out["mean"] = draws.mean(axis=1)
                     out["value"] = np.where(usable, point if center == "point" else out["mean"], np.nan)
-                    ends = [matlab_percentile(draws, p) for p in (0.05, 0.95)] if matlab else np.percentile(draws, [5, 95], axis=1)
+                    ends = [midpoint_percentile(draws, p) for p in (0.05, 0.95)] if midpoint else np.percentile(draws, [5, 95], axis=1)
                     out["p5"], out["p95"] = ends
                     out["sd"] = draws.std(axis=1)
                     if keep:
@@ -449,14 +449,14 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
 
 def draw_next(
     packed: DataFrame, spec: FactorSpec, sims: int = 1000, seed: int = 0, center: str = "draws", rich: bool = False, keep: bool = False,
-    blend: bool = False, matlab: bool = False,
+    blend: bool = False, midpoint: bool = False,
 ) -> DataFrame:
     """Simulated next period of every series from the efficient factor model.
 
     ``value`` is the mean of the simulated levels (``center='draws'``) or the level of the mean (``'point'``).
-    ``rich`` takes the heuristic factor dynamics, ``blend`` the inverse that leans on the recent trend, ``matlab``
-    the percentiles with mid-point positions; ``keep`` returns the simulated levels too.
+    ``rich`` takes the heuristic factor dynamics, ``blend`` the inverse that leans on the recent trend, ``midpoint``
+    mid-point percentiles; ``keep`` returns the simulated levels too.
     Random streams are named by panel, series and period, so results do not depend on partitioning.
     """
     rows = _series_models(packed, window_models(packed, spec))
-    return rows.mapInPandas(_draw_step(spec, sims, seed, center, rich, keep, blend, matlab), DRAWN)
+    return rows.mapInPandas(_draw_step(spec, sims, seed, center, rich, keep, blend, midpoint), DRAWN)

@@ -24,8 +24,10 @@ def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tu
     margin = 3 / ACCURACY
     probes = [min(max(p + side * margin, 0.0), 1.0) for p, _ in shares.values() for side in (-1, 1)]
     sketch = F.percentile_approx("value", F.array(*[F.lit(p) for p in probes]), ACCURACY)
-    ends = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), sketch.alias("_q"))
-    values = seen.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m")).join(ends, group)
+    ends = draws.groupBy(*group).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), sketch.alias("_q")
+    )
+    values = seen.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m")).join(ends.drop("mean", "sd"), group)
 
     def bracket(i: int, p: float) -> tuple[Column, Column]:
         whole = F.col("n") <= SMALL
@@ -51,15 +53,14 @@ def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tu
     for name, (_, pos) in shares.items():
         lo, hi = at(name, F.floor(pos)), at(name, F.ceil(pos))
         columns.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
-    return near.groupBy(*group).agg(F.max("n").alias("n"), *columns)
+    points = near.groupBy(*group).agg(*columns)
+    return ends.drop("_q").join(points, group, "left")
 
 
 def interval(draws: DataFrame, *by: str) -> DataFrame:
     """Mean, exact 5% and 95% points (linear between order statistics) and deviation per series, ignoring NULL."""
     last = F.col("n") - 1
-    points = _quantiles(draws, {"p5": (0.05, last * 0.05 + 1), "p95": (0.95, last * 0.95 + 1)}, by)
-    rest = draws.groupBy(*KEYS, *by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    return rest.join(points, [*KEYS, *by], "left").select(*KEYS, *by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "p5", "p95", "sd")
+    return _quantiles(draws, {"p5": (0.05, last * 0.05 + 1), "p95": (0.95, last * 0.95 + 1)}, by)
 
 
 def order_statistics(draws: DataFrame, shares: list[float], *by: str) -> DataFrame:

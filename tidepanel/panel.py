@@ -72,7 +72,10 @@ def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
     the last one its end. ``n_periods`` keeps the length of the calendar at hand on every row.
     """
     step = F.expr(STEP[freq])
-    bounds = cells.groupBy("panel_id").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    # The bounds read the whole cell, not only its date: with the same columns on both sides the aggregated cells
+    # are shuffled once and reused, and the raw table is scanned once.
+    cell = F.struct("ds", "value")
+    bounds = cells.groupBy("panel_id").agg(F.min(cell)["ds"].alias("lo"), F.max(cell)["ds"].alias("hi"))
     w = Window.partitionBy(*KEYS).orderBy("ds")
     first = F.row_number().over(w) == 1
     following = F.lead("ds").over(w)

@@ -72,7 +72,7 @@ def bayes_rich_forecast(spark, d):
 def rolling_blend(spark, d):
     """Two months ahead with heuristic dynamics, the trend-leaning inverse and mid-point percentiles."""
     packed = factor.pack_levels(coded_supplier(spark, d))
-    return bayes.rolling_horizon(packed, READY, 2, sims=300, seed=7, rich=True, blend=True, matlab=True).drop("draws")
+    return bayes.rolling_horizon(packed, READY, 2, sims=300, seed=7, rich=True, blend=True, midpoint=True).drop("draws")
 
 
 @register("rolling_bayes")
