@@ -7,7 +7,7 @@ from compare import compare, duck
 
 from tidepanel.plans import ALL_QUERIES, ALL_SQL
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
 
