@@ -9,7 +9,8 @@ from tidepanel.panel import KEYS, by_time
 
 
 ACCURACY = 10_000  # of the quantile sketch: its ranks are off by at most n / ACCURACY
-SMALL = 20_000  # draws of a series up to which all of them are ordered
+SMALL = 20_000  # draws of a series up to which all of them are ordered, once for all shares
+ALL = "all"
 
 
 def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tuple[str, ...]) -> DataFrame:
@@ -29,24 +30,24 @@ def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tu
     )
     values = seen.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_m")).join(ends.drop("mean", "sd"), group)
 
-    def bracket(i: int, p: float) -> tuple[Column, Column]:
-        whole = F.col("n") <= SMALL
-        below = ~whole & F.lit(p > margin) & (F.col("value") < F.col("_q")[2 * i])
-        above = ~whole & F.lit(p < 1 - margin) & (F.col("value") > F.col("_q")[2 * i + 1])
-        return below, ~below & ~above
-
-    pieces = F.array(*[
-        F.struct(F.lit(name).alias("_name"), below.alias("_below"), inside.alias("_inside"))
-        for i, (name, (p, _)) in enumerate(shares.items()) for below, inside in [bracket(i, p)]
-    ])
-    sorted_out = values.withColumn("_p", F.explode(F.filter(pieces, lambda s: s["_below"] | s["_inside"]))).select(*group, "n", "value", "_m", "_p.*")
+    def piece(name: str, below: Column, above: Column) -> Column:
+        return F.struct(F.lit(name).alias("_name"), below.alias("_below"), (~below & ~above).alias("_inside"))
+
+    def bracket(i: int, name: str, p: float) -> Column:
+        below = F.lit(p > margin) & (F.col("value") < F.col("_q")[2 * i])
+        return piece(name, below, F.lit(p < 1 - margin) & (F.col("value") > F.col("_q")[2 * i + 1]))
+
+    brackets = F.array(*[bracket(i, name, p) for i, (name, (p, _)) in enumerate(shares.items())])
+    whole = F.array(piece(ALL, F.lit(False), F.lit(False)))
+    pieces = F.when(F.col("n") <= SMALL, whole).otherwise(F.filter(brackets, lambda s: s["_below"] | s["_inside"]))
+    sorted_out = values.withColumn("_p", F.explode(pieces)).select(*group, "n", "value", "_m", "_p.*")
     before = sorted_out.filter("_below").groupBy(*group, "_name").agg(F.sum("_m").alias("_before"))
     upto = Window.partitionBy(*group, "_name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = sorted_out.filter("_inside").join(before, [*group, "_name"], "left")
     near = near.withColumn("_upto", F.coalesce("_before", F.lit(0)) + F.sum("_m").over(upto))
 
     def at(name: str, rank: Column) -> Column:
-        hit = (F.col("_name") == name) & (F.col("_upto") - F.col("_m") < rank) & (rank <= F.col("_upto"))
+        hit = F.col("_name").isin(name, ALL) & (F.col("_upto") - F.col("_m") < rank) & (rank <= F.col("_upto"))
         return F.max(F.when(hit, F.col("value")))
 
     columns = []
