@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe
+from tidepanel.llm import bpe, dedup
 from tidepanel.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op3_exact_dedup",
+    """
+    WITH t AS (
+        SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+        FROM documents
+    ), r AS (
+        SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+            first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
+            row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST) AS place
+        FROM t
+    )
+    SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
+    """,
+)
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
