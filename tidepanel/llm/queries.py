@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, dedup
+from tidepanel.llm import bpe, dedup, mixing
 from tidepanel.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,62 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def _apportioned(parties: str, group: str, names: str, votes: str, seats: str, out: str) -> str:
+    """SQL of mixing.apportion."""
+    by = f"PARTITION BY {group}"
+    return f"""(
+        SELECT p.*, coalesce(won.seats_won, 0)::BIGINT AS {out} FROM {parties} p LEFT JOIN (
+            SELECT {group}, {names}, max(low) + sum((place <= open_seats)::INT) AS seats_won FROM (
+                SELECT *, row_number() OVER ({by} ORDER BY v / (k * 2 + 1) DESC, {names}) AS place FROM (
+                    SELECT {group}, {names}, v, low, seats - sum(low) OVER ({by}) AS open_seats, unnest(CASE WHEN v > 0 THEN range(low, high + 1) ELSE [] END) AS k FROM (
+                        SELECT *, CASE WHEN v > 0 THEN greatest(0, floor(v / all_v * seats - v / all_v * parties / 2)::BIGINT - 2) ELSE 0 END AS low,
+                            CASE WHEN v > 0 THEN ceil(v / all_v * seats + v / all_v * parties / 2)::BIGINT + 2 ELSE -1 END AS high FROM (
+                            SELECT {group}, {names}, {votes}::DOUBLE AS v, {seats} AS seats, (sum({votes}) OVER ({by}))::DOUBLE AS all_v, count(*) OVER ({by}) AS parties FROM {parties}
+                        )
+                    )
+                )
+            ) GROUP BY {group}, {names}
+        ) won USING ({group}, {names})
+    )"""
+
+
+@query(
+    "op6_mix_sources",
+    f"""
+    WITH sized AS (
+        SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            md5('17:' || coalesce(doc_id::VARCHAR, '')) AS mark, md5(coalesce(text, '')) AS body
+        FROM documents
+    ), sizes AS (
+        SELECT 1 AS one, no_source, source_name, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL
+    ), ranked AS (
+        SELECT *, source_size * 3.0::DOUBLE AS lim, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY no_source, source_name) - 1) % 3 + 1)::INT] AS weight, (sum(source_size) OVER ())::DOUBLE AS total FROM sizes
+    ), levels AS (
+        SELECT *, lim / weight AS reach, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, no_source, source_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY lim / weight, no_source, source_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM ranked
+    ), targets AS (
+        SELECT one, no_source, source_name, source_size, least(lim, (SELECT l2.lev FROM levels l2 WHERE l2.lev < l2.reach ORDER BY reach, no_source, source_name LIMIT 1) * weight) AS target,
+            floor(total / 64)::BIGINT AS mix_blocks, greatest(1, ceil(source_size / 200000.0::DOUBLE))::BIGINT AS shards FROM levels
+    ), blocks AS {_apportioned("targets", "one", "no_source, source_name", "target", "mix_blocks", "blocks")}, placed AS (
+        SELECT s.*, ('0x' || substr(mark, 1, 8))::BIGINT % shards AS shard, substr(mark, 9) AS turn FROM sized s JOIN targets USING (no_source, source_name)
+    ), cells AS (
+        SELECT no_source, source_name, shard, any_value(b.source_size) AS source_size, any_value(b.target) AS target, any_value(b.blocks) AS blocks, sum(size)::BIGINT AS shard_size
+        FROM placed JOIN blocks b USING (no_source, source_name) GROUP BY ALL
+    ), quotas AS {_apportioned("cells", "no_source, source_name", "shard", "shard_size", "blocks", "quota")}, runs AS (
+        SELECT *, least(quota * 64, shard_size * 3) AS run, ('0x' || substr(md5('17:' || source_name || ':' || shard::VARCHAR), 1, 8))::BIGINT % shard_size AS start FROM quotas WHERE shard_size > 0
+    ), ended AS (
+        SELECT p.*, sum(size) OVER (PARTITION BY no_source, source_name, shard ORDER BY turn, doc_id, size, body ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM placed p
+    ), joined AS (
+        SELECT e.doc_id, e.size, e.fin, c.source_size, c.target, c.shard_size, r.run // r.shard_size AS rounds, r.start, r.start + r.run % r.shard_size AS last
+        FROM ended e JOIN cells c USING (no_source, source_name, shard) LEFT JOIN runs r USING (no_source, source_name, shard)
+    )
+    SELECT doc_id, size, source_size, target, coalesce(rounds * size + greatest(0, least(fin, last) - start) + greatest(0, least(fin, last - shard_size))
+        - greatest(0, least(fin - size, last) - start) - greatest(0, least(fin - size, last - shard_size)), 0)::BIGINT AS taken
+    FROM joined
+    """,
+)
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
