@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +77,49 @@ def held_out() -> F.col:
     A null id counts as held out, so that nothing is learnt from it.
     """
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+#: Stands for every character that is no letter.
+EDGE = 1
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point its lower-case letter, or ``EDGE`` if it is no letter."""
+    out = np.full(0x110000, EDGE, np.uint32)
+    for code in range(0x110000):
+        char = chr(code)
+        if char.isalpha():
+            low = char.lower()
+            out[code] = ord(low[0]) if len(low) == 1 else code
+    return out
+
+
+def letters(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of all texts with ``gap`` edges before, between and after them, and where each text ends."""
+    line = "\n" * gap
+    raw = np.frombuffer((line + line.join(texts) + line).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _letters()[raw], np.cumsum([gap + len(t) for t in texts])
+
+
+class Runs:
+    """Hashes of any runs of a sequence of codes, in constant time each."""
+
+    def __init__(self, codes: np.ndarray):
+        with np.errstate(over="ignore"):
+            powers = lambda base: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), base)]), dtype=np.uint64)
+            self.back = powers(INVERSE)
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum(codes.astype(np.uint64) * powers(MULTIPLIER)[:-1], dtype=np.uint64)])
+
+    def __call__(self, start, size) -> np.ndarray:
+        return (self.total[start + size] - self.total[start]) * self.back[start]
+
+    def every(self, n: int) -> np.ndarray:
+        """Of all runs of ``n`` codes."""
+        return (self.total[n:] - self.total[:-n]) * self.back[: len(self.back) - n]
+
+
+def bucket(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return (((hashes * MULTIPLIER + np.uint64(n)) * MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)

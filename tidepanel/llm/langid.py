@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from tidepanel.llm.common import slices, with_fields
+from tidepanel.llm.common import EDGE, Runs, bucket, letters, slices, with_fields
 
 NO_LANGUAGE = "und"
-BUCKETS = 1 << 17
+BITS = 17
 GRAMS = (2, 3, 4)
 #: Words in a piece of a chain.
 PIECE = 64
 #: Training: documents for each language at most (bounded sample), words from each, words before the language changes,
 #: epochs, words in a lexicon.
 SAMPLE, SNIPPET, SWITCH, EPOCHS, LEXICON = 1000, 60, 20, 6, 2000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-EDGE = 1
-
-
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """For each code point its lower-case letter, or ``EDGE`` if it is no letter."""
-    out = np.full(0x110000, EDGE, np.uint32)
-    for code in range(0x110000):
-        char = chr(code)
-        if char.isalpha():
-            low = char.lower()
-            out[code] = ord(low[0]) if len(low) == 1 else code
-    return out
 
 
 @dataclass
@@ -60,34 +44,27 @@ class Words:
 
 
 def read_words(texts: list[str | None]) -> Words:
-    bodies = [t or "" for t in texts]
-    raw = np.frombuffer(("\n" + "\n".join(bodies) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _letters()[raw]
+    codes, text_end = letters([t or "" for t in texts], 1)
     inside = codes != EDGE
     start, end = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    text_end = np.cumsum([len(b) + 1 for b in bodies])
     per_text = np.diff(np.searchsorted(start, np.concatenate([[0], text_end]), side="right"))
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), MULTIPLIER)]), dtype=np.uint64)
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), INVERSE)]), dtype=np.uint64)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(codes.astype(np.uint64) * power[:-1], dtype=np.uint64)])
-        run = lambda i, n: (total[i + n] - total[i]) * back[i]
-        hashes, first, which = np.unique(run(start, end - start), return_index=True, return_inverse=True)
-        lo, size = start[first] - 1, end[first] - start[first] + 2
-        parts, counts = [], np.zeros(len(first), np.int64)
-        for n in GRAMS:
-            number = np.maximum(size - n + 1, 0)
-            ends = np.cumsum(number)
-            at = np.repeat(lo - (ends - number), number) + np.arange(int(ends[-1]) if len(ends) else 0)
-            parts.append((ends, number, ((run(at, n) * MULTIPLIER + np.uint64(n)) * MULTIPLIER >> np.uint64(64 - 17)).astype(np.int64)))
-            counts += number
+    run = Runs(codes)
+    hashes, first, which = np.unique(run(start, end - start), return_index=True, return_inverse=True)
+    lo, size = start[first] - 1, end[first] - start[first] + 2
+    parts, counts = [], np.zeros(len(first), np.int64)
+    for n in GRAMS:
+        number = np.maximum(size - n + 1, 0)
+        ends = np.cumsum(number)
+        at = np.repeat(lo - (ends - number), number) + np.arange(int(ends[-1]) if len(ends) else 0)
+        parts.append((ends, number, bucket(run(at, n), n, BITS)))
+        counts += number
     # the n-grams of a word side by side
-    bucket = np.empty(int(counts.sum()), np.int64)
+    cells = np.empty(int(counts.sum()), np.int64)
     place = np.cumsum(counts) - counts
     for ends, number, values in parts:
-        bucket[np.repeat(place - (ends - number), number) + np.arange(len(values))] = values
+        cells[np.repeat(place - (ends - number), number) + np.arange(len(values))] = values
         place = place + number
-    return Words(per_text, which.ravel(), hashes, bucket, counts)
+    return Words(per_text, which.ravel(), hashes, cells, counts)
 
 
 @dataclass
@@ -185,7 +162,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Chain | None:
     common = [np.argsort(-seen[:, i], kind="stable")[:LEXICON] for i in range(k)]
     listed = np.unique(np.concatenate(common)) if n else np.zeros(0, np.int64)
     share = seen[listed] / np.maximum(seen[listed].sum(axis=1, keepdims=True), 1)
-    chain = Chain(labels, np.zeros((BUCKETS, k), np.float32), words.hashes[listed], ((seen[listed] >= 2) * share).astype(np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
+    chain = Chain(labels, np.zeros((1 << BITS, k), np.float32), words.hashes[listed], ((seen[listed] >= 2) * share).astype(np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
     runs = []  # (first word, words) of runs of one language, dealt anew into chains in each epoch
     for at, size in zip(np.cumsum(words.per_text) - words.per_text, words.per_text):
         runs += [(at + i, min(SWITCH, size - i)) for i in range(0, size, SWITCH)]
@@ -201,8 +178,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Chain | None:
             kinds, place = np.unique(words.which[at], return_inverse=True)
             count = words.gram_count[kinds]
             ends = np.cumsum(count)
-            bucket = words.gram_bucket[np.repeat(gram_at[kinds] - (ends - count), count) + np.arange(int(ends[-1]))]
-            scores = np.add.reduceat(chain.grams[bucket], ends - count, axis=0) + member[kinds] @ chain.lexicon_weight
+            cells = words.gram_bucket[np.repeat(gram_at[kinds] - (ends - count), count) + np.arange(int(ends[-1]))]
+            scores = np.add.reduceat(chain.grams[cells], ends - count, axis=0) + member[kinds] @ chain.lexicon_weight
             weight = np.exp(scores - scores.max(axis=1, keepdims=True))[place]
             switch = np.exp(chain.switch)
             gamma, alpha, _ = forward_backward(weight, lens, switch)
@@ -211,7 +188,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Chain | None:
             error = (truth - flat).astype(np.float32)
             by_kind = np.zeros((len(kinds), k), np.float32)
             np.add.at(by_kind, place, error)
-            touched, of = np.unique(bucket, return_inverse=True)
+            touched, of = np.unique(cells, return_inverse=True)
             spread = np.repeat(by_kind, count, axis=0)
             grad = np.stack([np.bincount(of.ravel(), spread[:, i], len(touched)) for i in range(k)], axis=1).astype(np.float32)
             inner = np.ones(len(at), bool)
@@ -258,7 +235,7 @@ def predict(df: DataFrame, chain: Chain | None, text: str = "text") -> DataFrame
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if there is no chain.
     """
-    held = df.sparkSession.sparkContext.broadcast(chain)  # BUCKETS cells for each label, and the lexicons
+    held = df.sparkSession.sparkContext.broadcast(chain)  # 2^BITS cells for each label, and the lexicons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
