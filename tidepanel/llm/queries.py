@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, dedup, langid, mixing, simhash, toxicity
+from tidepanel.llm import bpe, dedup, langid, mixing, simhash, syncmers, toxicity
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs.filter(~held_out()), labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), text.alias("text"), F.xxhash64(text).alias("body"))
+    chained = syncmers.with_next(syncmers.with_anchors(docs, "text", "anchors"), ["text", "anchors"])
+    n, moved = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - moved), F.substring(F.col("next_text"), F.lit(1), moved))
+    both = syncmers.with_anchors(chained.withColumn("n_chars", n.cast("long")).withColumn("edited", edited), "edited", "edited_anchors")
+    return both.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        dedup.sha256(F.col("edited")).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
