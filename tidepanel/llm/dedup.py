@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import new_path, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state lives on disk. Many small stores need not reserve space ahead, and a batch saves its changes only.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -55,12 +59,14 @@ def _state(staged: DataFrame, files_per_batch: int) -> DataFrame:
     folder = new_path(spark, "dedup-state")
     rows = spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", files_per_batch).parquet(_path(staged))
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*RANK)).alias("keep"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         stream = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     stream.awaitTermination()
     held = spark.read.format("statestore").load(folder).select("key.*", "value.*")
     names = ["digest", "group_size", "keep"]
