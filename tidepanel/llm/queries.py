@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, dedup, langid, mixing, simhash, syncmers, toxicity
+from tidepanel.llm import bpe, dedup, langid, licences, mixing, simhash, syncmers, toxicity
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,21 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
+
+
+@query("op2_licences")
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: paragraphs, those with a confirmed licence, predictions that no template confirms, families."""
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    # All paragraphs of a document are in one task, where they are counted; a filter on the prediction would be pushed
+    # below it and run the whole classifier once more for every use.
+    found = licences.scan(docs).select("row", "doc_id", "family", "probability", "confirmed")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    licensed = F.col("confirmed")
+    return found.groupBy("row", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_paragraphs"),
+        count(licensed).alias("n_licences"),
+        count((F.col("family") != licences.UNKNOWN) & ~licensed).alias("n_unconfirmed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(licensed, F.col("family")))), ",").alias("families"),
+        F.max(F.when(licensed, F.col("probability"))).alias("probability"),
+    ).drop("row")
