@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, dedup, langid, licences, mixing, simhash, syncmers, toxicity
+from tidepanel.llm import bpe, dedup, langid, licences, mixing, repeats, simhash, syncmers, toxicity
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,12 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(licensed, F.col("family")))), ",").alias("families"),
         F.max(F.when(licensed, F.col("probability"))).alias("probability"),
     ).drop("row")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
