@@ -186,7 +186,9 @@ def near_links(fps: DataFrame, budget: int = 2, bucket: int = BUCKET) -> DataFra
     steps = masks()
     for k, step in enumerate(steps):
         children = F.create_map(*(x for m, v in step.items() for x in (F.lit(m), F.array(*(F.lit(c) for c in v)))))
-        cells = level.select("fp", F.explode(children[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        cells = level.select("fp", F.explode(children[F.col("mask")]).alias("mask"))
+        cells = cells.distinct() if k else cells  # later masks may come from several
+        cells = cells.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         counts = cells.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         cells = written(cells.join(counts, ["mask", "value"]).select("mask", "value", "fp", "n"), "buckets")
         small = cells if k == len(steps) - 1 else cells.filter(F.col("n") <= bucket)
