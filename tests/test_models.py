@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import panelmath as P
+from tidepanel.functions import statespace as S
 from tidepanel.functions.arima import ar_path, css_group
 from tidepanel.operators import bayes, factor, impute, inverse, transform, univariate
 
@@ -265,19 +266,78 @@ def test_gibbs_posterior(make_panel):
     assert phi.value == pytest.approx(0.8, abs=0.15) and phi.n_draws == 400
     out = bayes.predict(packed, spec, draws, horizon=2, sims=400, seed=1).collect()
     assert len(out) == 20 and all(r.p5 < r.mean < r.p95 for r in out)
-    rich = bayes.predict(packed, spec, draws, horizon=4, sims=400, seed=1, rich=True).collect()
-    assert len(rich) == 40 and all(r.p5 < r.mean < r.p95 for r in rich)
 
 
-def test_distributed_gibbs_has_the_same_shape(make_panel):
+def test_gibbs_draws_do_not_depend_on_where_they_are_made(make_panel):
     _, x = dfm_data(6, 40)
     packed = factor.pack_levels(make_panel(columns(x)))
     spec = factor.FactorSpec(k=1, prepare="ready", dynamics="ar1", horizon=1)
-    shapes = []
-    for cells in (10**6, 0):
-        d = bayes.gibbs(packed, spec, n_samples=2, n_tune=1, seed=1, max_cells=cells)
-        shapes.append(sorted((r.param, r.draw, r.n) for r in d.groupBy("param", "draw").agg(F.count("value").alias("n")).collect()))
-    assert shapes[0] == shapes[1]
+    key = lambda r: (r.param, r.draw, r.series or "", r.i, r.k)
+    a, b = (sorted(bayes.gibbs(packed, spec, n_samples=3, n_tune=1, seed=1, max_cells=cells).collect(), key=key) for cells in (10**6, 0))
+    assert [key(r) for r in a] == [key(r) for r in b]
+    np.testing.assert_allclose([r.value for r in a], [r.value for r in b], rtol=1e-6, atol=1e-9)
+
+
+def test_conditional_of_the_coefficient_uses_the_noise_variance():
+    """Far from unit noise: the posterior of phi is that of a regression with known variance."""
+    rng = np.random.default_rng(2)
+    f = np.zeros((60, 2))
+    for t in range(1, 60):
+        f[t] = 0.7 * f[t - 1] + np.array([0.05, 9.0]) * rng.normal(size=2)
+    sigma2 = np.array([0.05**2, 9.0**2])
+    mean, variance = S.dynamics_posterior(f, sigma2)
+    grid = np.linspace(-3, 3, 60001)
+    for k in range(2):
+        loglik = -((f[1:, k, None] - grid * f[:-1, k, None]) ** 2).sum(axis=0) / (2 * sigma2[k]) - grid**2 / 2
+        w = np.exp(loglik - loglik.max())
+        w /= w.sum()
+        assert mean[k] == pytest.approx((w * grid).sum(), rel=1e-4)
+        assert variance[k] == pytest.approx((w * grid**2).sum() - (w * grid).sum() ** 2, rel=1e-3)
+
+
+def test_factor_paths_have_the_posterior_of_their_joint_normal():
+    rng = np.random.default_rng(4)
+    t, phi, sigma2 = 5, np.array([0.6, -0.3]), np.array([0.5, 2.0])
+    z, lam, psi = rng.normal(size=(4, t)), rng.normal(size=(4, 2)), np.array([0.5, 1.0, 2.0, 1.5])
+    prior = np.zeros((t * 2, t * 2))
+    for k in range(2):
+        lag = np.abs(np.subtract.outer(np.arange(t), np.arange(t)))
+        prior[k::2, k::2] = sigma2[k] / (1 - phi[k] ** 2) * phi[k] ** lag
+    load = np.kron(np.eye(t), lam)
+    precision = np.linalg.inv(prior) + load.T @ np.diag(np.tile(1 / psi, t)) @ load
+    mean = np.linalg.solve(precision, load.T @ (z.T.ravel() / np.tile(psi, t)))
+    draws = np.array([S.sample_factors(S.information(z, lam, psi), phi, sigma2, rng).ravel() for _ in range(6000)])
+    np.testing.assert_allclose(draws.mean(axis=0), mean, atol=0.06)
+    np.testing.assert_allclose(np.cov(draws.T), np.linalg.inv(precision), atol=0.06)
+
+
+def test_row_conditionals():
+    rng = np.random.default_rng(5)
+    f, z, psi = rng.normal(size=(30, 2)), rng.normal(size=(1, 30)), np.array([0.4])
+    lam = np.array([S.sample_rows(z, psi, f, rng.standard_normal((1, 2)), np.array([20.0]))[0][0] for _ in range(6000)])
+    precision = f.T @ f / 0.4 + np.eye(2)
+    np.testing.assert_allclose(lam.mean(axis=0), np.linalg.solve(precision, f.T @ z[0] / 0.4), atol=0.01)
+    np.testing.assert_allclose(np.cov(lam.T), np.linalg.inv(precision), atol=0.002)
+
+
+def test_forecast_dates_of_hours_and_days(spark):
+    """The periods after the last one, whatever the frequency."""
+    import datetime
+
+    from tidepanel.operators import univariate
+
+    start = datetime.datetime(2020, 1, 1)
+    for freq, step in (("hour", datetime.timedelta(hours=1)), ("day", datetime.timedelta(days=1))):
+        kind = "timestamp" if freq == "hour" else "date"
+        at = lambda i: start + i * step if freq == "hour" else (start + i * step).date()  # noqa: E731, B023
+        rows = [("p", f"s{j}", at(i), i + 1, float((i * (j + 3)) % 11 + i), 61, 1) for j in range(5) for i in range(61)]
+        panel = spark.createDataFrame(rows, f"panel_id string, series string, ds {kind}, t int, value double, n_periods int, tcode int")
+        want = [at(61), at(62)]
+        spec = factor.FactorSpec(k=1, freq=freq, horizon=2, min_obs=20)
+        got = factor.forecast_panel(factor.pack_levels(panel, freq), spec).filter("series = 's0'").orderBy("h").collect()
+        assert [r.ds for r in got] == want
+        assert [r.ds for r in univariate.naive(panel, 2, freq=freq).filter("series = 's0'").orderBy("h").collect()] == want
+        assert [r.ds for r in univariate.ar1_forecast(panel, 2, freq).filter("series = 's0'").orderBy("h").collect()] == want
 
 
 def test_unknown_method(make_panel):
@@ -327,4 +387,5 @@ def test_quantiles_of_a_hot_series(spark):
         assert (r.n, r["mean"], r.p5, r.p95) == pytest.approx((len(v), v.mean(), *np.percentile(v, [5, 95])))
     for r in predictive.order_statistics(draws, [0.05, 0.5]).collect():
         v = data[r.series][None]
-        assert (r.p5, r.p50) == pytest.approx((factor.midpoint_percentile(v, 0.05)[0], factor.midpoint_percentile(v, 0.5)[0]))
+        assert "p5" in r.asDict() and (r.p5, r.p50) == pytest.approx((factor.midpoint_percentile(v, 0.05)[0], factor.midpoint_percentile(v, 0.5)[0]))
+    assert {"p2", "p2_4"} <= set(predictive.order_statistics(draws, [0.02, 0.024]).columns)

@@ -46,5 +46,21 @@ def future_same_day(last: Column, h: Column) -> Column:
     return F.add_months(last, h)
 
 
+def shifted(first: Column, periods: Column, freq: str) -> Column:
+    """``first`` moved by a number of periods of the panel's frequency."""
+    if freq == "month":
+        return F.add_months(first, periods)
+    if freq == "day":
+        return F.date_add(first, periods)
+    if freq == "hour":
+        return F.timestamp_add("HOUR", periods, first)
+    raise ValueError(f"unknown frequency {freq!r}")
+
+
+def future(last: Column, h: Column, freq: str = "month") -> Column:
+    """The ``h``-th period after ``last``; for months its first day."""
+    return future_month_start(last, h) if freq == "month" else shifted(last, h, freq)
+
+
 def horizon_label(h: Column) -> Column:
     return F.when(h == 1, F.lit("1 Month")).otherwise(F.concat(h.cast("string"), F.lit(" Months")))

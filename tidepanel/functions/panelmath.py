@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 
@@ -130,36 +130,10 @@ def level_rows(f: np.ndarray, last: np.ndarray, prev: np.ndarray, codes: np.ndar
     return np.where(np.isnan(a), np.nan, out)
 
 
-def blended_rows(val: np.ndarray, v: np.ndarray, codes: np.ndarray, plain: np.ndarray, recent: int = 12, weight: float = 0.7) -> np.ndarray:
-    """One-step levels that lean on each row's recent trend for codes 5-7, clipped to five deviations for codes 4-7.
+def stream(*parts) -> np.random.Generator:
+    """Random stream named by its parts: the same on every run, executor and partitioning.
 
-    ``val`` and ``plain`` are (rows, draws): the transformed values and their plain inverse.
+    Each part is preceded by its length, so no two lists of parts share a name.
     """
-    out = plain.copy()
-    for r, code in enumerate(codes):
-        seen = v[r][~np.isnan(v[r])]
-        if code < 4 or not len(seen):
-            continue
-        last, prev, near = seen[-1], seen[-2] if len(seen) > 1 else seen[-1], seen[-recent:]
-        logs = np.log(near[near > 0])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratios = np.diff(near) / near[:-1]
-        ratios = ratios[np.isfinite(ratios)]
-        own = 1 - weight
-        if code == 5 and last > 0 and len(logs) >= 3:
-            out[r] = last * np.exp(weight * val[r] + own * np.diff(logs).mean())
-        elif code == 6 and last > 0 and prev > 0 and len(logs) >= 4:
-            out[r] = last * np.exp(np.log(last) - np.log(prev) + weight * val[r] + own * np.diff(logs, n=2).mean())
-        elif code == 7 and prev != 0 and len(near) >= 4 and len(ratios):
-            step = last / prev - 1
-            out[r] = last * (1 + step + weight * val[r] + own * (ratios.mean() - step))
-        sd = seen.std(ddof=1) if len(seen) > 1 else 0.0
-        if sd > 0:
-            out[r] = np.clip(out[r], seen.mean() - 5 * sd, seen.mean() + 5 * sd)
-    return out
-
-
-def stream(*parts) -> np.random.Generator:
-    """Random stream named by its parts: the same on every run, executor and partitioning."""
-    key = "|".join(str(p) for p in parts).encode()
-    return np.random.Generator(np.random.Philox(key=(zlib.crc32(key) << 32) | zlib.adler32(key)))
+    named = b"".join(len(p).to_bytes(8, "big") + p for p in (str(p).encode() for p in parts))
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.blake2b(named, digest_size=16).digest(), "big")))

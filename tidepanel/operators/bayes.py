@@ -3,7 +3,8 @@
 Both run in one of two ways with the same numeric steps. A panel of at most ``max_cells`` cells is fitted whole
 inside a task, so a fleet of ordinary panels (and their chains) runs as independent tasks. A larger panel is
 never gathered: every iteration sums the series' information where they are, makes one small step per panel on
-the sum, and updates the series in place; each iteration ends in a checkpoint.
+the sum, and updates the series in place; each iteration ends in a checkpoint. Random streams are named by panel,
+chain, iteration and series, so both ways draw the same values, up to the order of sums.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from tidepanel.functions.dates import future_month_start
 from tidepanel.functions.panelmath import as_block, last_two, level_rows, stream
 from tidepanel.operators import factor
 from tidepanel.operators.inverse import level_path
-from tidepanel.operators.simulate import LOOKBACK, regime_paths
 from tidepanel.panel import KEYS
 from tidepanel.session import cut_lineage, spread
 
@@ -128,7 +128,7 @@ def _gibbs_step(seed: int, iteration: int):
 def _gibbs_factors(info: np.ndarray, theta: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = info.shape[1]
     f = S.sample_factors(info, theta[:k], theta[k:], rng)
-    return f, *S.sample_dynamics(f, rng)
+    return f, *S.sample_dynamics(f, theta[k:], rng)
 
 
 def _row_noise(seed: int, panel: str, chain: int, iteration: int, series, k: int, periods: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,12 +297,11 @@ def _gibbs_in_task(n_samples: int, n_tune: int, seed: int):
         z, lam, psi = as_block(part["z"]), as_block(part["lam"]), part["psi"].to_numpy()
         theta = np.asarray(part["theta"].iloc[0], dtype=float)
         t, k = z.shape[1], lam.shape[1]
-        rng = stream(seed, panel, chain)
         out = []
         for it in range(n_tune + n_samples):
-            f, phi, sigma2 = _gibbs_factors(S.information(z, lam, psi), theta, rng)
+            f, phi, sigma2 = _gibbs_factors(S.information(z, lam, psi), theta, stream(seed, panel, chain, it))
             theta = np.concatenate([phi, sigma2])
-            lam, psi = S.sample_rows(z, psi, f, rng.standard_normal(lam.shape), rng.gamma(3.0 + t / 2, size=len(z)))
+            lam, psi = S.sample_rows(z, psi, f, *_row_noise(seed, panel, chain, it, part["series"], k, t))
             if it >= n_tune:
                 out.append(_draw_rows(panel, chain, it - n_tune, part["series"], lam, psi, f, phi, sigma2))
         return pd.concat(out, ignore_index=True)
@@ -407,25 +406,7 @@ def _panel_paths(sims: int, horizon: int, seed: int, step: int):
     return run
 
 
-def _regime_panel(sims: int, horizon: int, seed: int, step: int):
-    """Factor values from the rich posterior dynamics: every simulation runs on from its own joint draw."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        panel = part["panel_id"].iloc[0]
-        wide = {}
-        for param in ("F", "Phi", "Sigma2"):
-            rows = part[part["param"] == param].sort_values(["chain", "draw", "i", "k"])
-            k = int(rows["k"].max()) + 1
-            n = len(rows[["chain", "draw"]].drop_duplicates())
-            wide[param] = rows["value"].to_numpy().reshape(n, -1, k)
-        pick = stream(seed, panel, "pick", step).integers(len(wide["Phi"]), size=sims)
-        out = regime_paths(stream(seed, panel, "path", step), wide["F"][pick], wide["Phi"][pick, 0], wide["Sigma2"][pick, 0], pick + 1, horizon)
-        return pd.DataFrame({"panel_id": [panel], "paths": [out.ravel().tolist()]})
-
-    return run
-
-
-def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool, rich: bool):
+def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for panel, part in batch.groupby("panel_id"):
@@ -437,9 +418,6 @@ def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool, ric
                     pick = stream(seed, panel, "pick", step).integers(len(psi), size=sims)
                     rng = stream(seed, panel, row.series, step)
                     shock = rng.standard_normal((sims, horizon))
-                    if rich:
-                        growing = np.sqrt(1 + 0.3 * np.arange(1, horizon + 1) / horizon)
-                        shock = shock * np.where(rng.random((sims, horizon)) < 0.05, 2.0, growing)
                     std = np.einsum("sk,shk->sh", lam[pick], paths) + np.sqrt(psi[pick])[:, None] * shock
                     level = level_rows((std * row.sd + row.mu)[None], np.array([row.last]), np.array([row.prev]), np.array([row.tcode]), True)[0]
                     p5, p95 = np.percentile(level, [5, 95], axis=0)
@@ -452,13 +430,12 @@ def _predict_rows(sims: int, horizon: int, seed: int, step: int, keep: bool, ric
 
 def predict(
     packed: DataFrame, spec: factor.FactorSpec, draws: DataFrame, method: str = "bayesian", horizon: int = 1, sims: int = 1000, seed: int = 0,
-    step: int = 0, keep: bool = False, rich: bool = False,
+    step: int = 0, keep: bool = False,
 ) -> DataFrame:
     """Posterior predictive mean, 5% and 95% points of every series' next periods.
 
     Each simulation takes one joint draw of loadings and variances. ``bayesian`` runs the mean factors on with the
-    least-squares AR(1) of each, ``bayesian-ar`` with a fresh draw of a Bayesian AR(1) at every step. ``rich``
-    runs each joint draw on from its own factor history with trend, cycles, clustered variance and jumps.
+    least-squares AR(1) of each, ``bayesian-ar`` with a fresh draw of a Bayesian AR(1) at every step.
     """
     per_series = draws.filter("param in ('Lambda', 'Psi')")
     ordered = F.array_sort(F.collect_list(F.struct("chain", "draw", "k", "value")))
@@ -466,22 +443,14 @@ def predict(
     per_series = per_series.select(
         *KEYS, F.transform("Lambda", lambda r: r["value"]).alias("lam_draws"), F.transform("Psi", lambda r: r["value"]).alias("psi_draws")
     )
-    paths = _regime_draws(draws, sims, horizon, seed, step) if rich else _ar_paths(draws, method, sims, horizon, seed, step)
+    paths = _ar_paths(draws, method, sims, horizon, seed, step)
     rows = standardized(packed, spec).drop("z").join(per_series, KEYS).join(paths, "panel_id")
-    return rows.mapInPandas(_predict_rows(sims, horizon, seed, step, keep, rich), factor.DRAWN)
+    return rows.mapInPandas(_predict_rows(sims, horizon, seed, step, keep), factor.DRAWN)
 
 
 PATHS = "panel_id string, paths array<double>"
 
 
-def _regime_draws(draws: DataFrame, sims: int, horizon: int, seed: int, step: int) -> DataFrame:
-    """Only the newest factor values of each draw are needed, so only they meet."""
-    params = draws.filter("param in ('F', 'Phi', 'Sigma2')")
-    end = params.groupBy("panel_id").agg(F.max("i").alias("_end"))
-    recent = params.join(end, "panel_id").filter((F.col("param") != "F") | (F.col("i") > F.col("_end") - LOOKBACK)).drop("_end", "series")
-    return recent.groupBy("panel_id").applyInPandas(_regime_panel(sims, horizon, seed, step), PATHS)
-
-
 def _ar_paths(draws: DataFrame, method: str, sims: int, horizon: int, seed: int, step: int) -> DataFrame:
     factors = posterior_factors(draws)
     if method == "bayesian":
@@ -503,15 +472,15 @@ METHODS = ("efficient", "bayesian", "bayesian-ar")
 
 def next_period(
     packed: DataFrame, spec: factor.FactorSpec, method: str = "efficient", sims: int = 1000, n_samples: int = 1000, n_tune: int = 500, seed: int = 0,
-    center: str = "draws", rich: bool = False, keep: bool = False, blend: bool = False, midpoint: bool = False, max_cells: int = MAX_CELLS,
+    center: str = "draws", keep: bool = False, midpoint: bool = False, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Refit on the packed levels and simulate the next period with the named method."""
     if method == "efficient":
-        return factor.draw_next(packed, spec, sims, seed, center, rich, keep, blend, midpoint)
+        return factor.draw_next(packed, spec, sims, seed, center, keep, midpoint)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     draws = gibbs(packed, spec, n_samples, n_tune, seed=seed, max_cells=max_cells)
-    return predict(packed, spec, draws, method, 1, sims, seed, keep=keep, rich=rich)
+    return predict(packed, spec, draws, method, 1, sims, seed, keep=keep)
 
 
 def rolling_horizon(packed: DataFrame, spec: factor.FactorSpec, horizon: int, **options) -> DataFrame:

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.panelmath import as_block, blended_rows, last_two, level_rows, ready_rows, scale_rows, stationary_rows, stream
+from tidepanel.functions.dates import shifted
+from tidepanel.functions.panelmath import as_block, last_two, level_rows, ready_rows, scale_rows, stationary_rows, stream
 from tidepanel.operators.simulate import factor_paths
 from tidepanel.panel import KEYS
 from tidepanel.session import spread
@@ -64,12 +65,12 @@ class FactorSpec:
         return [(o, o, self.window) for o in range(n - self.window - self.horizon + 1)]
 
 
-def pack_levels(panel: DataFrame) -> DataFrame:
-    """One row per series: all its periods as an array (missing ones NULL), code and first date."""
+def pack_levels(panel: DataFrame, freq: str = "month") -> DataFrame:
+    """One row per series: all its periods as an array (missing ones NULL), code and first date, for hours first time."""
     rows = panel.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_rows"), F.max("tcode").alias("tcode"), F.min("ds").alias("first_ds")
     )
-    return rows.select(*KEYS, "tcode", F.col("first_ds").cast("date").alias("first_ds"), F.transform("_rows", lambda r: r["value"]).alias("v"))
+    return rows.select(*KEYS, "tcode", F.col("first_ds").cast("timestamp" if freq == "hour" else "date").alias("first_ds"), F.transform("_rows", lambda r: r["value"]).alias("v"))
 
 
 def _days(first, n: int, freq: str) -> np.ndarray:
@@ -159,15 +160,15 @@ def _var_path(f: np.ndarray, order: int, horizon: int) -> np.ndarray:
 
 
 def factor_ar1_arrays(f: np.ndarray, ddof: int = 0):
-    """Intercept, clipped slope and floored residual deviation of each column of ``f``; zeros for short ones."""
-    t, k = f.shape
-    c, phi, sigma = np.zeros(k), np.zeros(k), np.zeros(k)
-    for i in range(k if t >= 3 else 0):
-        design = np.column_stack([np.ones(t - 1), f[:-1, i]])
-        beta = np.linalg.lstsq(design, f[1:, i], rcond=None)[0]
-        c[i], phi[i] = beta[0], np.clip(beta[1], -0.99, 0.99)
-        sigma[i] = max(np.std(f[1:, i] - design @ beta, ddof=ddof), FLOOR)
-    return c, phi, sigma
+    """Least-squares AR(1) of all columns of ``f`` at once: intercept, slope within 0.99, residual deviation of at least
+    ``FLOOR``; zeros for columns of fewer than three values. A constant column has slope 0."""
+    if len(f) < 3:
+        return (np.zeros(f.shape[1]),) * 3
+    before, now = f[:-1] - f[:-1].mean(axis=0), f[1:] - f[1:].mean(axis=0)
+    spread = (before**2).sum(axis=0)
+    slope = np.where(spread > 0, (before * now).sum(axis=0) / np.where(spread > 0, spread, 1.0), 0.0)
+    deviation = np.sqrt(((now - slope * before) ** 2).sum(axis=0) / (len(now) - ddof))
+    return f[1:].mean(axis=0) - slope * f[:-1].mean(axis=0), np.clip(slope, -0.99, 0.99), np.maximum(deviation, FLOOR)
 
 
 def _window_model(spec: FactorSpec):
@@ -301,10 +302,11 @@ def forecast_panel(packed: DataFrame, spec: FactorSpec, models: DataFrame | None
     Series that were not usable keep their rows with a NULL value; ``status`` tells failed windows.
     """
     models = window_models(packed, spec) if models is None else models
-    rows = _series_models(packed, models).mapInPandas(_project(spec, False), PROJECTED)
+    schema = PROJECTED.replace("first_ds date", "first_ds timestamp") if spec.freq == "hour" else PROJECTED
+    rows = _series_models(packed, models).mapInPandas(_project(spec, False), schema)
     steps = rows.select(*KEYS, "origin", "t_last", "first_ds", "status", F.posexplode("levels").alias("_i", "value"))
     h = F.col("_i") + 1
-    ds = F.add_months(F.col("first_ds"), F.col("t_last") + F.col("_i")) if spec.freq == "month" else F.date_add(F.col("first_ds"), F.col("t_last") + F.col("_i"))
+    ds = shifted(F.col("first_ds"), F.col("t_last") + F.col("_i"), spec.freq)
     return steps.select(*KEYS, "origin", h.alias("h"), ds.alias("ds"), F.nanvl("value", F.lit(None)).alias("value"), "status")
 
 
@@ -402,7 +404,7 @@ def midpoint_percentile(values: np.ndarray, share: float) -> np.ndarray:
     return np.apply_along_axis(lambda r: np.interp(share * n, np.arange(n) + 0.5, r), -1, ordered)
 
 
-def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool, keep: bool, blend: bool, midpoint: bool):
+def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, keep: bool, midpoint: bool):
     """One period ahead for every series of a batch: simulated levels, their mean and 5%/95% points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -423,15 +425,13 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
                     psi = np.maximum((z - load @ u).std(axis=1), FLOOR)
                     key = (panel, int(origin), width)
                     if key not in paths:
-                        paths[key] = factor_paths(stream(seed, panel, width, "f"), sims, 1, head, rich)[:, 0, :]
+                        paths[key] = factor_paths(stream(seed, panel, width, "f"), sims, 1, head)[:, 0, :]
                     noise = np.stack([stream(seed, panel, width, s).standard_normal(sims) for s in part["series"]])
                     std = load @ paths[key].T + psi[:, None] * noise
                     trans = std * sd[:, None] + mu[:, None]
                     last, prev = last_two(v)
                     draws = level_rows(trans[:, :, None], last, prev, codes, repeat=True)[:, :, 0]
                     point = level_rows(trans.mean(axis=1)[:, None], last, prev, codes, repeat=True)[:, 0]
-                    if blend:
-                        draws = blended_rows(trans, v, codes, draws)
                     draws[~usable] = np.nan
                     out["mean"] = draws.mean(axis=1)
                     out["value"] = np.where(usable, point if center == "point" else out["mean"], np.nan)
@@ -448,15 +448,13 @@ def _draw_step(spec: FactorSpec, sims: int, seed: int, center: str, rich: bool,
 
 
 def draw_next(
-    packed: DataFrame, spec: FactorSpec, sims: int = 1000, seed: int = 0, center: str = "draws", rich: bool = False, keep: bool = False,
-    blend: bool = False, midpoint: bool = False,
+    packed: DataFrame, spec: FactorSpec, sims: int = 1000, seed: int = 0, center: str = "draws", keep: bool = False, midpoint: bool = False,
 ) -> DataFrame:
     """Simulated next period of every series from the efficient factor model.
 
     ``value`` is the mean of the simulated levels (``center='draws'``) or the level of the mean (``'point'``).
-    ``rich`` takes the heuristic factor dynamics, ``blend`` the inverse that leans on the recent trend, ``midpoint``
-    mid-point percentiles; ``keep`` returns the simulated levels too.
+    ``midpoint`` takes mid-point percentiles; ``keep`` returns the simulated levels too.
     Random streams are named by panel, series and period, so results do not depend on partitioning.
     """
     rows = _series_models(packed, window_models(packed, spec))
-    return rows.mapInPandas(_draw_step(spec, sims, seed, center, rich, keep, blend, midpoint), DRAWN)
+    return rows.mapInPandas(_draw_step(spec, sims, seed, center, keep, midpoint), DRAWN)

@@ -45,14 +45,15 @@ def history_then_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:
     )
 
 
-def chart_axis(actual: DataFrame, forecasts: DataFrame, interval: DataFrame, months_back: int = 24) -> DataFrame:
-    """One row per series and month: actual of the months before the first forecast, point forecasts, interval.
+def chart_axis(actual: DataFrame, forecasts: DataFrame, interval: DataFrame, models: dict[str, str], months_back: int = 24) -> DataFrame:
+    """One row per series and month: actual of the months before the first forecast, each model's forecast, interval.
 
-    ``forecasts`` carry ``model``; ``interval`` carries ``mean, p5, p95``. The pieces are stacked and folded by
-    one aggregation instead of a chain of outer joins.
+    ``forecasts`` carry ``model``; ``models`` names the column of each model that is shown. ``interval`` carries
+    ``mean, p5, p95``. The pieces are stacked and folded by one aggregation instead of a chain of outer joins.
     """
     empty = F.lit(None).cast("double")
-    point = forecasts.filter("value is not null").select(*KEYS, "ds", F.col("value").alias("forecast"))
+    shown = forecasts.filter(F.col("value").isNotNull() & F.col("model").isin(*models))
+    point = shown.select(*KEYS, "ds", *[F.when(F.col("model") == m, F.col("value")).alias(c) for m, c in models.items()])
     band = interval.filter("mean is not null").select(*KEYS, "ds", "mean", "p5", "p95")
     starts = point.select(*KEYS, "ds").unionByName(band.select(*KEYS, "ds")).groupBy(*KEYS).agg(F.min("ds").alias("_from"))
     recent = (
@@ -61,7 +62,7 @@ def chart_axis(actual: DataFrame, forecasts: DataFrame, interval: DataFrame, mon
         .filter(F.col("_from").isNull() | (F.col("ds") >= F.add_months("_from", -months_back)))
         .select(*KEYS, "ds", F.col("value").alias("actual"))
     )
-    columns = ["actual", "forecast", "mean", "p5", "p95"]
+    columns = ["actual", *models.values(), "mean", "p5", "p95"]
 
     def shaped(df: DataFrame) -> DataFrame:
         return df.select(

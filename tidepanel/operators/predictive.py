@@ -55,7 +55,9 @@ def _quantiles(draws: DataFrame, shares: dict[str, tuple[float, Column]], by: tu
         lo, hi = at(name, F.floor(pos)), at(name, F.ceil(pos))
         columns.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
     points = near.groupBy(*group).agg(*columns)
-    return ends.drop("_q").join(points, group, "left")
+    missed = F.raise_error(F.lit("a bracket of the sketch misses its rank"))
+    checked = [F.when((F.col("n") > 0) & F.col(c).isNull(), missed).otherwise(F.col(c)).alias(c) for c in shares]
+    return ends.drop("_q").join(points, group, "left").select(*group, "n", "mean", "sd", *checked)
 
 
 def interval(draws: DataFrame, *by: str) -> DataFrame:
@@ -65,10 +67,14 @@ def interval(draws: DataFrame, *by: str) -> DataFrame:
 
 
 def order_statistics(draws: DataFrame, shares: list[float], *by: str) -> DataFrame:
-    """Percentiles with mid-point plotting positions: position ``n p + 1/2`` between order statistics, clipped to the ends."""
+    """Percentiles with mid-point plotting positions: position ``n p + 1/2`` between order statistics, clipped to the ends.
+
+    Share 0.05 is column ``p5``, share 0.024 is ``p2_4``.
+    """
     n = F.col("n")
     place = {p: F.least(F.greatest(n * F.lit(p) + 0.5, F.lit(1.0)), n.cast("double")) for p in shares}
-    return _quantiles(draws, {f"p{round(p * 100)}": (p, pos) for p, pos in place.items()}, by)
+    names = {p: f"p{p * 100:.10g}".replace(".", "_") for p in shares}
+    return _quantiles(draws, {names[p]: (p, pos) for p, pos in place.items()}, by)
 
 
 def recent_slope(panel: DataFrame, value: str = "value", lookback: int = 12) -> DataFrame:

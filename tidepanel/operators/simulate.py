@@ -4,84 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-BOUND = 6.0
-LOOKBACK = 12  # periods of factor history that set trend and variance of a path
 
-
-def factor_paths(rng: np.random.Generator, sims: int, horizon: int, model, rich: bool = False) -> np.ndarray:
-    """Simulated factors (sims, horizon, K) from AR(1) dynamics, or from the ``rich`` heuristic dynamics."""
-    c, phi, sigma, f0, before = (np.asarray(model[name], dtype=float) for name in ("c", "phi", "sigma", "f_last", "f_prev"))
-    out = np.zeros((sims, horizon, len(f0)))
-    f = np.tile(f0, (sims, 1))
-    if not rich:
-        for h in range(horizon):
-            f = c + phi * f + sigma * rng.standard_normal(f.shape)
-            out[:, h] = f
-        return out
-    return _rich_paths(rng, out, f, np.tile(before, (sims, 1)), phi, sigma)
-
-
-def _rich_paths(rng, out, f, lag, phi, sigma) -> np.ndarray:
-    """Slow trend, momentum, reversion, a 48-period cycle, clustered variance and rare shocks, clipped."""
-    sims, horizon, k = out.shape
-    trend = np.zeros_like(f)
-    variance = np.tile(sigma**2, (sims, 1))
-    for h in range(1, horizon + 1):
-        trend = 0.95 * trend + 0.05 * f
-        cycle = 0.15 * np.sin(2 * np.pi * h / 48 + 0.5 * rng.random(f.shape)) * np.sign(f)
-        if h > 1:
-            variance = 0.05 * sigma**2 + 0.10 * (f - lag) ** 2 + 0.85 * variance
-        shocked = rng.random((sims, 1)) < 0.08
-        shock = np.where(shocked, 0.6 * sigma * rng.standard_normal(f.shape), 0.0)
-        core = trend + np.exp(-0.015 * h) * phi * (f - trend)
-        moved = core + 0.25 * (f - lag) - 0.10 * (f - trend) + cycle + shock + np.sqrt(variance) * rng.standard_normal(f.shape)
-        lag, f = f, np.clip(moved, -BOUND, BOUND)
-        out[:, h - 1] = f
-    return out
-
-
-def regime_paths(rng, history: np.ndarray, phi: np.ndarray, sigma2: np.ndarray, draw_no: np.ndarray, horizon: int) -> np.ndarray:
-    """Paths (sims, horizon, K) that run on from ``history`` (sims, periods, K) of each simulation's own draw.
-
-    Trend from the recent slope, three cycles, momentum, reversion that stiffens away from the trend, clustered
-    variance with high-variance spells, jumps that mostly revert, mild downward skew and soft bounds.
-    """
-    sims, periods, k = history.shape
-    f = history[:, -1]
-    lag = history[:, -2] if periods > 1 else f
-    trend = np.zeros_like(f)
-    if periods > 3:
-        x = np.arange(periods) - (periods - 1) / 2
-        trend = np.einsum("t,stk->sk", x, history) / (x @ x) * periods
-    base = sigma2
-    if periods > 2:
-        base = 0.5 * sigma2 + 0.5 * np.diff(history, axis=1).var(axis=1, ddof=1)
-    variance = base
-    out = np.zeros((sims, horizon, k))
-    number = draw_no[:, None]
-    for h in range(1, horizon + 1):
-        trend = 0.92 * trend + 0.08 * (f - trend) + 0.05 * 0.3 * trend
-        waves = [(0.20, 48, 0.10), (0.10, 12, 0.20), (0.08, 96, 0.15)]
-        cycle = sum(size * np.sin(2 * np.pi * h / length + number * shift) for size, length, shift in waves)
-        cycle = cycle * (1 + 0.2 * np.tanh(f))
-        away = f - trend
-        reversion = -0.12 * away * (1 + 0.5 * np.abs(away))
-        if h > 1:
-            variance = 0.03 * base + 0.15 * (f - lag) ** 2 + 0.82 * variance
-        if h > 3:
-            wild = out[:, h - 4 : h - 1].var(axis=1, ddof=1).mean(axis=1, keepdims=True) > 2 * base.mean(axis=1, keepdims=True)
-            variance = np.where(wild, 1.5 * variance, variance)
-        variance = np.clip(variance, 0.1 * base, 10 * base)
-        chance = 0.06 + 0.04 * np.minimum(np.abs(away).mean(axis=1, keepdims=True), 2)
-        jump = 0.8 * np.sqrt(variance) * rng.standard_normal(f.shape)
-        jump = np.where(rng.random((sims, 1)) < 0.6, -np.sign(away) * np.abs(jump), jump)
-        jump = np.where(rng.random((sims, 1)) < chance, jump, 0.0)
-        spike = np.where(rng.random((sims, 1)) < 0.05, 1 + 0.5 * np.abs(rng.standard_normal((sims, 1))), 1.0)
-        variance = variance * spike
-        persistence = np.clip(phi * np.exp(-0.018 * h), -0.98, 0.98)
-        shock = np.sqrt(variance) * (rng.standard_normal(f.shape) - np.where(rng.random((sims, 1)) < 0.3, 0.2, 0.0))
-        moved = trend + persistence * away + 0.30 * (f - lag) + reversion + cycle + jump + shock
-        moved = np.where(np.abs(moved) > 5, 5 * np.tanh(moved / 5), moved)
-        out[:, h - 1] = moved
-        lag, f = f, moved
+def factor_paths(rng: np.random.Generator, sims: int, horizon: int, model) -> np.ndarray:
+    """Simulated factors (sims, horizon, K) from independent AR(1) dynamics."""
+    c, phi, sigma, f = (np.asarray(model[name], dtype=float) for name in ("c", "phi", "sigma", "f_last"))
+    out = np.zeros((sims, horizon, len(f)))
+    for h in range(horizon):
+        f = c + phi * f + sigma * rng.standard_normal((sims, len(c)))
+        out[:, h] = f
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tidepanel.functions.arima import ar_path, css_paths, partial_autocorrelation, short_lag
-from tidepanel.functions.dates import future_month_start
+from tidepanel.functions.dates import future
 from tidepanel.operators.inverse import anchor_aggregates, level_path, to_levels, with_previous_level
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
@@ -99,20 +99,20 @@ def ar1_path(fit: DataFrame, horizon: int) -> DataFrame:
     return steps.withColumn("f", drift + power * F.col("x_last"))
 
 
-def ar1_forecast(panel: DataFrame, horizon: int) -> DataFrame:
+def ar1_forecast(panel: DataFrame, horizon: int, freq: str = "month") -> DataFrame:
     """AR(1) on the transformed series, inverted to levels: built-in operators and one shuffle by series."""
     steps = ar1_path(ar1_fit(stationary(panel)), horizon)
-    ds = future_month_start(F.col("last_ds"), F.col("h"))
+    ds = future(F.col("last_ds"), F.col("h"), freq)
     kept = steps.select(*KEYS, "tcode", "h", ds.alias("ds"), "f", "last", "prev")
     return to_levels(kept).select(*KEYS, "tcode", "h", "ds", "f", "value")
 
 
-def naive(panel: DataFrame, horizon: int, rule: str = "last", x: str = "value") -> DataFrame:
+def naive(panel: DataFrame, horizon: int, rule: str = "last", x: str = "value", freq: str = "month") -> DataFrame:
     """The last observation, or the mean, at every step."""
     value = F.max_by(x, F.when(F.col(x).isNotNull(), F.col("t"))) if rule == "last" else F.avg(x)
     base = panel.groupBy(*KEYS).agg(value.alias("f"), F.max("ds").alias("_last")).filter("f is not null")
     steps = base.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return steps.select(*KEYS, "h", future_month_start(F.col("_last"), F.col("h")).alias("ds"), "f")
+    return steps.select(*KEYS, "h", future(F.col("_last"), F.col("h"), freq).alias("ds"), "f")
 
 
 def pack(panel: DataFrame, x: str = "x", value: str = "value") -> DataFrame:
@@ -218,7 +218,7 @@ def fleet_levels(fitted: DataFrame, model: str) -> DataFrame:
         F.posexplode(path).alias("_i", "value"),
     )
     h = F.col("_i") + 1
-    return rows.select(*KEYS, "model", "order", "status", h.alias("h"), future_month_start(F.col("last_ds"), h).alias("ds"), "value")
+    return rows.select(*KEYS, "model", "order", "status", h.alias("h"), future(F.col("last_ds"), h, freq).alias("ds"), "value")
 
 
 def fleet(packed: DataFrame, horizon: int, models: Sequence[str] = ("ar", "ma", "arima")) -> DataFrame:

@@ -61,18 +61,11 @@ def bayes_ar_forecast(spark, d):
     return bayes.predict(packed, SMALL, draws, "bayesian-ar", horizon=3, sims=300, seed=7).drop("draws", "usable")
 
 
-@register("bayes_rich_forecast")
-def bayes_rich_forecast(spark, d):
-    packed = region_packed(spark, d)
-    draws = bayes.gibbs(packed, SMALL, n_samples=60, n_tune=30, seed=7)
-    return bayes.predict(packed, SMALL, draws, horizon=6, sims=300, seed=7, rich=True).drop("draws", "usable")
-
-
-@register("rolling_blend")
-def rolling_blend(spark, d):
-    """Two months ahead with heuristic dynamics, the trend-leaning inverse and mid-point percentiles."""
+@register("rolling_midpoint")
+def rolling_midpoint(spark, d):
+    """Two months ahead with mid-point percentiles."""
     packed = factor.pack_levels(coded_supplier(spark, d))
-    return bayes.rolling_horizon(packed, READY, 2, sims=300, seed=7, rich=True, blend=True, midpoint=True).drop("draws")
+    return bayes.rolling_horizon(packed, READY, 2, sims=300, seed=7, midpoint=True).drop("draws")
 
 
 @register("rolling_bayes")

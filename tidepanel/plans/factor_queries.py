@@ -259,8 +259,3 @@ def predictive_usable(spark, d):
     out = factor.draw_next(factor.pack_levels(coded_supplier(spark, d)), READY, sims=200)
     inside = F.coalesce(F.col("mean").between(F.col("p5"), F.col("p95")), F.lit(False)) & F.col("usable")
     return out.select("series", "t", "usable", inside.alias("ordered"))
-
-
-@register("predictive_draws_rich")
-def predictive_draws_rich(spark, d):
-    return factor.draw_next(factor.pack_levels(coded_supplier(spark, d)), READY, sims=500, rich=True).select("series", "t", "mean", "p5", "p95", "sd")

@@ -158,11 +158,11 @@ def fleet_status(spark, d):
 # ---------------------------------------------------------------- alignment
 
 
-@register("common_series", query("SELECT DISTINCT series || '_value' AS forecast_series, series FROM act WHERE series <> 'NATION_5'"))
+@register("common_series", query("SELECT DISTINCT series || '_value' AS forecast_series, series FROM act WHERE series IN (SELECT series FROM hist GROUP BY series HAVING count(value) = count(*))"))
 def common_series(spark, d):
     history, actual = split_nation(spark, d)
     forecast = actual.withColumn("series", add_suffix(F.col("series")))
-    return joins.common_series(forecast, history.filter("series <> 'NATION_5'"))
+    return joins.common_series(forecast, select.drop_empty_series(history, "value", complete=True))
 
 
 @register("history_plus_forecast", query("""SELECT series, ds, round(value, 1) + 0.0 AS value, 'historical' AS kind FROM hist WHERE value IS NOT NULL
@@ -181,23 +181,37 @@ def _band(history: DataFrame) -> DataFrame:
     return table.select(*KEYS, "ds", F.col("value").alias("mean"), (F.col("value") * 0.9).alias("p5"), (F.col("value") * 1.1).alias("p95"))
 
 
-@register(
-    "chart_axis",
-    query(
-        """SELECT series, month, round(max(actual), 1) + 0.0 AS actual, round(max(forecast), 1) + 0.0 AS forecast,
-        round(max(mean), 1) + 0.0 AS mean, round(max(p5), 1) + 0.0 AS p5, round(max(p95), 1) + 0.0 AS p95 FROM (
-        SELECT nm.series, strftime(ds, '%Y-%m') AS month, value AS actual, NULL AS forecast, NULL AS mean, NULL AS p5, NULL AS p95
-        FROM nm JOIN (SELECT series, min(ds) AS s FROM (SELECT series, ds FROM fc UNION ALL SELECT series, ds FROM band) GROUP BY series) f ON f.series = nm.series
+def _chart_sql(models: dict[str, str]) -> str:
+    names = ["actual", *models.values(), "mean", "p5", "p95"]
+    row = lambda **own: ", ".join(f"{own.get(c, 'CAST(NULL AS DOUBLE)')} AS {c}" for c in names)
+    points = " ".join(f"UNION ALL SELECT series, strftime(ds, '%Y-%m') AS month, {row(**{c: 'value'})} FROM {t} WHERE value IS NOT NULL" for t, c in models.items())
+    starts = " UNION ALL ".join(f"SELECT series, ds FROM {t} WHERE value IS NOT NULL" for t in models)
+    return f"""SELECT series, month, {", ".join(f"round(max({c}), 1) + 0.0 AS {c}" for c in names)} FROM (
+        SELECT nm.series, strftime(ds, '%Y-%m') AS month, {row(actual="value")}
+        FROM nm JOIN (SELECT series, min(ds) AS s FROM ({starts} UNION ALL SELECT series, ds FROM band) GROUP BY series) f ON f.series = nm.series
         WHERE value IS NOT NULL AND ds >= s - INTERVAL 24 MONTH
-        UNION ALL SELECT series, strftime(ds, '%Y-%m'), NULL, value, NULL, NULL, NULL FROM fc WHERE value IS NOT NULL
-        UNION ALL SELECT series, strftime(ds, '%Y-%m'), NULL, NULL, mean, p5, p95 FROM band) GROUP BY series, month""",
-        BAND,
-    ),
-)
-def chart_axis(spark, d):
+        {points}
+        UNION ALL SELECT series, strftime(ds, '%Y-%m'), {row(mean="mean", p5="p5", p95="p95")} FROM band) GROUP BY series, month"""
+
+
+def _chart(spark, d, models: dict[str, str]):
     fc, history, _ = forecast_and_truth(spark, d)
-    out = joins.chart_axis(coded_nation(spark, d), fc, _band(history))
-    return out.select("series", "month", *[rounded(F.col(c), 1).alias(c) for c in ("actual", "forecast", "mean", "p5", "p95")])
+    both = fc.select(*KEYS, "ds", "value", F.lit("fc").alias("model")).unionByName(
+        naive_forecast_table(history).select(*KEYS, "ds", "value", F.lit("naive_fc").alias("model"))
+    )
+    out = joins.chart_axis(coded_nation(spark, d), both, _band(history), models)
+    return out.select("series", "month", *[rounded(F.col(c), 1).alias(c) for c in ("actual", *models.values(), "mean", "p5", "p95")])
+
+
+@register("chart_axis", query(_chart_sql({"fc": "forecast"}), BAND))
+def chart_axis(spark, d):
+    return _chart(spark, d, {"fc": "forecast"})
+
+
+@register("chart_axis_models", query(_chart_sql({"fc": "ar1", "naive_fc": "naive"}), BAND))
+def chart_axis_models(spark, d):
+    """Two models beside each other."""
+    return _chart(spark, d, {"fc": "ar1", "naive_fc": "naive"})
 
 
 @register("interval_rows", query("SELECT series, ds, measure, round(value, 1) + 0.0 AS value, 12 AS horizon FROM band UNPIVOT (value FOR measure IN (mean, p5, p95))", BAND))

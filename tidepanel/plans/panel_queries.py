@@ -15,15 +15,9 @@ from tidepanel.sinks import tables as sinks
 from tidepanel.sources import tables as T
 from tidepanel.sources import wide as W
 
-MAX_COLUMNS = 10_000
-
-
 def column_names(meta: DataFrame) -> list[str]:
-    """Series names in position order: the schema of a wide table, so bounded by what a wide table can hold."""
-    rows = meta.orderBy("pos").select("series").limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError("too many series for a wide table")
-    return [r.series for r in rows]
+    """Series names in position order: the schema of a wide table, which the driver holds in any case."""
+    return [r.series for r in meta.orderBy("pos").select("series").collect()]
 
 
 def coded_nation(spark, d) -> DataFrame:
@@ -224,9 +218,14 @@ def drop_by_group(spark, d):
     return _totals(spark, d, select.drop_groups(T.nation_meta(spark, d), [2, 3]))
 
 
-@register("unknown_series", "SELECT CAST(l_suppkey AS VARCHAR) AS series, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) GROUP BY ALL")
+@register("unknown_series", "SELECT CAST(l_suppkey AS VARCHAR) AS series, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) >= (SELECT count(*) / 25.0 FROM customer))) GROUP BY ALL")
 def unknown_series(spark, d):
-    known = T.table(spark, d, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("l_suppkey"))
+    """Lines of suppliers from nations with fewer customers than the average of the 25."""
+    customers = T.table(spark, d, "customer")
+    nations = customers.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    mean = nations.agg((F.sum("n") / 25.0).alias("mean"), F.first(F.lit(1)).alias("one"))
+    large = nations.withColumn("one", F.lit(1)).join(mean, "one").filter("n >= mean").select("s_nationkey")
+    known = T.table(spark, d, "supplier").join(large, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("l_suppkey"))
     counts = T.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(known, "l_suppkey", "left_anti").select(F.col("l_suppkey").cast("string").alias("series"), "n")
 
@@ -265,9 +264,9 @@ def usable_share(spark, d):
     return select.usable_by_share(T.event_hour(spark, d), "value", 0.95).select("series", rounded(F.col("missing"), 9).alias("missing"))
 
 
-@register("drop_empty_rows", query("SELECT series, ds FROM nmx WHERE ds IN (SELECT ds FROM nmx WHERE tcode IN (3, 6, 7) GROUP BY ds HAVING count(x) > 0) AND tcode IN (3, 6, 7)"))
+@register("drop_empty_rows", query("SELECT series, ds FROM nmx WHERE ds IN (SELECT ds FROM nmx GROUP BY ds HAVING count(x) > 0)"))
 def drop_empty_rows(spark, d):
-    x = transform.stationary(coded_nation(spark, d)).filter("tcode in (3, 6, 7)")
+    x = transform.stationary(coded_nation(spark, d))
     return select.drop_empty_rows(x).select("series", "ds")
 
 
@@ -281,13 +280,13 @@ def drop_incomplete_series(spark, d):
     "restored_columns",
     query(f"""SELECT m.series, m.pos, s.h, round(fc.value, 1) AS value FROM nmeta m
         CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON} + 1)) AS INT) AS h) s
-        LEFT JOIN (SELECT naive_fc.* FROM naive_fc JOIN nmeta USING (series) WHERE tcode <> 4) fc ON fc.series = m.series AND fc.h = s.h"""),
+        LEFT JOIN (SELECT naive_fc.* FROM naive_fc WHERE series IN (SELECT series FROM hist GROUP BY series HAVING count(value) = count(*))) fc ON fc.series = m.series AND fc.h = s.h"""),
 )
 def restored_columns(spark, d):
     from tidepanel.operators.univariate import naive
 
     history, _ = split_nation(spark, d)
-    fc = naive(history.filter("tcode <> 4"), HORIZON).drop("ds")
+    fc = naive(select.drop_empty_series(history, "value", complete=True), HORIZON).drop("ds")
     whole = select.restore_columns(fc, T.nation_meta(spark, d), HORIZON)
     return whole.select("series", "pos", "h", rounded(F.col("f"), 1).alias("value"))
 

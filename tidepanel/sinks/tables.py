@@ -60,13 +60,13 @@ def long_intervals(interval: DataFrame, horizon: int) -> DataFrame:
 
 
 def write_intervals(interval: DataFrame, path: str, horizon: int) -> None:
-    long_intervals(interval, horizon).write.mode("append").partitionBy("horizon", "measure").parquet(path)
+    long_intervals(interval, horizon).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("horizon", "measure").parquet(path)
 
 
 def write_samples(steps: DataFrame, path: str) -> None:
     """Simulated values of every step ``(series, sim, h, value)``, partitioned by step."""
     rows = steps.filter("draws is not null").select(*KEYS, "h", F.posexplode("draws").alias("sim", "value"))
-    rows.write.mode("append").partitionBy("h").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("h").parquet(path)
 
 
 def run_record(spark, run_id: int, **parameters) -> DataFrame:
@@ -76,13 +76,15 @@ def run_record(spark, run_id: int, **parameters) -> DataFrame:
 
 
 def write_run(record: DataFrame, draws: DataFrame | None, forecasts: DataFrame, root: str, run_id: int) -> None:
-    """Append a run to the tables ``runs``, ``draws`` and ``forecasts``, each partitioned by run."""
-    record.write.mode("append").partitionBy("run_id").parquet(f"{root}/runs")
+    """Write a run to the tables ``runs``, ``draws`` and ``forecasts``, each partitioned by run.
+
+    Other runs stay; writing the same run again replaces it, so a repeated job leaves no second copy.
+    """
+    replace = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", *by)
+    replace(record).parquet(f"{root}/runs")
     if draws is not None:
-        draws.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "horizon_step", "model_step").parquet(
-            f"{root}/draws"
-        )
-    forecasts.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/forecasts")
+        replace(draws.withColumn("run_id", F.lit(run_id)), "horizon_step", "model_step").parquet(f"{root}/draws")
+    replace(forecasts.withColumn("run_id", F.lit(run_id))).parquet(f"{root}/forecasts")
 
 
 def read_draws(spark, root: str, run_id: int, horizon_step: int, model_step: str) -> DataFrame:
