@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a cluster, once per application; local workers import it as it is."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tidepanel-")) / "tidepanel.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(Path(package.name) / file.relative_to(package)))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
