@@ -131,10 +131,10 @@ def _partial_moments(spec: FactorSpec):
                     held[key][0] += z[usable].T @ z[usable]
                     held[key][1] += seen.sum(axis=0)
                     held[key][2] += int(usable.sum())
-            if cells > FLUSH_CELLS:
-                for key, entry in held.items():
-                    yield emit(key, entry)
-                held, cells = {}, 0
+                    if cells > FLUSH_CELLS:
+                        for key, entry in held.items():
+                            yield emit(key, entry)
+                        held, cells = {}, 0
         for key, entry in held.items():
             yield emit(key, entry)
 
@@ -342,19 +342,14 @@ def manifest(sweep: DataFrame) -> DataFrame:
 
 
 def window_moments(panel: DataFrame, window: int, horizon: int = 1, x: str = "x") -> DataFrame:
-    """Count, mean and deviation of every rolling window of every series, cut from the packed series."""
-    rows = panel.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("t", x))).alias("_r"))
-    cut = rows.select(
-        *KEYS, F.transform("_r", lambda r: r[x]).alias("_x"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.size("_r") - 1), lambda o: o <= F.size("_r") - window - horizon)).alias("origin"),
+    """Count, mean and deviation of every rolling window of every series, by a frame over the rows in time order."""
+    series = Window.partitionBy(*KEYS).orderBy("t")
+    frame = series.rowsBetween(0, window - 1)
+    rows = panel.select(
+        *KEYS, (F.row_number().over(series) - 1).alias("origin"), F.count(x).over(frame).cast("int").alias("n"), F.avg(x).over(frame).alias("mu"),
+        F.stddev_samp(x).over(frame).alias("sd"), F.count(F.lit(1)).over(Window.partitionBy(*KEYS)).alias("_periods"),
     )
-    seen = F.filter(F.slice("_x", F.col("origin") + 1, window), lambda v: v.isNotNull())
-    cut = cut.select(*KEYS, "origin", seen.alias("_s"))
-    n = F.size("_s")
-    mean = F.try_divide(F.aggregate("_s", F.lit(0.0), lambda a, v: a + v), n)
-    cut = cut.withColumns({"n": n, "mu": mean})
-    ss = F.aggregate("_s", F.lit(0.0), lambda a, v: a + (v - F.col("mu")) * (v - F.col("mu")))
-    return cut.select(*KEYS, "origin", "n", "mu", F.sqrt(F.when(F.col("n") > 1, F.try_divide(ss, F.col("n") - 1))).alias("sd"))
+    return rows.filter(F.col("origin") <= F.col("_periods") - window - horizon).drop("_periods")
 
 
 def factor_ar1(factors: DataFrame, ddof: int = 0) -> DataFrame:
