@@ -210,8 +210,8 @@ def _guarded(df: DataFrame, model: str, fallback: Column) -> DataFrame:
     return df.withColumn("fit", fit).drop("_fit")
 
 
-def fleet_levels(fitted: DataFrame, model: str) -> DataFrame:
-    """Forecast levels, one row per series and step, dated by the months after the last row."""
+def fleet_levels(fitted: DataFrame, model: str, freq: str = "month") -> DataFrame:
+    """Forecast levels, one row per series and step, dated by the periods after the last row."""
     path = level_path(F.col("fit.path"), F.col("last"), F.col("prev"), F.col("tcode"))
     rows = fitted.select(
         *KEYS, F.lit(model).alias("model"), F.col("fit.order").alias("order"), F.col("fit.status").alias("status"), "last_ds",
