@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many sources, of a name and a number each, are sent to all tasks; more are joined by shuffle.
+FEW_SOURCES = 10_000
 #: Of a source: no name (sorts last), and its name.
 SOURCE = ["no_source", "source_name"]
 
@@ -108,7 +112,10 @@ def mix(
     targets = apportion(targets.withColumn("mix_blocks", F.floor(total / block_words)).withColumn("one", F.lit(1)), ["one"], SOURCE, "target", "mix_blocks", "blocks")
     targets = targets.select(*SOURCE, "source_size", "target", "blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)).alias("shards"))
 
-    placed = sized.join(targets.select(*SOURCE, "shards"), SOURCE).withColumn("shard", F.col("lot") % F.col("shards")).drop("shards", "lot")
+    targets = written(targets, "mix-sources")
+    shards_of = targets.select(*SOURCE, "shards")
+    shards_of = F.broadcast(shards_of) if targets.count() <= FEW_SOURCES else shards_of
+    placed = sized.join(shards_of, SOURCE).withColumn("shard", F.col("lot") % F.col("shards")).drop("shards", "lot")
     shard = [*SOURCE, "shard"]
     shards = placed.groupBy(*shard).agg(F.sum("size").alias("shard_size")).join(targets, SOURCE)
     shards = apportion(shards, SOURCE, ["shard"], "shard_size", "blocks", "quota")
