@@ -16,6 +16,7 @@ Texts are shuffled by document, contexts by anchor, and nothing gathers the plac
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from tidepanel.llm.suffixes import suffix_arrays
 
 LENGTH = 200
 GRAM = 16
-#: Contexts in a lane, and symbols that suffix arrays are built for at once.
-LANE, SYMBOLS = 64, 2_000_000
+#: Contexts in a lane, and symbols of contexts that a task gathers for its suffix arrays.
+LANE, SYMBOLS = 64, 6_000_000
 KEY = ["kid", "body"]
 
 
@@ -39,15 +40,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first, number, hash): each anchor's run of strings, by the place of the first string and their number."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, first, number, hash, offset): each anchor's run of strings, by the place of the first string and their
+    number, and where the anchor stands behind that place."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     line = np.frombuffer(b"".join(texts), np.uint8)
     window = LENGTH - GRAM + 1
     if len(line) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     hashes = _mix(Runs(line.astype(np.uint64) + np.uint64(1)).every(GRAM))
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     # least of every window: blocks of its size, their running minima from the left and from the right
@@ -61,10 +63,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     whole = np.arange(number) + LENGTH <= ends[of]
     place, least, of = np.arange(number)[whole], least[whole], of[whole]
     if not len(place):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     first = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(of) != 0)]))
     run = np.diff(np.append(first, len(place)))
-    return of[first], place[first] - starts[of[first]], run, hashes[least[first]]
+    return of[first], place[first] - starts[of[first]], run, hashes[least[first]], least[first] - place[first]
 
 
 def _raw(batch: pa.RecordBatch) -> list[bytes]:
@@ -81,13 +83,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             texts = _raw(part)
-            of, first, number, h = anchors(texts)
+            of, first, number, h, offset = anchors(texts)
             digest = xxhash.xxh3_64_intdigest
             d = np.array([digest(texts[t][a : a + n + LENGTH - 1]) for t, a, n in zip(of.tolist(), first.tolist(), number.tolist())], np.uint64)
             row = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [part.column("kid").take(row), part.column("body").take(row), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d.view(np.int64))],
-                ["kid", "body", "first", "number", "h", "d"],
+                [part.column("kid").take(row), part.column("body").take(row), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(offset.astype(np.int32))],
+                ["kid", "body", "first", "number", "h", "d", "anchor"],
             )
 
 
@@ -97,33 +99,34 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             out = []
             for text, listed in zip(_raw(part), part.column("listed").to_pylist()):
-                out += [(x["h"], x["salt"], x["salts"], x["d"], x["copies"], text[x["first"] : x["first"] + x["number"] + LENGTH - 1]) for x in listed]
-            yield pa.RecordBatch.from_pylist([dict(zip(("h", "salt", "salts", "d", "copies", "context"), r)) for r in out], CONTEXT)
+                out += [(x["h"], x["salt"], x["salts"], x["d"], x["copies"], text[x["first"] : x["first"] + x["number"] + LENGTH - 1], x["anchor"]) for x in listed]
+            yield pa.RecordBatch.from_pylist([dict(zip(CONTEXT.names, r)) for r in out], CONTEXT)
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("d", pa.int64()), ("copies", pa.int64()), ("context", pa.binary())])
-FOUND = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("number", pa.int32()), ("string", pa.binary()), ("known", pa.bool_())])
+CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("d", pa.int64()), ("copies", pa.int64()), ("context", pa.binary()), ("anchor", pa.int32())])
+FOUND = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("number", pa.int32()), ("string", pa.int64()), ("known", pa.bool_())])
 
 
 def lane_repeats(rows: list[tuple]) -> Iterator[tuple]:
-    """(h, d, first, number, string, known) of ``rows`` = (h, salt, salts, d, copies, context) sorted by lane.
+    """(h, d, first, number, string, known) of ``rows`` = (h, salt, salts, d, copies, context, anchor) sorted by lane.
 
     Without ``string``: a run of strings of a context that occur again. With it: one string of a lane of a split
-    anchor, to be matched with the anchor's other lanes; ``known`` if it occurs again in its own lane.
+    anchor by its digest, to be matched with the anchor's other lanes, so together with the hash of the anchor;
+    ``known`` if it occurs again in its own lane.
     """
     size = np.array([len(r[5]) for r in rows], np.int64)
     end = np.cumsum(size + 1)
     begin = end - size - 1
-    text = np.ones(int(end[-1]), np.int64)
+    text = np.ones(int(end[-1]), np.int32)
     raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
     inside = np.ones(len(text), bool)
     inside[end - 1] = False
-    text[inside] = raw.astype(np.int64) + 2
+    text[inside] = raw.astype(np.int32) + 2
     last = np.array([i + 1 == len(rows) or rows[i + 1][:2] != r[:2] for i, r in enumerate(rows)])
     text[end[last] - 1] = 0
     bounds = np.concatenate([[0], end[last]])
     array = suffix_arrays(text, bounds)
-    context = np.repeat(np.arange(len(rows)), size + 1)
+    context = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)
     full = array[end[context[array]] - 1 - array >= LENGTH]  # suffixes that begin with a whole string
     lane = np.searchsorted(bounds, full, side="right")
     packed = np.zeros(len(text) + 8, np.uint8)
@@ -151,7 +154,23 @@ def lane_repeats(rows: list[tuple]) -> Iterator[tuple]:
         r = rows[context[s]]
         if r[2] > 1:
             at = s - int(begin[context[s]])
-            yield r[0], r[3], at, 1, xxhash.xxh3_128_digest(r[5][at : at + LENGTH]), known
+            yield r[0], r[3], at, 1, xxhash.xxh3_64_intdigest(r[5][at : at + LENGTH]) - (1 << 63), known
+
+
+def possible(lane: list[tuple]) -> list[tuple]:
+    """Of all contexts of an anchor, those that can share a string with another one.
+
+    A string has half of its bytes beside the anchor on one side at least, so contexts that share a string share those.
+    """
+    side = (LENGTH - GRAM) // 2
+    halves = []
+    for r in lane:
+        context, at = r[5], r[6]
+        left = context[at - side : at + GRAM] if at >= side else None
+        right = context[at : at + GRAM + side] if len(context) - at >= GRAM + side else None
+        halves.append(((0, left), (1, right)))
+    seen = Counter(x for pair in halves for x in pair if x[1] is not None)
+    return [r for r, pair in zip(lane, halves) if any(seen[x] > 1 for x in pair)]
 
 
 def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +182,11 @@ def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes: dict = {}
         for r in rows:
             lanes.setdefault(r[:2], []).append(r)
+        rest = [possible(lane) if lane[0][2] == 1 else lane for lane in lanes.values()]
         # lanes of like size go through the steps together
-        ordered = [r for lane in sorted(lanes.values(), key=lambda x: sum(len(r[5]) for r in x)) for r in lane]
+        ordered = [r for lane in sorted(rest, key=lambda x: sum(len(r[5]) for r in x)) for r in lane]
+        if not ordered:
+            return pa.RecordBatch.from_pylist([], FOUND)
         return pa.RecordBatch.from_pylist([dict(zip(FOUND.names, x)) for x in lane_repeats(ordered)], FOUND)
 
     for batch in batches:
@@ -211,20 +233,21 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
     counts = keyed.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = keyed.select(*KEY, "text").mapInArrow(_occurrences, "kid string, body long, first int, number int, h long, d long")
+    found = keyed.select(*KEY, "text").mapInArrow(_occurrences, "kid string, body long, first int, number int, h long, d long, anchor int")
     places = written(found.join(counts, "h", "left_semi"), "repeat-places")
-    contexts = places.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "number")).alias("at"))
+    contexts = places.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "number", "anchor")).alias("at"))
     contexts = written(contexts, "repeat-contexts")
-    lanes = contexts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("salts"))
+    lanes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")  # one context: only copies
+    lanes = lanes.select("h", F.ceil(F.col("contexts") / LANE).cast("int").alias("salts"))
     dealt = contexts.join(lanes, "h").withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts")).cast("int"))
     listed = dealt.groupBy(F.col("at.kid").alias("kid"), F.col("at.body").alias("body")).agg(
-        F.collect_list(F.struct("h", "salt", "salts", "d", "copies", F.col("at.first").alias("first"), F.col("at.number").alias("number"))).alias("listed")
+        F.collect_list(F.struct("h", "salt", "salts", "d", "copies", F.col("at.first").alias("first"), F.col("at.number").alias("number"), F.col("at.anchor").alias("anchor"))).alias("listed")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.select(*KEY, "text").join(listed, KEY).select("text", "listed")
-    strings = texts.mapInArrow(_contexts, "h long, salt int, salts int, d long, copies long, context binary")
+    strings = texts.mapInArrow(_contexts, "h long, salt int, salts int, d long, copies long, context binary, anchor int")
     strings = strings.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "d")
-    seen = written(strings.mapInArrow(_lanes, "h long, d long, first int, number int, string binary, known boolean"), "repeat-runs")
+    seen = written(strings.mapInArrow(_lanes, "h long, d long, first int, number int, string long, known boolean"), "repeat-runs")
     runs = seen.filter("string is null").select("h", "d", "first", "number")
     shared = seen.filter("string is not null").groupBy("h", "string").agg(F.count(F.lit(1)).alias("lanes")).filter("lanes > 1").drop("lanes")
     across = seen.filter("string is not null and not known").join(shared, ["h", "string"], "left_semi").select("h", "d", "first", "number")

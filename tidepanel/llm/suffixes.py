@@ -13,6 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 
+PLACE = np.int32
+#: With at most so many lanes left, steps over all of them cost more than plain loops.
+FEW = 400
+
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     size = hi - lo
@@ -23,16 +27,18 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def _group(text: np.ndarray, lane: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The start of each suffix' group, and its previous smaller suffix."""
     n = len(text)
-    key = lane * (int(text.max()) + 1) + text
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-    end = np.zeros(n + 1, np.int64)
-    end[first] = np.concatenate([first[1:], [n]])
-    group = np.empty(n, np.int64)
+    key = lane.astype(np.int64) * (int(text.max()) + 1) + text
+    order = np.argsort(key, kind="stable").astype(PLACE)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    del key
+    end = np.zeros(n + 1, PLACE)
+    end[first] = np.append(first[1:], n)
+    group = np.empty(n, PLACE)
     group[order] = np.repeat(first, end[first] - first)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before, moved = np.full(n, -1, np.int64), np.zeros(n, bool)
+    place = np.empty(n, PLACE)
+    place[order] = np.arange(n, dtype=PLACE)
+    before, moved = np.full(n, -1, PLACE), np.zeros(n, bool)
     top, floor = hi.copy(), lo
     while len(top):
         g = group[order[top - 1]]
@@ -48,11 +54,12 @@ def _group(text: np.ndarray, lane: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
         p, hits = np.unique(p[p >= least], return_counts=True)
         if len(p):
             old = group[p]
-            by = np.lexsort((hits, old))
+            by = np.argsort(old.astype(np.int64) * (len(text) + 1) + hits)
             p, hits, old = p[by], hits[by], old[by]
-            new_old = np.concatenate([[True], np.diff(old) != 0])
+            new_old = np.empty(len(old), bool)
+            new_old[0], new_old[1:] = True, old[1:] != old[:-1]
             starts = np.flatnonzero(new_old)
-            olds, count = old[starts], np.diff(np.append(starts, len(p)))
+            olds, count = old[starts], np.append(starts[1:], len(p)) - starts
             tail = end[olds] - count
             slots = _ranges(tail, end[olds])
             moved[p] = True
@@ -63,8 +70,9 @@ def _group(text: np.ndarray, lane: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
             moved[p] = False
             order[holes], place[displaced] = displaced, holes
             order[slots], place[p] = p, slots
-            runs = np.flatnonzero(new_old | np.concatenate([[True], np.diff(hits) != 0]))
-            run_size = np.diff(np.append(runs, len(p)))
+            new_old[1:] |= hits[1:] != hits[:-1]
+            runs = np.flatnonzero(new_old)
+            run_size = np.append(runs[1:], len(p)) - runs
             end[olds] = tail
             end[slots[runs]] = slots[runs] + run_size
             group[p] = np.repeat(slots[runs], run_size)
@@ -80,17 +88,19 @@ def suffix_arrays(text: np.ndarray, start: np.ndarray) -> np.ndarray:
     ``text`` holds the lanes end to end and ``start`` their bounds; each lane must end in a symbol that is smaller
     than all its others. Places count from the start of ``text``.
     """
-    lo, hi = start[:-1].astype(np.int64), start[1:].astype(np.int64)
-    lane = np.repeat(np.arange(len(lo)), hi - lo)
-    group, before = _group(text.astype(np.int64), lane, lo, hi)
-    out = np.empty(len(text), np.int64)
+    if len(text) >= np.iinfo(PLACE).max:
+        raise ValueError("too many symbols for one array")
+    lo, hi = start[:-1].astype(PLACE), start[1:].astype(PLACE)
+    lane = np.repeat(np.arange(len(lo), dtype=PLACE), hi - lo)
+    group, before = _group(text.astype(PLACE), lane, lo, hi)
+    out = np.empty(len(text), PLACE)
     placed = np.zeros(len(text), bool)
-    following = np.arange(len(text))  # next free place of each group, by the group's start
+    following = np.arange(len(text), dtype=PLACE)  # next free place of each group, by the group's start
     out[lo] = hi - 1
     placed[hi - 1] = True
     following[lo] = lo + 1
     entry, now, floor, ceil = lo.copy(), hi - 2, lo, hi
-    while len(entry):
+    while len(entry) > FEW:
         put = now >= floor
         put[put] = ~placed[now[put]]
         j = now[put]
@@ -105,4 +115,23 @@ def suffix_arrays(text: np.ndarray, start: np.ndarray) -> np.ndarray:
         if not live.all():
             entry, now, floor, ceil, rest = entry[live], now[live], floor[live], ceil[live], rest[live]
         now[rest] = out[entry[rest]] - 1
+    for e, j, a, b in zip(entry.tolist(), now.tolist(), floor.tolist(), ceil.tolist()):
+        _emit(e - a, j - a, out[a:b], *(v[a:b] - a for v in (group, before, following)), placed[a:b], a)
     return out
+
+
+def _emit(entry: int, now: int, out: np.ndarray, group: np.ndarray, before: np.ndarray, following: np.ndarray, placed: np.ndarray, lo: int) -> None:
+    """Go on with one lane alone, in places counted from its start."""
+    places, group, before, following, placed = (out - lo).tolist(), group.tolist(), before.tolist(), following.tolist(), placed.tolist()
+    while True:
+        while now >= 0 and not placed[now]:
+            g = group[now]
+            places[following[g]] = now
+            following[g] += 1
+            placed[now] = True
+            now = before[now]
+        entry += 1
+        if entry >= len(places):
+            break
+        now = places[entry] - 1
+    out[:] = np.array(places, PLACE) + lo
