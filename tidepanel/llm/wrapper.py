@@ -2,7 +2,7 @@
 
 A host's wrapper is the tree of one of its pages. Every other page of the host is aligned with it by simple tree
 matching: nodes with the same label match, children in order, so that as many nodes as possible match. A wrapper node
-that has the same text on nearly all pages is template; nodes whose text varies are slots, and slots outside menus,
+that has the same text on nearly all pages is template where a page has that text; nodes whose text varies are slots, and slots outside menus,
 adverts and other parts that their element names give away are content. Runs of like siblings, such as the paragraphs
 of an article, are one slot, so that a match costs no more for a long page.
 """
@@ -191,7 +191,7 @@ def _wrapper(page: str) -> Node:
 def content(page: str, wrapper: str, template: set[int]) -> str:
     """The blocks of a page that are content, joined by an empty line."""
     root = parse(page)
-    constant = {x.id for x, y in align(root, _wrapper(wrapper)) if y.id in template} if template else set()
+    constant = {x.id for x, y in align(root, _wrapper(wrapper)) if y.id in template and x.text == y.text} if template else set()
 
     def blocks(skip: set[int]) -> tuple[list[str], list[str]]:
         """Blocks in the articles of the page, and in the whole page."""
