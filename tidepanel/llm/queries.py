@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, dedup, langid, licences, mixing, repeats, simhash, syncmers, toxicity, wrapper
+from tidepanel.llm import bpe, centroids, dedup, langid, licences, mixing, repeats, simhash, syncmers, toxicity, wrapper
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,34 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return wrapper.main_text(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """SQL of centroids.cluster: every round one table of centroids and one of vectors beside their nearest."""
+    near = """n{i} AS MATERIALIZED (SELECT row_id, vec_id, v, min(d) AS d, arg_min(c, (d, c)) AS c FROM (
+        SELECT f.*, c.c, list_sum(list_transform(generate_series(1, 64), lambda j: (f.v[j] - c.m[j]) * (f.v[j] - c.m[j])))::BIGINT AS d FROM f, c{i} c) GROUP BY ALL)"""
+    move = """c{j} AS MATERIALIZED (SELECT c{i}.c, coalesce(q.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+        SELECT c, list(floored ORDER BY j) AS m FROM (
+            SELECT c, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floored FROM (
+                SELECT c, unnest(v) AS x, unnest(generate_series(1, 64)) AS j FROM n{i}) GROUP BY c, j) GROUP BY c) q USING (c))"""
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [move.format(i=i, j=i + 1), near.format(i=i + 1)]
+    return f"""WITH f AS MATERIALIZED (
+        SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY mark, v) - 1 AS c, v AS m FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS mark, v FROM f ORDER BY mark, v LIMIT {k})
+    ), {", ".join(steps)}
+    SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(m, ',')) AS centroid_sha256 FROM n{rounds} JOIN c{rounds} USING (c)"""
+
+
+@query("op12_centroids", _rounds_sql(40, 5))
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    placed, found = centroids.cluster(vectors, k=40, rounds=5)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    # found has one row per centroid, 40 at most
+    both = placed.join(F.broadcast(found.select("cluster", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))), "cluster")
+    return both.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
