@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, centroids, dedup, langid, licences, mixing, repeats, simhash, syncmers, toxicity, wrapper
+from tidepanel.llm import bpe, centroids, dedup, langid, licences, mixing, repeats, simhash, spelling, syncmers, toxicity, wrapper
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     # found has one row per centroid, 40 at most
     both = placed.join(F.broadcast(found.select("cluster", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))), "cluster")
     return both.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+#: Occurrences of a word from which it takes part.
+LEAST_N = 3
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(documents(spark, sf_dir, "doc_id", "text"), 5, spelling.misspelt)
+    return spelling.variants(counts.filter(F.col("n") >= LEAST_N)).select("word", "form", "root", "n", "n_near", "form_n")
