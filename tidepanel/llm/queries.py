@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, centroids, dedup, langid, licences, mixing, repeats, simhash, spelling, syncmers, toxicity, wrapper
+from tidepanel.llm import bpe, centroids, dedup, langid, licences, mixing, packing, repeats, simhash, spelling, syncmers, toxicity, wrapper
 from tidepanel.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,12 @@ LEAST_N = 3
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = spelling.count_words(documents(spark, sf_dir, "doc_id", "text"), 5, spelling.misspelt)
     return spelling.variants(counts.filter(F.col("n") >= LEAST_N)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = packing.pack(cut)
+    return packed.select("row.doc_id", "row.piece", "row.start", "length", "row.ids_crc32", "sequence_id", "offset")
