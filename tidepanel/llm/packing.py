@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
@@ -30,70 +31,89 @@ from tidepanel.llm.common import slices, with_fields, written
 CAPACITY = 2048
 #: Token that ends a document.
 END = 0
-#: Distinct chunks, and distinct words within chunks, that a worker remembers; beyond that it forgets all of them.
-REMEMBERED = 300_000
-#: Longest chunk that is remembered.
-LONGEST = 100
+#: Distinct words that a worker remembers; beyond that it forgets all of them.
+REMEMBERED = 500_000
+#: Bytes of text in a slice, words in a line for the model.
+SLICE, LINE = 8_000_000, 1000
 ID_BYTES = 4
 
 # Chunks of these characters only are split here; all others go through the whole tokenizer. Normalizing leaves their
 # lower case as it is, and the words below are those of the tokenizer's own pattern, which treats ' in its own way.
-_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
-_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]*").fullmatch
+_WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+").findall
 #: The byte-level alphabet shows a byte without a printable Latin-1 character as the next character from 256 on.
 _SHOWN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class Encoder:
-    """Ids of texts as bytes, four to an id, little-endian.
+    """Ids of texts, in one array, and how many each text has.
 
-    Chunks between white space are encoded once and remembered; no rule of the tokenizer looks across white space.
+    Texts are cut at white space and each distinct chunk of a slice is looked at once; no rule of the tokenizer looks
+    across white space. Plain chunks are cut into words, and new words go to the tokenizer's model many to a line.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = Tokenizer(self.whole.model)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = self.whole.model.end_of_word_suffix
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {"\n": b""}
 
     @staticmethod
-    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not remembered."""
-        plain, other = {}, []
-        for chunk in new:
-            if _PLAIN(chunk):
-                plain[chunk] = _WORDS(chunk.lower())
-            else:
-                other.append(chunk)
-        words = list({w for split in plain.values() for w in split if w not in self.words})
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words = {}
-            words = list({w for split in plain.values() for w in split})
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """A word's last id, and no other, stands for a token with the end-of-word mark."""
         shown = [w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN) for w in words]
-        self.words.update(zip(words, self._ids(self.model, shown)))
-        out = {chunk: b"".join(map(self.words.__getitem__, split)) for chunk, split in plain.items()}
-        out.update(zip(other, self._ids(self.whole, other)))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks = {"": b""}
-            new = set().union(*cut).difference(self.chunks)
-        found = self._learn(list(new))
-        long = {c: found.pop(c) for c in [c for c in found if len(c) > LONGEST]}
-        self.chunks.update(found)
-        if not long:
-            return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-        return [b"".join(long[x] if x in long else self.chunks[x] for x in c) for c in cut]
+        lines = [" ".join(shown[at : at + LINE]) for at in range(0, len(shown), LINE)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *self._ids(self.model, lines)])
+        stop = (np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES
+        raw = ids.tobytes()
+        self.words.update(zip(words, map(raw.__getitem__, map(slice, [0, *stop[:-1].tolist()], stop.tolist())), strict=True))
+
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        """Ids of plain chunks: those of their words, which are all found in one pass."""
+        words = _WORDS("\n".join(chunks).lower())
+        new = list(set(words).difference(self.words))
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words = {"\n": b""}
+            new = list(set(words).difference(self.words))
+        self._learn_words(new)
+        found = list(map(self.words.__getitem__, words))
+        stop = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        ends = np.append(stop[np.fromiter(map("\n".__eq__, words), bool, len(words))], stop[-1:]).tolist()
+        raw = b"".join(found)
+        return list(map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        plain = list(map(_PLAIN, chunks))
+        found = iter(self._plain([c for c, fine in zip(chunks, plain) if fine]))
+        other = iter(self._ids(self.whole, [c for c, fine in zip(chunks, plain) if not fine]))
+        return [next(found) if fine else next(other).tobytes() for fine in plain]
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        line = pc.fill_null(texts, "")
+        # fewer distinct chunks; not where a mark could join the lower-case letter only
+        line = pc.if_else(pc.match_substring_regex(line, "[^\\x{0}-\\x{2ff}]"), line, pc.ascii_lower(line))
+        for space in "\n\t":
+            line = pc.replace_substring(line, space, " ")
+        cut = pc.split_pattern(line, " ")
+        distinct = cut.flatten().dictionary_encode()
+        at = distinct.indices.to_numpy()
+        raw = self._of(distinct.dictionary.to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // ID_BYTES
+        start = np.cumsum(size) - size
+        total = np.concatenate([[0], np.cumsum(size[at])])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start[at] - total[:-1], size[at]) + np.arange(total[-1])]
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])])
 
 
 @lru_cache(maxsize=1)
@@ -104,19 +124,20 @@ def _encoder(path: str) -> Encoder:
 def _pieces(path: str, names: list[str], capacity: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        last = int(end).to_bytes(ID_BYTES, "little")
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                coded = encode([t or "" for t in part.column("text").to_pylist()])
+            for part in slices(batch, "text", SLICE):
+                line, size = encode(part.column("text"))
+                raw, at = line.tobytes(), 0
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(coded):
-                    raw += last
-                    total = len(raw) // ID_BYTES
-                    for p, at in enumerate(range(0, total, capacity)):
-                        cut = raw[at * ID_BYTES : (at + capacity) * ID_BYTES]
+                for i, n in enumerate(size.tolist()):
+                    own = raw[at : at + n * ID_BYTES] + last
+                    at += n * ID_BYTES
+                    for p, first in enumerate(range(0, n + 1, capacity)):
+                        cut = own[first * ID_BYTES : (first + capacity) * ID_BYTES]
                         of.append(i)
                         piece.append(p)
-                        start.append(at)
+                        start.append(first)
                         length.append(len(cut) // ID_BYTES)
                         crc.append(zlib.crc32(cut))
                         if keep_ids:
@@ -124,20 +145,13 @@ def _pieces(path: str, names: list[str], capacity: int, end: int, keep_ids: bool
                 taken = part.take(pa.array(of, pa.int64()))
                 new = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 if keep_ids:
-                    offsets = pa.array([0, *_running(length)], pa.int32())
-                    new["ids"] = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(length), [None, pa.py_buffer(b"".join(ids))]))
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+                    new["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([new.get(n, taken.column(n) if n in taken.schema.names else None) for n in names], names)
 
     return run
 
 
-def _running(lengths: list[int]) -> Iterator[int]:
-    total = 0
-    for n in lengths:
-        total += n
-        yield total
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Columns of ``docs`` but ``text``, with ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked, ``ids``.
 
