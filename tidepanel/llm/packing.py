@@ -34,12 +34,13 @@ END = 0
 #: Distinct words that a worker remembers; beyond that it forgets all of them.
 REMEMBERED = 500_000
 #: Bytes of text in a slice, words in a line for the model.
-SLICE, LINE = 8_000_000, 1000
+SLICE, LINE = 16_000_000, 1000
 ID_BYTES = 4
 
 # Chunks of these characters only are split here; all others go through the whole tokenizer. Normalizing leaves their
 # lower case as it is, and the words below are those of the tokenizer's own pattern, which treats ' in its own way.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]*").fullmatch
+_ODD = re.compile(r"[^\n!-&(-~À-ÖØ-öø-ÿ]").search
 _WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+").findall
 #: The byte-level alphabet shows a byte without a printable Latin-1 character as the next character from 256 on.
 _SHOWN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
@@ -82,18 +83,22 @@ class Encoder:
     def _plain(self, chunks: list[str]) -> list[bytes]:
         """Ids of plain chunks: those of their words, which are all found in one pass."""
         words = _WORDS("\n".join(chunks).lower())
-        new = list(set(words).difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {"\n": b""}
-            new = list(set(words).difference(self.words))
-        self._learn_words(new)
-        found = list(map(self.words.__getitem__, words))
+        found = list(map(self.words.get, words))
+        new = {w for w, ids in zip(words, found) if ids is None}
+        if new:
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words = {"\n": b""}
+                new = set(words).difference(self.words)
+            self._learn_words(list(new))
+            found = [self.words[w] if ids is None else ids for w, ids in zip(words, found)]
         stop = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         ends = np.append(stop[np.fromiter(map("\n".__eq__, words), bool, len(words))], stop[-1:]).tolist()
         raw = b"".join(found)
         return list(map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
     def _of(self, chunks: list[str]) -> list[bytes]:
+        if not _ODD("\n".join(chunks)):
+            return self._plain(chunks)
         plain = list(map(_PLAIN, chunks))
         found = iter(self._plain([c for c, fine in zip(chunks, plain) if fine]))
         other = iter(self._ids(self.whole, [c for c, fine in zip(chunks, plain) if not fine]))
