@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.dates import FORMATS_WIDE, future_month_start, future_same_day, horizon_label, month_key, parse_date_column, unpadded
@@ -223,8 +223,8 @@ def unknown_series(spark, d):
     """Lines of suppliers from nations with fewer customers than the average of the 25."""
     customers = T.table(spark, d, "customer")
     nations = customers.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    mean = nations.agg((F.sum("n") / 25.0).alias("mean"), F.first(F.lit(1)).alias("one"))
-    large = nations.withColumn("one", F.lit(1)).join(mean, "one").filter("n >= mean").select("s_nationkey")
+    all_nations = Window.partitionBy(panel_name("nations", "s_nationkey"))  # one row per nation
+    large = nations.withColumn("mean", F.sum("n").over(all_nations) / 25.0).filter("n >= mean").select("s_nationkey")
     known = T.table(spark, d, "supplier").join(large, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("l_suppkey"))
     counts = T.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(known, "l_suppkey", "left_anti").select(F.col("l_suppkey").cast("string").alias("series"), "n")
