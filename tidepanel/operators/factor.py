@@ -1,11 +1,10 @@
 """Factor models of whole panels.
 
-The singular vectors of a standardised panel (N series x T periods) come from its T x T cross-moment matrix.
-T is the length of a calendar, so that matrix stays small however many series there are, and it is a sum over
-series: each task adds up the part of its own series, the parts are summed by a shuffle keyed by cell, and only
-the finished matrix of one window meets in one place. Loadings and forecasts are then made next to each series.
-No panel is ever gathered. Rolling windows are cut from the packed series inside the tasks, so a row is not
-copied once per window it belongs to.
+The singular vectors of a whole standardised panel come from subspace.py, for calendars of any length. Those of
+rolling windows come from the cross-moment matrix of each window, which is a sum over series: each task adds up the part
+of its own series, the parts are summed by a shuffle keyed by cell, and only the finished matrix of one window meets in
+one place. Loadings and forecasts are then made next to each series. No panel is ever gathered. Rolling windows are cut
+from the packed series inside the tasks, so a row is not copied once per window it belongs to.
 """
 
 from __future__ import annotations
@@ -21,10 +20,11 @@ from pyspark.sql import functions as F
 from tidepanel.functions.dates import shifted
 from tidepanel.functions.panelmath import as_block, last_two, level_rows, ready_rows, scale_rows, stationary_rows, stream
 from tidepanel.operators.simulate import factor_paths
+from tidepanel.operators.subspace import leading
 from tidepanel.panel import KEYS
 from tidepanel.session import spread
 
-MAX_WINDOW = 4096  # periods; the cross-moment matrix of a window has this many rows at most
+MAX_WINDOW = 4096  # periods; a cross-moment matrix has this many rows at most
 FLUSH_CELLS = 16_000_000  # partial matrix cells a task holds before it hands them on
 FLOOR = 0.01  # least deviation of residuals
 
@@ -120,7 +120,7 @@ def _partial_moments(spec: FactorSpec):
                 days = _days(part["first_ds"].iloc[0], n, spec.freq)
                 for origin, start, width in spec.windows(n):
                     if width > MAX_WINDOW:
-                        raise ValueError(f"window of {width} periods; choose a coarser calendar or a rolling window")
+                        raise ValueError(f"window of {width} periods; choose a coarser calendar or a shorter window")
                     cut = slice(start, start + width)
                     z, seen, _, _, usable, _ = prepared(block[:, cut], codes, days[cut], spec)
                     key = (panel, origin, start, width)
@@ -171,6 +171,37 @@ def factor_ar1_arrays(f: np.ndarray, ddof: int = 0):
     return f[1:].mean(axis=0) - slope * f[:-1].mean(axis=0), np.clip(slope, -0.99, 0.99), np.maximum(deviation, FLOOR)
 
 
+def _model_row(spec: FactorSpec, key: tuple, n: int, counts: np.ndarray, total: float, values: np.ndarray, vectors: np.ndarray) -> dict:
+    """Singular values, scores and factor dynamics of one window from the eigenvalues (largest first) and vectors (rows)
+    of its cross-moment matrix."""
+    kept = np.flatnonzero(counts > 0)
+    m = len(counts)
+    k = min(spec.k, min(len(kept), n) - 1) if spec.prepare == "ready" else spec.k
+    row = dict.fromkeys(name.split()[0] for name in MODEL.split(", "))
+    row |= dict(zip(("panel_id", "origin", "start", "width"), key)) | {"k": max(k, 0), "n_series": n, "n_rows": len(kept)}
+    if n < spec.k and spec.prepare == "pca" or k < 1 or len(kept) < max(spec.order + 3, k):
+        return row | {"status": "too few series or periods"}
+    s = np.sqrt(np.maximum(values[:k], 0.0))
+    u = vectors[:k]
+    u = u * np.sign(u[np.arange(k), np.abs(u).argmax(axis=1)])[:, None]
+    scores = (u * s[:, None])[:, kept].T
+    row |= {"total": total, "s": s.tolist(), "u": u.ravel().tolist(), "scores": (u * s[:, None]).ravel().tolist(),
+            "f_last": scores[-1].tolist(), "f_prev": scores[-2].tolist(), "status": "ok"}
+    if spec.dynamics == "var":
+        path = _var_path(scores, spec.order, spec.horizon)
+    elif spec.dynamics == "decay":
+        path = scores[-1] * spec.persistence ** np.arange(1, spec.horizon + 1)[:, None]
+    else:
+        c, phi, sigma = factor_ar1_arrays(scores)
+        row |= {"c": c.tolist(), "phi": phi.tolist(), "sigma": sigma.tolist()}
+        path = np.zeros((spec.horizon, k))
+        f = scores[-1]
+        for h in range(spec.horizon):
+            f = c + phi * f
+            path[h] = f
+    return row | {"path": path.ravel().tolist()}
+
+
 def _window_model(spec: FactorSpec):
     """Singular vectors and factor dynamics of one window from its finished cross-moment matrix."""
 
@@ -186,41 +217,48 @@ def _window_model(spec: FactorSpec):
         at = j >= 0
         gram[i[at], j[at]] = g[at]
         gram = np.triu(gram) + np.triu(gram, 1).T
-        kept = np.flatnonzero(counts > 0)
-        k = min(spec.k, min(len(kept), n) - 1) if spec.prepare == "ready" else spec.k
-        row = dict.fromkeys(name.split()[0] for name in MODEL.split(", "))
-        row |= {"panel_id": panel, "origin": origin, "start": start, "width": width, "k": max(k, 0), "n_series": n, "n_rows": len(kept)}
-        if n < spec.k and spec.prepare == "pca" or k < 1 or len(kept) < spec.order + 3:
-            return pd.DataFrame([row | {"status": "too few series or periods"}])
-        values, vectors = np.linalg.eigh(gram[np.ix_(kept, kept)])
-        top = np.argsort(values)[::-1][:k]
-        s = np.sqrt(np.maximum(values[top], 0.0))
-        vectors = vectors[:, top]
-        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
-        u = np.zeros((k, m))
-        u[:, kept] = vectors.T
-        scores = (vectors * s)
-        row |= {"total": float(np.trace(gram)), "s": s.tolist(), "u": u.ravel().tolist(), "scores": (u * s[:, None]).ravel().tolist(),
-                "f_last": scores[-1].tolist(), "f_prev": scores[-2].tolist(), "status": "ok"}
-        if spec.dynamics == "var":
-            path = _var_path(scores, spec.order, spec.horizon)
-        elif spec.dynamics == "decay":
-            path = scores[-1] * spec.persistence ** np.arange(1, spec.horizon + 1)[:, None]
-        else:
-            c, phi, sigma = factor_ar1_arrays(scores)
-            row |= {"c": c.tolist(), "phi": phi.tolist(), "sigma": sigma.tolist()}
-            path = np.zeros((spec.horizon, k))
-            f = scores[-1]
-            for h in range(spec.horizon):
-                f = c + phi * f
-                path[h] = f
-        return pd.DataFrame([row | {"path": path.ravel().tolist()}])
+        values, vectors = np.linalg.eigh(gram[np.ix_(kept := np.flatnonzero(counts > 0), kept)])
+        full = np.zeros((len(values), m))
+        full[:, kept] = vectors.T[::-1]
+        return pd.DataFrame([_model_row(spec, (panel, origin, start, width), n, counts, float(np.trace(gram)), values[::-1], full)])
 
     return fit
 
 
+def _prepared_series(spec: FactorSpec):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (panel, n), part in batch.assign(n=batch["v"].map(len)).groupby(["panel_id", "n"]):
+                z, seen, _, _, usable, _ = prepared(as_block(part["v"], n), part["tcode"].to_numpy(), _days(part["first_ds"].iloc[0], n, spec.freq), spec)
+                yield pd.DataFrame({"panel_id": panel, "series": part["series"].to_numpy(), "usable": usable, "z": list(z), "seen": list(seen)})
+
+    return run
+
+
+def _whole_model(spec: FactorSpec):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                width = r.m + (2 if spec.prepare == "ready" else 0)
+                vectors = np.asarray(r.vectors, dtype=float).reshape(-1, r.m)
+                yield pd.DataFrame([_model_row(spec, (r.panel_id, 0, 0, width), int(r.n_series), np.asarray(r.counts, dtype=float), r.total, np.asarray(r.found, dtype=float), vectors)])
+
+    return run
+
+
+def whole_models(packed: DataFrame, spec: FactorSpec) -> DataFrame:
+    """One row per panel with singular values, scores, factor dynamics and factor path over its whole calendar."""
+    z = packed.select(*KEYS, "tcode", "first_ds", "v").mapInPandas(_prepared_series(spec), "panel_id string, series string, usable boolean, z array<double>, seen array<boolean>")
+    return leading(z, spec.k).mapInPandas(_whole_model(spec), MODEL)
+
+
 def window_models(packed: DataFrame, spec: FactorSpec) -> DataFrame:
-    """One row per panel and window with singular values, scores, factor dynamics and factor path."""
+    """One row per panel and window with singular values, scores, factor dynamics and factor path.
+
+    Whole panels may have any number of periods, rolling windows at most ``MAX_WINDOW``.
+    """
+    if not spec.window:
+        return whole_models(packed, spec)
     cells = spread(cross_moments(packed, spec), "panel_id", "origin")
     return cells.groupBy("panel_id", "origin").applyInPandas(_window_model(spec), MODEL)
 
