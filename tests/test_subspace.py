@@ -18,8 +18,7 @@ def data(t, n, seed, rank=3, noise=0.5):
     return f @ rng.normal(size=(rank, n)) + noise * rng.normal(size=(t, n))
 
 
-def test_same_as_svd(spark, monkeypatch):
-    monkeypatch.setattr(subspace, "BUCKET_CELLS", 2000)
+def test_same_as_svd(spark):
     rng = np.random.default_rng(4)
     panels = {
         "short": data(9, 30, 1), "months": data(90, 40, 2), "noise": rng.normal(size=(150, 60)), "long": data(5000, 12, 3), "one": data(40, 1, 4),
@@ -38,9 +37,9 @@ def test_same_as_svd(spark, monkeypatch):
 def test_does_not_depend_on_buckets(spark, monkeypatch):
     panels = {"a": data(120, 50, 5)}
     results = []
-    for cells in (10, 600, 10**9):
-        monkeypatch.setattr(subspace, "BUCKET_CELLS", cells)
-        monkeypatch.setattr(subspace.bucketed, "__defaults__", (cells,))
+    for number, whole in ((1, 128), (3, 20), (60, 20)):
+        monkeypatch.setattr(subspace.bucketed, "__defaults__", (number,))
+        monkeypatch.setattr(subspace, "WHOLE", whole)
         results.append(np.array(subspace.leading(table(spark, panels), 2).first()["vectors"]))
     for other in results[1:]:
         np.testing.assert_allclose(np.abs(results[0]), np.abs(other), atol=1e-8)

@@ -7,7 +7,8 @@ vectors (Ritz vectors) and their residuals follow from small matrices, and the r
 is cut back to the best vectors before it grows beyond ``SPACES`` blocks. It ends when all wanted residuals are below
 ``tol`` or the space is the whole one, so short calendars end after few steps with exact results.
 
-The series are dealt into buckets and checkpointed once; later steps shuffle only blocks and sums.
+The series are dealt into buckets and checkpointed once; later steps shuffle only blocks and sums. A calendar of at
+most ``WHOLE`` periods starts with the whole space, so that a single step gives its exact result.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tidepanel.session import cut_lineage, spread
 
 #: Columns of a block beyond the wanted vectors, and blocks that a space may hold.
 EXTRA, SPACES = 16, 6
-#: Cells of a bucket of series, about.
-BUCKET_CELLS = 1_000_000
+#: Columns of the first block of a short calendar.
+WHOLE = 128
 #: Wanted vectors count as found when their residuals, relative to the largest eigenvalue, are below ``TOL``.
 TOL, MOST_STEPS = 1e-11, 200
 
@@ -32,46 +33,51 @@ STATE = (
 )
 
 
+def columns(m: int, k: int) -> int:
+    """Columns of a block for ``m`` periods and ``k`` wanted vectors."""
+    return m if m <= WHOLE else min(m, k + EXTRA)
+
+
 def start_block(m: int, p: int) -> np.ndarray:
-    """Orthonormal first block: waves over the calendar, from slow to fast, and from ``m`` columns on the whole space."""
-    wave = np.cos(np.pi * np.arange(1, p + 1)[None, :] * (np.arange(m)[:, None] + 0.5) / m)
+    """Orthonormal first block: waves over the calendar, from slow to fast; the whole space if it has ``m`` columns."""
     if p >= m:
         return np.eye(m)
-    return np.linalg.qr(wave)[0]
+    return np.linalg.qr(np.cos(np.pi * np.arange(1, p + 1)[None, :] * (np.arange(m)[:, None] + 0.5) / m))[0]
 
 
-def bucketed(z: DataFrame, cells: int = BUCKET_CELLS) -> DataFrame:
+def bucketed(z: DataFrame, number: int | None = None) -> DataFrame:
     """``(panel_id, series, z, ...)`` with a ``bucket`` of its panel, dealt by both and checkpointed.
 
-    A panel has so many buckets that one holds about ``cells`` cells.
+    Every panel has as many buckets as there are shuffle partitions, so one holds that share of its series.
     """
-    size = z.groupBy("panel_id").agg(F.ceil(F.count(F.lit(1)) * F.max(F.size("seen")) / cells).cast("int").alias("_n"))
-    buckets = z.join(size, "panel_id").withColumn("bucket", F.pmod(F.xxhash64("series"), F.greatest("_n", F.lit(1))).cast("int")).drop("_n")
+    number = number or int(z.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = z.withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(number)).cast("int"))
     return cut_lineage(spread(buckets, "panel_id", "bucket"))
 
 
-def _parts(p: int, first: bool):
-    """A bucket's part of Z'(ZQ): per period a row of ``p`` cells. The first time also the number of cells seen per
-    period, and in a row of period -1 the number of usable series and their sum of squares."""
+SUMS = "panel_id string, t int, j int, y double"
+
+
+def _parts(k: int, first: bool):
+    """A bucket's part of Z'(ZQ), as cells ``(t, j, y)``. The first time also the number of cells seen per period
+    (``j`` is -1), of usable series, and their sum of squares (``t`` is -1)."""
 
     def run(series: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        names = ["panel_id", "t", "n", *[f"y{j}" for j in range(p)]]
         if not len(series) or (not first and not len(block)):
-            return pd.DataFrame(columns=names)
-        panel = series["panel_id"].iloc[0]
+            return pd.DataFrame(columns=["panel_id", "t", "j", "y"])
         usable = series["usable"].to_numpy(bool)
         m = len(series["seen"].iloc[0])
         z = np.array(list(series["z"][usable]), dtype=float).reshape(-1, m)
-        q = start_block(m, min(p, m)) if first else np.asarray(block["q"].iloc[0], dtype=float).reshape(m, -1)
-        y = np.zeros((m, p))
-        y[:, : q.shape[1]] = z.T @ (z @ q)
-        out = pd.DataFrame(y, columns=names[3:])
-        out.insert(0, "n", np.array(list(series["seen"]), dtype=float).sum(axis=0) if first else 0.0)
-        out.insert(0, "t", np.arange(m))
+        q = start_block(m, columns(m, k)) if first else np.asarray(block["q"].iloc[0], dtype=float).reshape(m, -1)
+        y = z.T @ (z @ q)
+        t, j = (i.ravel() for i in np.indices(y.shape))
+        cells = [t], [j], [y.ravel()]
         if first:
-            out.loc[m] = [-1, len(z), (z**2).sum(), *([0.0] * (p - 1))]
-        out.insert(0, "panel_id", panel)
-        return out.astype({"t": int})[names]
+            cells[0].append(np.append(np.arange(m), [-1, -1]))
+            cells[1].append(np.append(np.full(m, -1), [0, 1]))
+            cells[2].append(np.append(np.array(list(series["seen"]), dtype=float).sum(axis=0), [len(z), (z**2).sum()]))
+        t, j, y = map(np.concatenate, cells)
+        return pd.DataFrame({"panel_id": series["panel_id"].iloc[0], "t": t, "j": j, "y": y})
 
     return run
 
@@ -88,24 +94,28 @@ def _orthonormal(block: np.ndarray, against: np.ndarray) -> np.ndarray:
     return np.linalg.qr(u)[0]
 
 
-def _advance(k: int, p: int, tol: float):
+def _advance(k: int, tol: float):
     """The state of a panel after one more product."""
 
     def run(sums: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         if not len(sums):
             return states
-        y = sums[sums["t"] >= 0].sort_values("t")
-        m = len(y)
-        av_new = y[[f"y{j}" for j in range(p)]].to_numpy()
+        t, j, y = (sums[c].to_numpy() for c in ("t", "j", "y"))
+        m = int(t.max()) + 1
+        cell = (t >= 0) & (j >= 0)
+        av_new = np.zeros((m, int(j.max()) + 1))
+        av_new[t[cell], j[cell]] = y[cell]
+        p = columns(m, k)
         if len(states):
             state = states.iloc[0].to_dict()
-            q = np.asarray(state["q"], dtype=float).reshape(m, -1)
-            v, av = (np.asarray(state[c], dtype=float).reshape(m, -1) for c in ("v", "av"))
+            q, v, av = (np.asarray(state[c], dtype=float).reshape(m, -1) for c in ("q", "v", "av"))
         else:
-            head = sums[sums["t"] < 0].iloc[0]
-            q, v, av = start_block(m, min(p, m)), np.zeros((m, 0)), np.zeros((m, 0))
-            state = {"panel_id": y["panel_id"].iloc[0], "m": m, "n_series": int(head["n"]), "total": float(head["y0"]), "counts": y["n"].tolist(), "steps": 0}
-        v, av = np.hstack([v, q]), np.hstack([av, av_new[:, : q.shape[1]]])
+            head = dict(zip(j[t < 0], y[t < 0]))
+            counts = np.zeros(m)
+            counts[t[(t >= 0) & (j < 0)]] = y[(t >= 0) & (j < 0)]
+            q, v, av = start_block(m, p), np.zeros((m, 0)), np.zeros((m, 0))
+            state = {"panel_id": sums["panel_id"].iloc[0], "m": m, "n_series": int(head[0]), "total": float(head[1]), "counts": counts.tolist(), "steps": 0}
+        v, av = np.hstack([v, q]), np.hstack([av, av_new])
         small = v.T @ av
         values, turn = np.linalg.eigh((small + small.T) / 2)
         values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
@@ -134,20 +144,18 @@ def leading(z: DataFrame, k: int, tol: float = TOL) -> DataFrame:
     not usable, and which cells were observed.
     """
     spark = z.sparkSession
-    p = k + EXTRA
     buckets = bucketed(z)
-    sums_of = ", ".join(["panel_id string, t int, n double", *[f"y{j} double" for j in range(p)]])
-    added = [F.sum("n").alias("n"), *[F.sum(f"y{j}").alias(f"y{j}") for j in range(p)]]
     state = spark.createDataFrame([], STATE)
     blocks = spark.createDataFrame([], "panel_id string, bucket int, q array<double>")
-    numbers = buckets.groupBy("panel_id").agg(F.max("bucket").alias("_last"))
     first = True
     while True:
-        parts = buckets.groupBy("panel_id", "bucket").cogroup(blocks.groupBy("panel_id", "bucket")).applyInPandas(_parts(p, first), sums_of)
-        sums = parts.groupBy("panel_id", "t").agg(*added)
-        state = cut_lineage(sums.groupBy("panel_id").cogroup(state.groupBy("panel_id")).applyInPandas(_advance(k, p, tol), STATE))
+        parts = buckets.groupBy("panel_id", "bucket").cogroup(blocks.groupBy("panel_id", "bucket")).applyInPandas(_parts(k, first), SUMS)
+        sums = parts.groupBy("panel_id", "t", "j").agg(F.sum("y").alias("y"))
+        state = cut_lineage(sums.groupBy("panel_id").cogroup(state.groupBy("panel_id")).applyInPandas(_advance(k, tol), STATE))
         open_ = state.filter(F.size("q") > 0)
         if open_.isEmpty():
             return state
-        blocks = open_.join(numbers, "panel_id").select("panel_id", "q", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("bucket"))
-        first = False
+        if first:
+            numbers = buckets.select(*[F.col(c).alias(c) for c in ("panel_id", "bucket")]).distinct()
+            first = False
+        blocks = open_.select("panel_id", "q").join(numbers, "panel_id")
