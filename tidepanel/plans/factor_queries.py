@@ -10,9 +10,11 @@ from tidepanel.operators import evaluate, factor, joins, predictive
 from tidepanel.operators.transform import standardize, stationary
 from tidepanel.panel import KEYS, panel_name, with_meta
 from tidepanel.plans.catalog import register
+from tidepanel.plans import factor_sql as S
+from tidepanel.plans.forecast_queries import CORR, PAIRS
+from tidepanel.plans.panel_queries import GAP3, coded_nation, split_nation
 from tidepanel.plans.panel_queries import READY as READY_SQL
-from tidepanel.plans.panel_queries import coded_nation, split_nation
-from tidepanel.plans.panels_sql import HORIZON, query
+from tidepanel.plans.panels_sql import HORIZON, anchors_sql, levels_sql, query, transform_sql
 from tidepanel.sources import tables as T
 
 SPEC = factor.FactorSpec(k=2, min_obs=60, horizon=HORIZON)
@@ -84,34 +86,88 @@ def rolling_windows(spark, d):
     return out.select("series", "origin", "n", rounded(F.col("mu"), 6).alias("mu"), rounded(F.col("sd"), 6).alias("sd"))
 
 
-@register("pca_scores")
+NATION_Z = ("zn", S.standardised("nmx", 60))
+SUPPLIER_Z = (("smx", transform_sql("sm")), ("zs", S.standardised("smx", 60)))
+
+
+@register("pca_scores", query("SELECT t, k, round(f, 6) + 0.0 AS f FROM scores", NATION_Z, *S.scores("zn", 2)))
 def pca_scores(spark, d):
     models = factor.window_models(factor.pack_levels(coded_nation(spark, d)), SPEC)
-    return factor.factor_scores(models)
+    return factor.factor_scores(models).select("t", "k", rounded(F.col("f"), 6).alias("f"))
 
 
-@register("pca_loadings")
+@register("pca_loadings", query("SELECT series, k, round(l, 6) + 0.0 AS l FROM load", *SUPPLIER_Z, *S.scores("zs", 2), S.loadings("zs")))
 def pca_loadings(spark, d):
     packed = factor.pack_levels(coded_supplier(spark, d))
-    return factor.panel_loadings(packed, SPEC, factor.window_models(packed, SPEC))
+    return factor.panel_loadings(packed, SPEC, factor.window_models(packed, SPEC)).select("series", "k", rounded(F.col("l"), 6).alias("l"))
+
+
+def _explained_sql(panel: str, z: str, p: str) -> str:
+    return f"""SELECT '{panel}' AS panel_id, CAST(0 AS INT) AS origin, CAST(2 AS INT) AS k, (SELECT count(DISTINCT series) FROM {z}) AS n_series, (SELECT count(DISTINCT t) FROM {z}) AS n_rows,
+        round(100 * sum(DISTINCT l) / (SELECT sum(z * z) FROM {z}), 7) AS explained_pct, 'ok' AS status FROM {p}scores"""
 
 
-@register("variance_explained")
+@register(
+    "variance_explained",
+    query(_explained_sql("supplier_month", "zs", "s") + " UNION ALL " + _explained_sql("nation_month", "zn", "n"), *SUPPLIER_Z, NATION_Z, *S.scores("zs", 2, "s"), *S.scores("zn", 2, "n")),
+)
 def variance_explained(spark, d):
     packed = factor.pack_levels(coded_supplier(spark, d)).unionByName(factor.pack_levels(coded_nation(spark, d)))
-    return factor.explained_variance(packed, SPEC)
+    return factor.explained_variance(packed, SPEC).withColumn("explained_pct", F.round("explained_pct", 7))
+
+
+HOURLY = factor.FactorSpec(k=1, min_obs=200, horizon=24, freq="hour")
+
+
+@register(
+    "pca_hours",
+    query(
+        "SELECT t, CAST(1 AS INT) AS k, round(f * (SELECT sign(arg_max(f, abs(f))) FROM fh), 6) + 0.0 AS f FROM fh",
+        # five series and 720 hours: the vectors of the series first, periods and series change places
+        ("ehx", "SELECT *, 1 AS tcode, value AS x FROM eh"), ("zh", S.standardised("ehx", 200)), ("zt", "SELECT t AS series, series AS t, z FROM zh"), *S.scores("zt", 1),
+        ("fh", "SELECT zh.t, sum(z * f / sqrt(l)) AS f FROM zh JOIN scores ON scores.t = zh.series GROUP BY zh.t"),
+    ),
+)
+def pca_hours(spark, d):
+    """First factor of the hourly panel, whose calendar has more periods than the panel has series."""
+    models = factor.window_models(factor.pack_levels(T.event_hour(spark, d).withColumn("tcode", F.lit(1))), HOURLY)
+    return factor.factor_scores(models).select("t", "k", rounded(F.col("f"), 6).alias("f"))
+
 
+def _levels_of_fx(source: str) -> str:
+    return f"SELECT f.series, f.h, CAST(l.ds + to_months(f.h) AS DATE) AS ds, f.value FROM ({levels_sql('fx', source + '_anchor')}) f, (SELECT max(ds) AS ds FROM {source}) l"
 
-@register("pca_var_forecast")
+
+SUPPLIERS = (("sm_anchor", anchors_sql("sm")), ("sall", "SELECT DISTINCT series, tcode FROM sm"))
+NATIONS = (("nm_anchor", anchors_sql("nm")), ("nall", "SELECT DISTINCT series, tcode FROM nm"))
+
+
+def _forecast(forecast: DataFrame) -> DataFrame:
+    return forecast.select("series", "h", "ds", F.format_string("%.6e", "value").alias("value"))
+
+
+FORECAST = "SELECT series, h, ds, printf('%.6e', value) AS value FROM lev"
+
+
+@register("pca_var_forecast", query(FORECAST, *SUPPLIER_Z, *S.scores("zs", 2), *S.var1_path(HORIZON), *SUPPLIERS, *S.forecasts("zs", "sall", HORIZON), ("lev", _levels_of_fx("sm"))))
 def pca_var_forecast(spark, d):
-    return factor.forecast_panel(factor.pack_levels(coded_supplier(spark, d)), SPEC)
+    return _forecast(factor.forecast_panel(factor.pack_levels(coded_supplier(spark, d)), SPEC))
 
 
-@register("pca_var_backtest")
+@register(
+    "pca_var_backtest",
+    query(
+        f"""SELECT series, count(*) AS n_obs, printf('%.6e', avg(f - a)) AS me, printf('%.6e', avg(abs(f - a))) AS mae, printf('%.6e', sqrt(avg((f - a) * (f - a)))) AS rmse,
+        round(avg(abs((f - a) / nullif(a, 0)) * 100), 2) + 0.0 AS mape_pct, round({CORR}, 4) + 0.0 AS correlation, CASE WHEN avg(f - a) > 0 THEN 'over' ELSE 'under' END AS bias_direction FROM pairs GROUP BY series""",
+        ("zb", S.standardised("histx", 60)), *S.scores("zb", 2), *S.var1_path(HORIZON), ("hall", "SELECT DISTINCT series, tcode FROM hist"), *S.forecasts("zb", "hall", HORIZON),
+        ("fcb", _levels_of_fx("hist")), ("pairs", PAIRS[1].replace("fc", "fcb")),
+    ),
+)
 def pca_var_backtest(spark, d):
     history, actual = split_nation(spark, d)
     forecast = factor.forecast_panel(factor.pack_levels(history), SPEC)
-    return evaluate.accuracy(joins.match_actuals(forecast.select(*KEYS, "ds", "value"), actual)).drop("panel_id")
+    out = evaluate.accuracy(joins.match_actuals(forecast.select(*KEYS, "ds", "value"), actual)).drop("panel_id")
+    return out.withColumns({c: F.format_string("%.6e", c) for c in ("me", "mae", "rmse")})
 
 
 @register("rolling_h1")
@@ -125,16 +181,25 @@ def rolling_h12(spark, d):
     return factor.rolling_forecast(factor.pack_levels(coded_nation(spark, d)), spec)
 
 
-@register("svd_factor")
+READY_Z = (
+    *READY_SQL,
+    ("filled", f"SELECT series, t, {GAP3} AS v FROM near"),
+    ("carried", """SELECT series, t, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(v IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x, CAST(CAST(series AS INT) % 7 + 1 AS INT) AS tcode FROM filled"""),
+    ("zr", S.standardised("carried", 1)),
+)
+
+
+@register("svd_factor", query(FORECAST, *READY_Z, *S.scores("zr", 3), *S.ar1_path(HORIZON), *SUPPLIERS, *S.forecasts("zr", "sall", HORIZON), ("lev", _levels_of_fx("sm"))))
 def svd_factor(spark, d):
     """SVD factor model with AR(1) factors on the model-ready supplier panel, mean forecast."""
-    return factor.forecast_panel(factor.pack_levels(coded_supplier(spark, d)), READY)
+    return _forecast(factor.forecast_panel(factor.pack_levels(coded_supplier(spark, d)), READY))
 
 
-@register("ssm_fallback")
+@register("ssm_fallback", query(FORECAST, ("zf", S.standardised("nmx", 1)), *S.scores("zf", 3), *S.decay_path(HORIZON, 0.9), *NATIONS, *S.forecasts("zf", "nall", HORIZON), ("lev", _levels_of_fx("nm"))))
 def ssm_fallback(spark, d):
     spec = factor.FactorSpec(k=3, min_obs=1, dynamics="decay", horizon=HORIZON)
-    return factor.forecast_panel(factor.pack_levels(coded_nation(spark, d)), spec)
+    return _forecast(factor.forecast_panel(factor.pack_levels(coded_nation(spark, d)), spec))
 
 
 HORIZONS = [1, 2, 4, 6, 12, 24, 60]
