@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import panelmath as P
 from tidepanel.functions import statespace as S
-from tidepanel.functions.arima import ar_path, css_group
 from tidepanel.operators import bayes, factor, impute, inverse, transform, univariate
 
 
@@ -28,45 +27,107 @@ def columns(x):
 CODES = {f"s{i}": 1 + i % 7 for i in range(9)}
 
 
-def test_ar_least_squares():
+def test_ar_least_squares(make_panel):
     rng = np.random.default_rng(0)
     y = np.zeros(200)
     for i in range(2, 200):
         y[i] = 1 + 0.5 * y[i - 1] - 0.3 * y[i - 2] + rng.normal()
-    order, path, _, status = ar_path(y, 3, 2, 12, 20)
+    packed = univariate.pack(transform.stationary(make_panel({"y": y.tolist(), "same": [3.0] * 40, "short": [1.0, 2.0] * 9})))
+    fits = {r.series: r.fit for r in univariate.fit_ar(packed, 3).collect()}
     x = np.column_stack([np.ones(198), y[1:-1], y[:-2]])
-    b = np.linalg.lstsq(x, y[2:], rcond=None)[0]
+    b, rss = np.linalg.lstsq(x, y[2:], rcond=None)[:2]
     h1 = b @ [1, y[-1], y[-2]]
     h2 = b @ [1, h1, y[-1]]
-    assert status == "ok" and order == "2"
-    assert path[:2] == pytest.approx([h1, h2])
-
-
-def test_css_recovers_parameters_and_beats_neighbours():
+    assert fits["y"].status == "ok" and fits["y"].order == "2"
+    assert fits["y"].path[:2] == pytest.approx([h1, h2])
+    assert fits["y"].aic == pytest.approx(198 * (np.log(rss[0] / 198) + np.log(2 * np.pi) + 1) + 2 * 4)
+    assert fits["same"].status == "fallback" and fits["same"].path == [3.0] * 3
+    assert fits["short"].status == "short" and fits["short"].path == [None] * 3
+
+
+def two_regressions(y, p, q, horizon, skip=None):
+    """Long autoregression, then the value on its lags and those of the innovations, by plain numpy."""
+    n = len(y)
+    m = min(8, n // 4)
+    lagged = lambda a, k: np.concatenate([np.full(k, np.nan), a[: n - k]])
+    x = np.column_stack([np.ones(n)] + [lagged(y, k) for k in range(1, m + 1)])
+    e = np.full(n, np.nan)
+    e[m:] = y[m:] - x[m:] @ np.linalg.lstsq(x[m:], y[m:], rcond=None)[0]
+    x = np.column_stack([np.ones(n)] + [lagged(y, k) for k in range(1, p + 1)] + [lagged(e, k) for k in range(1, q + 1)])
+    first = m + (max(p, q) if skip is None else skip)
+    c = np.linalg.lstsq(x[first:], y[first:], rcond=None)[0]
+    rss, size = ((y[first:] - x[first:] @ c) ** 2).sum(), n - first
+    past, heard = list(y), list(e) + [0.0] * horizon
+    for h in range(horizon):
+        past.append(c[0] + sum(c[k] * past[-k] for k in range(1, p + 1)) + sum(c[p + k] * heard[n + h - k] for k in range(1, q + 1)))
+    return np.array(past[n:]), size * (np.log(rss / size) + np.log(2 * np.pi) + 1) + 2 * (p + q + 2), c
+
+
+def test_arma_by_two_regressions(make_panel):
     rng = np.random.default_rng(1)
-    e = rng.normal(size=3100)
-    y = np.zeros(3100)
-    for i in range(1, 3100):
+    e = rng.normal(size=900)
+    y = np.zeros(900)
+    for i in range(1, 900):
         y[i] = 0.6 * y[i - 1] + e[i] + 0.4 * e[i - 1]
-    y = y[100:] + 4
-    fits = {order: css_group([y], *order, 1)[0] for order in [(1, 0, 1), (1, 0, 0), (0, 0, 1)]}
-    best = min(fits, key=lambda o: fits[o][2])
-    assert best == (1, 0, 1)
-    z = y - 4
-    eps = np.zeros(3000)
-    for i in range(1, 3000):
-        eps[i] = z[i] - 0.6 * z[i - 1] - 0.4 * eps[i - 1]
-    assert fits[(1, 0, 1)][1][0] == pytest.approx(4 + 0.6 * z[-1] + 0.4 * eps[-1], abs=0.15)
+    y = 1e6 + 50 * y
+    packed = univariate.pack(transform.stationary(make_panel({"y": y.tolist(), "z": (y[:40] / 7).tolist()})))
+    grid = {(r.series, r.p, r.q): r for r in univariate.arima_grid(packed, 4).collect()}
+    for p in range(4):
+        for q in range(4):
+            if p + q and ("z", p, q) in grid:
+                for name, v in (("y", y), ("z", y[:40] / 7)):
+                    path, aic, _ = two_regressions(v, p, q, 4, skip=3)
+                    np.testing.assert_allclose(grid[name, p, q].fit.path, path, rtol=1e-8)
+                    assert grid[name, p, q].aic == pytest.approx(aic, rel=1e-7)
+    assert len([k for k in grid if k[0] == "y"]) == 15
+    # a known process is found again
+    _, _, c = two_regressions(y, 1, 1, 1)
+    assert c[1] == pytest.approx(0.6, abs=0.1) and c[2] == pytest.approx(0.4, abs=0.1)
+    assert min((r.aic, k[1:]) for k, r in grid.items() if k[0] == "y")[1] in {(1, 1), (1, 2), (2, 1)}
+    for q in (1, 5):
+        fit = {r.series: r.fit for r in univariate.fit_ma(packed, 4, order=q).collect()}
+        np.testing.assert_allclose(fit["y"].path, two_regressions(y, 0, q, 4)[0], rtol=1e-9)
+        assert fit["y"].order == f"0,0,{q}" and fit["z"].status == "ok"
+
+
+def test_an_explosive_order_is_left_out(make_panel):
+    y = (1.2 ** np.arange(60) + np.random.default_rng(3).normal(size=60)).tolist()
+    packed = univariate.pack(transform.stationary(make_panel({"y": y})))
+    assert (1, 0) not in {(r.p, r.q) for r in univariate.arima_grid(packed, 2).collect()}
+    fit = univariate.fit_arima(packed, 2, order=(1, 0, 0)).first().fit
+    assert fit.status == "fallback" and fit.path == [y[-1]] * 2
 
 
 def test_random_walk_and_fallbacks(make_panel):
     rng = np.random.default_rng(5)
     walk = np.cumsum(rng.normal(size=60))
-    assert css_group([walk], 0, 1, 0, 2)[0][1] == pytest.approx([walk[-1]] * 2)
-    panel = transform.stationary(make_panel({"w": walk.tolist(), "short": [None] * 40 + walk[40:].tolist()}))
+    panel = transform.stationary(make_panel({"w": walk.tolist(), "short": [None] * 40 + walk[40:].tolist(), "same": [2.0] * 60}))
     rows = {r.series: r for r in univariate.fit_arima(univariate.pack(panel), 2, order=(0, 1, 0)).collect()}
     assert rows["w"].fit.path == pytest.approx([walk[-1]] * 2)
     assert rows["short"].fit.status == "short" and rows["short"].fit.path == [None, None]
+    assert rows["same"].fit.path == [2.0, 2.0]
+    means = {r.series: r.fit for r in univariate.fit_ma(univariate.pack(panel), 2).collect()}
+    assert means["same"].path == [2.0, 2.0] and means["same"].status == "fallback"
+
+
+def test_differenced_model(make_panel):
+    """A drift that dies out: the differences are an AR(1) without constant, summed up again once or twice."""
+    rng = np.random.default_rng(6)
+    d = np.zeros(80)
+    for i in range(1, 80):
+        d[i] = 0.7 * d[i - 1] + rng.normal()
+    for times in (1, 2):
+        y = d
+        for _ in range(times):
+            y = np.cumsum(y)
+        x = np.diff(y, n=times)
+        m = min(8, len(x) // 4)
+        a = (x[m:-1] @ x[m + 1 :]) / (x[m:-1] @ x[m:-1])
+        path = x[-1] * a ** np.arange(1, 4)
+        for level in range(times, 0, -1):
+            path = np.diff(y, n=level - 1)[-1] + np.cumsum(path)
+        fit = univariate.fit_arima(univariate.pack(transform.stationary(make_panel({"y": y.tolist()}))), 3, order=(1, times, 0)).first().fit
+        np.testing.assert_allclose(fit.path, path, rtol=1e-8)
 
 
 def test_grid_picks_least_aic(make_panel):

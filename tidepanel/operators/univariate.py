@@ -1,30 +1,24 @@
 """One model per series: correlograms, order rules, AR, MA and ARIMA fleets, naive forecasts.
 
-The correlogram, the AR(1) model and the naive forecasts are plain Spark expressions. Models that need an
-iterative or matrix fit run on one packed row per series (its observations as an array, at most one per
-calendar period), in Arrow batches spread over the cluster; nothing is ever gathered across series.
+Everything is made of Spark expressions: lags by window, sums of products per series, and recursions over the few
+coefficients of a series on small arrays (see ``arma``). Nothing is ever gathered across series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from tidepanel.functions.arima import ar_path, css_paths, partial_autocorrelation, short_lag
 from tidepanel.functions.dates import future
+from tidepanel.functions.normal import bound, dot
+from tidepanel.operators import arma
 from tidepanel.operators.inverse import anchor_aggregates, level_path, to_levels, with_previous_level
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
-from tidepanel.session import spread
 
 MIN_OBS = {"ar": 20, "ma": 20, "arima": 30}
-# The fits below are marked as not deterministic so that the optimizer never copies one into a filter and a
-# projection and pays for it twice; their results do not vary.
-FIT = "order string, path array<double>, aic double, status string"
 
 
 def autocorrelation(panel: DataFrame, x: str = "x", max_lag: int = 12) -> DataFrame:
@@ -47,17 +41,27 @@ def autocorrelation(panel: DataFrame, x: str = "x", max_lag: int = 12) -> DataFr
     return sums.select(*KEYS, "n", F.inline(lags))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _pacf(acf: pd.Series) -> pd.Series:
-    return pd.Series([None if row is None else partial_autocorrelation(row) for row in acf])
+def _partials(rho: Column) -> Column:
+    """Durbin-Levinson recursion on autocorrelations of lag 1, 2, ...: the last coefficient of every step."""
+    none = F.array().cast("array<double>")
+
+    def step(held: Column, k: Column) -> Column:
+        phi, r = held["phi"], F.get(rho, k)
+        below = 1 - dot(phi, rho)
+        above = r - dot(phi, F.reverse(F.slice(rho, 1, k)))
+        new = lambda a: F.struct(F.array_append(F.zip_with(phi, F.reverse(phi), lambda x, y: x - a * y), a).alias("phi"), F.array_append(held["out"], a).alias("out"))
+        return bound(F.try_divide(above, below), new)
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.size(rho) - 1), F.struct(none.alias("phi"), none.alias("out")), step, lambda held: held["out"])
+    return F.when(F.size(rho) > 0, whole)
 
 
 def partial_autocorrelations(acf: DataFrame) -> DataFrame:
     """Partial autocorrelations from ``autocorrelation`` rows (Yule-Walker recursion)."""
     pair = F.struct("lag", "r")
-    packed = acf.groupBy(*KEYS, "n").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    arrays = packed.select(*KEYS, "n", _pacf(F.transform("_pairs", lambda p: p["r"])).alias("_p"))
-    return arrays.select(*KEYS, "n", F.posexplode("_p").alias("_i", "r")).select(*KEYS, "n", (F.col("_i") + 1).alias("lag"), "r")
+    packed = acf.groupBy(*KEYS, "n").agg(F.array_sort(F.collect_list(pair)).alias("_pairs")).withColumn("_r", F.transform("_pairs", lambda p: p["r"]))
+    rows = packed.select(*KEYS, "n", F.posexplode(_partials(F.col("_r"))).alias("_i", "r"))
+    return rows.select(*KEYS, "n", (F.col("_i") + 1).alias("lag"), "r")
 
 
 def choose_order(correlogram: DataFrame, max_lag: int = 12) -> DataFrame:
@@ -125,74 +129,95 @@ def pack(panel: DataFrame, x: str = "x", value: str = "value") -> DataFrame:
     return rows.select(*KEYS, "y", tail(-1).alias("last"), tail(-2).alias("prev"), "tcode", "last_ds")
 
 
-def _ar_fit(horizon: int, lags: int | None, max_lags: int):
-    @F.pandas_udf(FIT)
-    def fit(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ar_path(row, horizon, lags, max_lags, MIN_OBS["ar"]) for row in y], columns=["order", "path", "aic", "status"])
-
-    return fit.asNondeterministic()
-
-
-def _css_fit(horizon: int):
-    @F.pandas_udf(FIT)
-    def fit(y: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
-        return css_paths(list(y), p.to_numpy(), d.to_numpy(), q.to_numpy(), horizon)
+def _mean(y: str = "y") -> Column:
+    return F.try_divide(F.aggregate(y, F.lit(0.0), lambda a, v: a + v), F.size(y))
 
-    return fit.asNondeterministic()
 
+def fit_ar(packed: DataFrame, horizon: int, lags: int | None = None, max_lags: int = 12) -> DataFrame:
+    """AR by least squares with a constant; ``lags=None`` picks the order from the partial autocorrelations.
 
-def _ma_order(max_order: int):
-    @F.pandas_udf("int")
-    def order(y: pd.Series) -> pd.Series:
-        return pd.Series([short_lag(row, max_order, partial=False) for row in y])
-
-    return order.asNondeterministic()
+    A series has at most a third of its length in lags; a failed fit forecasts the mean.
+    """
+    rows = arma.observations(packed)
+    if lags is None:
+        partial = partial_autocorrelations(autocorrelation(rows.withColumn("t", F.col("i")), max_lag=max_lags))
+        chosen = choose_order(partial, max_lags)
+    else:
+        chosen = packed.select(*KEYS, F.size("y").alias("n"), F.lit(lags).alias("order"))
+    p = F.greatest(F.lit(1), F.least("order", F.floor(F.col("n") / 3).cast("int")))
+    sums = arma.lag_moments(rows.join(chosen.select(*KEYS, p.alias("_order")), KEYS), lags or max_lags, "_order")
+    fits = arma.with_model(sums, F.col("_order"), F.lit(0), lags or max_lags, horizon, damped=False)
+    fits = fits.select(*KEYS, _levels(F.col("model"), F.col("_order").cast("string")).alias("_fit"))
+    return _guarded(packed.join(fits, KEYS, "left"), "ar", F.array_repeat(_mean(), horizon))
 
 
-def fit_ar(packed: DataFrame, horizon: int, lags: int | None = None, max_lags: int = 12) -> DataFrame:
-    """AR by least squares with a constant; ``lags=None`` picks the order from the partial autocorrelations."""
-    return spread(packed, *KEYS).withColumn("fit", _ar_fit(horizon, lags, max_lags)(F.col("y")))
+def _levels(model: Column, order: Column) -> Column:
+    """Fit of a scaled model: its path in the units of the series."""
+    path = F.transform(model["path"], lambda v: F.col("mu") + F.col("sd") * v)
+    return F.struct(order.alias("order"), path.alias("path"), model["aic"].alias("aic"), F.when(model.isNotNull(), F.lit("ok")).otherwise(F.lit("failed")).alias("status"))
 
 
 def fit_ma(packed: DataFrame, horizon: int, order: int | None = None, max_order: int = 12) -> DataFrame:
-    """MA with a mean by conditional sum of squares; a failed fit forecasts the mean."""
-    n = F.size("y")
-    chosen = F.lit(order) if order else _ma_order(max_order)(F.col("y"))
-    q = F.greatest(F.lit(1), F.least(chosen, F.floor(n / 4).cast("int")))
-    rows = spread(packed, *KEYS).withColumn("_q", q)
-    fit = _css_fit(horizon)(F.col("y"), F.lit(0), F.lit(0), F.col("_q"))
-    mean = F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / n
-    return _guarded(rows.withColumn("_fit", fit), "ma", F.array_repeat(mean, horizon)).drop("_q")
+    """MA with a constant by two regressions (see ``arma``); a failed fit forecasts the mean.
+
+    Without ``order`` it is chosen from the autocorrelations; a series has at most a quarter of its length.
+    """
+    rows = arma.observations(packed)
+    if order is None:
+        chosen = choose_order(autocorrelation(rows.withColumn("t", F.col("i")), max_lag=max_order), max_order)
+    else:
+        chosen = packed.select(*KEYS, F.size("y").alias("n"), F.lit(order).alias("order"))
+    q = F.greatest(F.lit(1), F.least("order", F.floor(F.col("n") / 4).cast("int")))
+    sums = arma.moments(rows.join(chosen.select(*KEYS, q.alias("_order")), KEYS), 0, order or max_order, "_order")
+    fits = arma.with_model(sums, F.lit(0), F.col("_order"), 0, horizon)
+    fits = fits.select(*KEYS, _levels(F.col("model"), F.concat(F.lit("0,0,"), F.col("_order"))).alias("_fit"))
+    return _guarded(packed.join(fits, KEYS, "left"), "ma", F.array_repeat(_mean(), horizon))
 
 
 def fit_arima(
     packed: DataFrame, horizon: int, order: tuple[int, int, int] | None = None, max_p: int = 3, max_q: int = 3
 ) -> DataFrame:
-    """ARIMA of a given order, or the one of least AIC over all p and q except (0, 0).
+    """ARIMA of a given order, or the one of least AIC over all p and q except (0, 0); a failed fit repeats the last value.
 
-    The grid is a row per series and order, so a fleet of N series is 15 N independent fits.
+    A model of differences has no constant.
     """
-    if order is not None:
+    if order is None:
+        best = arima_grid(packed, horizon, max_p, max_q).groupBy(*KEYS).agg(F.min_by("fit", F.struct("aic", "p", "q")).alias("_fit"))
+    else:
         p, d, q = order
-        rows = spread(packed, *KEYS)
-        fitted = rows.withColumn("_fit", _css_fit(horizon)(F.col("y"), F.lit(p), F.lit(d), F.lit(q)))
-        return _guarded(fitted, "arima", F.array_repeat(F.try_element_at("y", F.lit(-1)), horizon))
-    best = arima_grid(packed, horizon, max_p, max_q).groupBy(*KEYS).agg(
-        F.min_by(F.struct("fit.*"), F.struct("aic", "p", "q")).alias("_fit")
-    )
+        sums = arma.moments(arma.observations(packed, d), p, q, centred=d == 0)
+        fits = arma.with_model(sums, F.lit(p), F.lit(q), p, horizon, const=d == 0)
+        best = _undifferenced(fits.select(*KEYS, _levels(F.col("model"), F.lit(f"{p},{d},{q}")).alias("_fit")), packed, d)
     return _guarded(packed.join(best, KEYS, "left"), "arima", F.array_repeat(F.try_element_at("y", F.lit(-1)), horizon))
 
 
+def _undifferenced(fits: DataFrame, packed: DataFrame, d: int) -> DataFrame:
+    """Paths summed up ``d`` times, each time from the last value of that difference."""
+    if not d:
+        return fits
+    both = fits.join(packed.select(*KEYS, "y"), KEYS)
+    path, differences = F.col("_fit.path"), [F.col("y")]
+    for _ in range(d - 1):
+        y = differences[-1]
+        differences.append(F.zip_with(F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))), F.slice(y, 1, F.greatest(F.size(y) - 1, F.lit(0))), lambda b, a: b - a))
+    for y in reversed(differences):
+        base = F.try_element_at(y, F.lit(-1))
+        path = F.slice(F.aggregate(path, F.array(base), lambda done, v: F.array_append(done, F.element_at(done, -1) + v)), 2, F.size(path))
+    return both.select(*KEYS, F.struct(F.col("_fit.order").alias("order"), path.alias("path"), F.col("_fit.aic").alias("aic"), F.col("_fit.status").alias("status")).alias("_fit"))
+
+
 def arima_grid(packed: DataFrame, horizon: int, max_p: int = 3, max_q: int = 3) -> DataFrame:
-    """AIC and forecast path of every order for every series; failed fits are left out."""
-    orders = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"))
-        for p in range(max_p + 1) for q in range(max_q + 1) if (p, q) != (0, 0)
-    ])
-    long_enough = packed.filter(F.size("y") >= MIN_OBS["arima"])
-    rows = spread(long_enough.select(*KEYS, "y", F.inline(orders)), *KEYS, "p", "q")
-    fits = rows.select(*KEYS, "p", "q", _css_fit(horizon)(F.col("y"), F.col("p"), F.lit(0), F.col("q")).alias("fit"))
-    return fits.filter("fit.status = 'ok'").select(*KEYS, "p", "q", F.col("fit.aic").alias("aic"), "fit")
+    """AIC and forecast path of every order for every series; failed fits are left out.
+
+    All orders come from the same sums of a series, so trying one more neither copies nor reads the series again.
+    """
+    rows = arma.observations(packed.filter(F.size("y") >= MIN_OBS["arima"]))
+    sums = arma.moments(rows, max_p, max_q)
+    orders = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(max_p + 1) for q in range(max_q + 1) if (p, q) != (0, 0)])
+    fits = arma.with_model(sums.select("*", F.inline(orders)), F.col("p"), F.col("q"), max_p, horizon)
+    # a filter on the model would be worked out once more below it
+    found = fits.select(*KEYS, "p", "q", "mu", "sd", F.explode(F.filter(F.array("model"), lambda m: m.isNotNull())).alias("model"))
+    return found.select(*KEYS, "p", "q", F.col("model.aic").alias("aic"), _levels(F.col("model"), F.concat_ws(",", "p", F.lit(0), "q")).alias("fit"))
 
 
 def _guarded(df: DataFrame, model: str, fallback: Column) -> DataFrame:
@@ -221,10 +246,10 @@ def fleet_levels(fitted: DataFrame, model: str, freq: str = "month") -> DataFram
     return rows.select(*KEYS, "model", "order", "status", h.alias("h"), future(F.col("last_ds"), h, freq).alias("ds"), "value")
 
 
-def fleet(packed: DataFrame, horizon: int, models: Sequence[str] = ("ar", "ma", "arima")) -> DataFrame:
-    """Forecasts of several models in one table; the ARIMA orders are chosen by AIC."""
+def fleet(packed: DataFrame, horizon: int, models: Sequence[str] = ("ar", "ma", "arima"), freq: str = "month") -> DataFrame:
+    """Forecasts of several models in one table, dated by ``freq``; the ARIMA orders are chosen by AIC."""
     makers = {"ar": fit_ar, "ma": fit_ma, "arima": fit_arima}
-    tables = [fleet_levels(makers[m](packed, horizon), m) for m in models]
+    tables = [fleet_levels(makers[m](packed, horizon), m, freq) for m in models]
     out = tables[0]
     for other in tables[1:]:
         out = out.unionByName(other)

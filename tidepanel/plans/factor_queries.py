@@ -158,7 +158,7 @@ def pca_var_forecast(spark, d):
     "pca_var_backtest",
     query(
         f"""SELECT series, count(*) AS n_obs, printf('%.6e', avg(f - a)) AS me, printf('%.6e', avg(abs(f - a))) AS mae, printf('%.6e', sqrt(avg((f - a) * (f - a)))) AS rmse,
-        printf('%.6e', round(avg(abs((f - a) / nullif(a, 0)) * 100), 2)) AS mape_pct, round({CORR}, 4) + 0.0 AS correlation, CASE WHEN avg(f - a) > 0 THEN 'over' ELSE 'under' END AS bias_direction FROM pairs GROUP BY series""",
+        printf('%.7e', round(avg(abs((f - a) / nullif(a, 0)) * 100), 2)) AS mape_pct, round({CORR}, 4) + 0.0 AS correlation, CASE WHEN avg(f - a) > 0 THEN 'over' ELSE 'under' END AS bias_direction FROM pairs GROUP BY series""",
         ("zb", S.standardised("histx", 60)), *S.scores("zb", 2), *S.var1_path(HORIZON), ("hall", "SELECT DISTINCT series, tcode FROM hist"), *S.forecasts("zb", "hall", HORIZON),
         ("fcb", _levels_of_fx("hist")), ("pairs", PAIRS[1].replace("fc", "fcb")),
     ),
@@ -167,7 +167,7 @@ def pca_var_backtest(spark, d):
     history, actual = split_nation(spark, d)
     forecast = factor.forecast_panel(factor.pack_levels(history), SPEC)
     out = evaluate.accuracy(joins.match_actuals(forecast.select(*KEYS, "ds", "value"), actual)).drop("panel_id")
-    return out.withColumns({c: F.format_string("%.6e", c) for c in ("me", "mae", "rmse", "mape_pct")})
+    return out.withColumns({c: F.format_string("%.7e" if c == "mape_pct" else "%.6e", c) for c in ("me", "mae", "rmse", "mape_pct")})
 
 
 @register("rolling_h1")

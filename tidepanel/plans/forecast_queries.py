@@ -11,6 +11,7 @@ from tidepanel.functions.scalars import add_suffix, rounded
 from tidepanel.operators import evaluate, joins, select, univariate
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, with_meta
+from tidepanel.plans import arma_sql as A
 from tidepanel.plans.catalog import register
 from tidepanel.plans.panel_queries import coded_nation, split_nation
 from tidepanel.plans.panels_sql import HORIZON, anchors_sql, levels_sql, query, transform_sql
@@ -120,30 +121,53 @@ def ar2_fleet(spark, d):
     return univariate.fleet_levels(fitted, "ar").select("series", "h", rounded(F.col("value"), 1).alias("value"))
 
 
-@register("ar_fleet")
+def _fleet(forecast: DataFrame) -> DataFrame:
+    return forecast.select("series", "h", "ds", F.format_string("%.6e", "value").alias("value"))
+
+
+def _fleet_sql(*tables: tuple[str, str]) -> str:
+    dated = f"SELECT f.series, f.h, CAST(l.ds + to_months(f.h) AS DATE) AS ds, printf('%.6e', f.value) AS value FROM ({levels_sql('flf', 'sa')}) f, (SELECT max(ds) AS ds FROM sm) l"
+    return query(dated, SMX, *tables, ("sa", anchors_sql("sm")))
+
+
+@register("ar_fleet", _fleet_sql(*A.ar("smx", "fl", HORIZON)))
 def ar_fleet(spark, d):
     fitted = univariate.fit_ar(univariate.pack(supplier_x(spark, d)), HORIZON)
-    return univariate.fleet_levels(fitted, "ar")
+    return _fleet(univariate.fleet_levels(fitted, "ar"))
 
 
-@register("ma_fleet")
+@register("ma_fleet", _fleet_sql(*A.ma("smx", "fl", HORIZON)))
 def ma_fleet(spark, d):
     fitted = univariate.fit_ma(univariate.pack(supplier_x(spark, d)), HORIZON)
-    return univariate.fleet_levels(fitted, "ma")
+    return _fleet(univariate.fleet_levels(fitted, "ma"))
 
 
-@register("arima_grid")
+@register("arima_grid", query("SELECT series, CAST(p AS INT) AS p, CAST(q AS INT) AS q, round(aic, 6) + 0.0 AS aic FROM flmodel", SMX, *A.arima("smx", "fl", HORIZON)))
 def arima_grid(spark, d):
     return univariate.arima_grid(univariate.pack(supplier_x(spark, d)), HORIZON).select("series", "p", "q", rounded(F.col("aic"), 6).alias("aic"))
 
 
-@register("fleet_backtest")
+def _backtest_sql() -> str:
+    models = {"ar": A.ar, "ma": A.ma, "arima": A.arima}
+    tables = [t for name, make in models.items() for t in make("histx", name, HORIZON)]
+    levels = " UNION ALL ".join(f"SELECT '{name}' AS model, series, h, value FROM ({levels_sql(name + 'f', 'hist_anchor')})" for name in models)
+    pairs = """SELECT model, b.series, b.value AS f, act.value AS a FROM backlevels b CROSS JOIN (SELECT max(ds) AS last FROM hist)
+        JOIN act ON act.series = b.series AND act.ds = CAST(last + to_months(b.h) AS DATE) WHERE b.value IS NOT NULL AND act.value IS NOT NULL"""
+    return query(
+        f"""SELECT model, series, count(*) AS n_obs, printf('%.5e', avg(f - a)) AS me, printf('%.5e', avg(abs(f - a))) AS mae, printf('%.5e', sqrt(avg((f - a) * (f - a)))) AS rmse,
+        printf('%.7e', round(avg(abs((f - a) / nullif(a, 0)) * 100), 2)) AS mape_pct, round({CORR}, 4) + 0.0 AS correlation, CASE WHEN avg(f - a) > 0 THEN 'over' ELSE 'under' END AS bias_direction
+        FROM backpairs GROUP BY model, series""",
+        *tables, ("backlevels", levels), ("backpairs", pairs),
+    )
+
+
 def fleet_backtest(spark, d):
     """AR, MA and ARIMA forecasts of the held-out year and their errors."""
     history, actual = split_nation(spark, d)
     forecasts = univariate.fleet(univariate.pack(stationary(history)), HORIZON)
     pairs = joins.match_actuals(forecasts.select(*KEYS, "model", "ds", "value"), actual)
-    return evaluate.accuracy(pairs, "model").drop("panel_id")
+    out = evaluate.accuracy(pairs, "model").drop("panel_id")
+    return out.withColumns({c: F.format_string("%.7e" if c == "mape_pct" else "%.5e", c) for c in ("me", "mae", "rmse", "mape_pct")})
 
 
 @register(
@@ -300,6 +324,9 @@ PAIRS = ("pairs", """SELECT fc.series, fc.value AS f, act.value AS a FROM fc JOI
     WHERE fc.value IS NOT NULL AND act.value IS NOT NULL""")
 
 
+register("fleet_backtest", _backtest_sql())(fleet_backtest)
+
+
 @register(
     "accuracy",
     query(
