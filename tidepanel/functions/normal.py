@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 SINGULAR = 1e-9
 
 
-def product_sums(columns: Sequence[Column], prefix: str = "_g") -> list[Column]:
-    """Aggregates: the sums of products of every two columns."""
-    return [F.sum(a * b).alias(f"{prefix}{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+def product_sums(columns: Sequence[str], prefix: str = "_g") -> list[Column]:
+    """Aggregates: the sums of products of every two of the SQL expressions ``columns``."""
+    return [F.expr(f"sum(({a}) * ({b})) AS {prefix}{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
 
 
 def gram(size: int, prefix: str = "_g") -> Column:
     """The symmetric matrix of ``product_sums`` as an array of rows."""
-    cell = lambda i, j: F.col(f"{prefix}{min(i, j)}_{max(i, j)}")
-    return F.array(*[F.array(*[cell(i, j) for j in range(size)]) for i in range(size)])
+    row = lambda i: ", ".join(f"{prefix}{min(i, j)}_{max(i, j)}" for j in range(size))
+    return F.expr("array(" + ", ".join(f"array({row(i)})" for i in range(size)) + ")")
 
 
 def equations(matrix: Column, regressors: Column, target: Column) -> Column:

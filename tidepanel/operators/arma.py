@@ -52,7 +52,7 @@ def scaled_rows(rows: DataFrame, lags: int, centred: bool = True, keep: tuple[st
 
 def _gathered(rows: DataFrame, max_p: int, max_q: int, keep: tuple[str, ...]) -> DataFrame:
     """One row per series with the sums of products and the newest values."""
-    columns = [F.lit(1.0), *[F.col(f"_z{k}") for k in range(1, max_p + 1)], *[F.col(f"_e{k}") for k in range(1, max_q + 1)], F.col("z")]
+    columns = ["1.0D", *[f"_z{k}" for k in range(1, max_p + 1)], *[f"_e{k}" for k in range(1, max_q + 1)], "z"]
     past = F.array("z", *[f"_z{k}" for k in range(1, max_p)])
     heard = F.array("e", *[f"_e{k}" for k in range(1, max_q)]) if max_q else F.array().cast("array<double>")
     one = lambda c: F.first(c).alias(c)
@@ -72,11 +72,11 @@ def innovations(rows: DataFrame, centred: bool = True, keep: tuple[str, ...] = (
     rows have no innovation."""
     m = F.least(F.lit(LONG), F.floor(F.col("n") / 4).cast("int"))
     scaled = scaled_rows(rows, LONG, centred, keep).withColumn("m", m)
-    columns = [F.lit(1.0), *[F.col(f"_z{k}") for k in range(1, LONG + 1)], F.col("z")]
+    columns = ["1.0D", *[f"_z{k}" for k in range(1, LONG + 1)], "z"]
     sums = scaled.filter("_row > m").groupBy(*KEYS).agg(*product_sums(columns), F.first("m").alias("_m"))
     used = F.when(F.col("_m") >= 0, F.sequence(F.lit(0), F.col("_m")))
     coef = sums.select(*KEYS, solve(equations(gram(LONG + 2), used, F.lit(LONG + 1))).alias("_a"))
-    fit = dot(F.col("_a"), F.array(*columns[:-1]))
+    fit = dot(F.col("_a"), F.array(F.lit(1.0), *columns[1:-1]))
     e = F.when((F.col("_row") > F.col("m")) & F.col("_a").isNotNull(), F.col("z") - fit)
     return scaled.join(coef, KEYS).withColumn("e", e).drop("_a")
 

@@ -17,6 +17,7 @@ from tidepanel.operators import arma
 from tidepanel.operators.inverse import anchor_aggregates, level_path, to_levels, with_previous_level
 from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
+from tidepanel.session import cut_lineage, spread
 
 MIN_OBS = {"ar": 20, "ma": 20, "arima": 30}
 
@@ -133,11 +134,23 @@ def _mean(y: str = "y") -> Column:
     return F.try_divide(F.aggregate(y, F.lit(0.0), lambda a, v: a + v), F.size(y))
 
 
+def settled(packed: DataFrame) -> DataFrame:
+    """Packed series, dealt by series and checkpointed: a fit goes through them more than once, and no window of a
+    series deals them again."""
+    return packed if getattr(packed, "_settled", False) else _marked(cut_lineage(spread(packed, *KEYS)))
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    df._settled = True
+    return df
+
+
 def fit_ar(packed: DataFrame, horizon: int, lags: int | None = None, max_lags: int = 12) -> DataFrame:
     """AR by least squares with a constant; ``lags=None`` picks the order from the partial autocorrelations.
 
     A series has at most a third of its length in lags; a failed fit forecasts the mean.
     """
+    packed = settled(packed)
     rows = arma.observations(packed)
     if lags is None:
         partial = partial_autocorrelations(autocorrelation(rows.withColumn("t", F.col("i")), max_lag=max_lags))
@@ -162,6 +175,7 @@ def fit_ma(packed: DataFrame, horizon: int, order: int | None = None, max_order:
 
     Without ``order`` it is chosen from the autocorrelations; a series has at most a quarter of its length.
     """
+    packed = settled(packed)
     rows = arma.observations(packed)
     if order is None:
         chosen = choose_order(autocorrelation(rows.withColumn("t", F.col("i")), max_lag=max_order), max_order)
@@ -181,6 +195,7 @@ def fit_arima(
 
     A model of differences has no constant.
     """
+    packed = settled(packed)
     if order is None:
         best = arima_grid(packed, horizon, max_p, max_q).groupBy(*KEYS).agg(F.min_by("fit", F.struct("aic", "p", "q")).alias("_fit"))
     else:
@@ -211,7 +226,7 @@ def arima_grid(packed: DataFrame, horizon: int, max_p: int = 3, max_q: int = 3)
 
     All orders come from the same sums of a series, so trying one more neither copies nor reads the series again.
     """
-    rows = arma.observations(packed.filter(F.size("y") >= MIN_OBS["arima"]))
+    rows = arma.observations(settled(packed).filter(F.size("y") >= MIN_OBS["arima"]))
     sums = arma.moments(rows, max_p, max_q)
     orders = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(max_p + 1) for q in range(max_q + 1) if (p, q) != (0, 0)])
     fits = arma.with_model(sums.select("*", F.inline(orders)), F.col("p"), F.col("q"), max_p, horizon)
@@ -248,6 +263,7 @@ def fleet_levels(fitted: DataFrame, model: str, freq: str = "month") -> DataFram
 
 def fleet(packed: DataFrame, horizon: int, models: Sequence[str] = ("ar", "ma", "arima"), freq: str = "month") -> DataFrame:
     """Forecasts of several models in one table, dated by ``freq``; the ARIMA orders are chosen by AIC."""
+    packed = settled(packed)
     makers = {"ar": fit_ar, "ma": fit_ma, "arima": fit_arima}
     tables = [fleet_levels(makers[m](packed, horizon), m, freq) for m in models]
     out = tables[0]
