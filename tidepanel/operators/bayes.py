@@ -14,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import statespace as S
-from tidepanel.functions.dates import future_month_start
+from tidepanel.functions.dates import shifted
 from tidepanel.functions.panelmath import as_block, last_two, level_rows, stream
 from tidepanel.operators import factor
 from tidepanel.operators.inverse import level_path
@@ -28,7 +29,7 @@ from tidepanel.session import cut_lineage, spread
 MAX_CELLS = 2_000_000  # panel cells that one task may hold (16 MB of doubles)
 DRAWS_PER_TABLE = 25  # draws of the distributed sampler that are stored together
 
-ROW = "panel_id string, series string, tcode int, first_ds date, n_levels int, z array<double>, mu double, sd double, last double, prev double"
+ROW = "panel_id string, series string, tcode int, first_ds timestamp, n_levels int, z array<double>, mu double, sd double, last double, prev double"
 STATE = ROW + ", chain int, lam array<double>, psi double, theta array<double>"
 DRAWS = "panel_id string, chain int, draw int, param string, series string, i int, k int, value double"
 SUMS = "panel_id string, chain int, size int, k int, idx int, val double"
@@ -54,7 +55,7 @@ def _standardize(spec: factor.FactorSpec):
 
 def standardized(packed: DataFrame, spec: factor.FactorSpec) -> DataFrame:
     """The usable series of a panel, standardised, one row each; missing cells are NULL."""
-    return packed.mapInPandas(_standardize(spec), ROW)
+    return packed.withColumn("first_ds", F.col("first_ds").cast("timestamp")).mapInPandas(_standardize(spec), ROW)
 
 
 def split_by_size(packed: DataFrame, max_cells: int) -> tuple[DataFrame, DataFrame | None]:
@@ -251,6 +252,11 @@ def fit_dfm(packed: DataFrame, spec: factor.FactorSpec, iterations: int = 50, ma
     return fitted.unionByName(state)
 
 
+def period_after(first: Column, periods: Column, freq: str) -> Column:
+    """The period that many after the first one: a date, or for hours a time."""
+    return shifted(first if freq == "hour" else first.cast("date"), periods, freq)
+
+
 def dfm_forecast(packed: DataFrame, spec: factor.FactorSpec, iterations: int = 50, max_cells: int = MAX_CELLS) -> DataFrame:
     """Level forecasts ``(series, h, ds, value)`` of the state-space model."""
     state = fit_dfm(packed, spec, iterations, max_cells)
@@ -263,7 +269,7 @@ def dfm_forecast(packed: DataFrame, spec: factor.FactorSpec, iterations: int = 5
     rows = state.join(paths, ["panel_id", "chain"])
     last, prev = (F.nanvl(c, F.lit(None)) for c in ("last", "prev"))
     levels = rows.select(*KEYS, "first_ds", "n_levels", F.posexplode(level_path(fx, last, prev, F.col("tcode"))).alias("_i", "value"))
-    ds = F.add_months(F.col("first_ds"), F.col("n_levels") + F.col("_i"))
+    ds = period_after(F.col("first_ds"), F.col("n_levels") + F.col("_i"), spec.freq)
     return levels.select(*KEYS, (F.col("_i") + 1).alias("h"), ds.alias("ds"), "value")
 
 
@@ -483,24 +489,65 @@ def next_period(
     return predict(packed, spec, draws, method, 1, sims, seed, keep=keep)
 
 
-def rolling_horizon(packed: DataFrame, spec: factor.FactorSpec, horizon: int, **options) -> DataFrame:
+STEP_ROWS = "panel_id string, series string, mean double, p5 double, p95 double, draws array<double>, status string"
+
+
+def _stored(spark, path: str) -> bool:
+    """Whether a step was written whole; any file system that Spark reaches."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def rolling_horizon(packed: DataFrame, spec: factor.FactorSpec, horizon: int, run_dir: str | None = None, **options) -> DataFrame:
     """Forecast period by period: each step is fitted on the data and the means of the steps before it.
 
-    Returns ``(series, h, ds, mean, p5, p95)`` for every series. Steps depend on each other, so they run one
-    after the other; each step's rows are checkpointed and the next one starts from there.
+    Returns ``(series, h, ds, mean, p5, p95, draws, status)`` for every series. Steps depend on each other, so they run
+    one after the other. A step whose job fails gives rows of NULL with the reason as ``status``, its period stays empty,
+    and the next step goes on; in other steps ``status`` is ``ok``, or ``not usable`` for a series without a forecast.
+
+    With ``run_dir``, a folder that all executors reach, each step is a table in it. A run over the same folder takes
+    the stored steps as they are and goes on behind the last of them, so the folder must belong to one panel, spec and
+    set of options; failed steps are stored too. Without it, steps are checkpointed.
     """
+    spark = packed.sparkSession
+    if options.get("method", "efficient") not in METHODS:
+        raise ValueError(f"unknown method {options['method']!r}")
     history = cut_lineage(packed)
     steps = []
     for h in range(1, horizon + 1):
-        step = next_period(history, spec, **options).select(*KEYS, "mean", "p5", "p95", "draws")
-        grown = history.join(step, KEYS, "left")
-        grown = cut_lineage(grown.withColumn("v", F.concat("v", F.array(F.nanvl("mean", F.lit(None))))))
-        ds = future_month_start(F.add_months("first_ds", F.size("v") - 2), F.lit(1))
-        steps.append(grown.select(*KEYS, F.lit(h).alias("h"), ds.alias("ds"), *[F.nanvl(c, F.lit(None)).alias(c) for c in ("mean", "p5", "p95")], "draws"))
+        path = f"{run_dir.rstrip('/')}/step={h}" if run_dir else None
+        if path and _stored(spark, path):
+            step = spark.read.schema(STEP_ROWS).parquet(path)
+        else:
+            step = _outcome(history, spec, path, options)
+        grown = cut_lineage(history.join(step, KEYS, "left").withColumn("v", F.concat("v", F.array("mean"))))
+        ds = period_after(F.col("first_ds"), F.size("v") - 1, spec.freq)
+        steps.append(grown.select(*KEYS, F.lit(h).alias("h"), ds.alias("ds"), "mean", "p5", "p95", "draws", "status"))
         history = grown.select(*packed.columns)
     return reduce(DataFrame.unionByName, steps)
 
 
+def _outcome(history: DataFrame, spec: factor.FactorSpec, path: str | None, options: dict) -> DataFrame:
+    """Rows of one step, stored; of a failed one, NULL rows with the reason."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        if not path:
+            return cut_lineage(rows)
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(STEP_ROWS).parquet(path)
+
+    names = history.select(*KEYS)
+    empty = [F.lit(None).cast("double").alias(c) for c in ("mean", "p5", "p95")]
+    try:
+        step = next_period(history, spec, **options)
+        values = [F.nanvl(c, F.lit(None)).alias(c) for c in ("mean", "p5", "p95")]
+        rows = names.join(step.select(*KEYS, *values, "draws"), KEYS, "left")
+        return keep(rows.withColumn("status", F.when(F.col("mean").isNull(), "not usable").otherwise("ok")))
+    except PySparkException as exc:
+        reason = str(exc).strip().splitlines()[0][:300]
+        return keep(names.select(*KEYS, *empty, F.lit(None).cast("array<double>").alias("draws"), F.lit(f"failed: {reason}").alias("status")))
+
+
 def packed_gaps(packed: DataFrame, kinds: tuple[str, ...] = ("interior", "trailing")) -> DataFrame:
     """Attach ``gaps``: the missing periods of each series after its first observation, by kind."""
     periods = F.sequence(F.lit(1), F.size("v"))
@@ -544,7 +591,7 @@ def fill_gaps(
     return state.drop("gaps")
 
 
-def unpack_levels(packed: DataFrame, *keep: str) -> DataFrame:
-    """Packed levels back to long rows ``(series, t, ds, value)``, with any further columns named."""
+def unpack_levels(packed: DataFrame, *keep: str, freq: str = "month") -> DataFrame:
+    """Packed levels back to long rows ``(series, t, ds, value)``, dated by ``freq``, with any further columns named."""
     rows = packed.select(*KEYS, "first_ds", *keep, F.posexplode("v").alias("_i", "value"))
-    return rows.select(*KEYS, (F.col("_i") + 1).alias("t"), F.add_months("first_ds", F.col("_i")).alias("ds"), "value", *keep)
+    return rows.select(*KEYS, (F.col("_i") + 1).alias("t"), period_after(F.col("first_ds"), F.col("_i"), freq).alias("ds"), "value", *keep)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalars import rounded
-
 from tidepanel.operators import bayes, factor, impute
 from tidepanel.panel import KEYS, with_meta
 from tidepanel.plans.catalog import register
 from tidepanel.plans.factor_queries import READY, coded_supplier
 from tidepanel.plans.panel_queries import coded_nation
 from tidepanel.plans.panels_sql import HORIZON, query
+from tidepanel.session import cut_lineage
 from tidepanel.sources import tables as T
 
 DFM = factor.FactorSpec(k=2, min_obs=60, order=1, horizon=HORIZON)
@@ -74,6 +77,27 @@ def rolling_bayes(spark, d):
     return bayes.rolling_horizon(factor.pack_levels(coded_supplier(spark, d)), READY, 3, sims=300, seed=7).drop("draws")
 
 
+@register(
+    "rolling_methods",
+    query(
+        """SELECT method, CAST(h AS INT) AS h, CAST(hi + to_months(h) AS DATE) AS ds, status, count(*) AS n_series
+        FROM shares, (SELECT unnest([1, 2]) AS h), (SELECT unnest(['efficient', 'bayesian', 'bayesian-ar']) AS method) GROUP BY ALL""",
+        # every region has a calendar of its own
+        ("spans", "SELECT group_name, min(ds) AS lo, max(ds) AS hi FROM nm_cells JOIN nmeta USING (series) GROUP BY group_name"),
+        ("shares", """SELECT series, hi, CASE WHEN avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) < 0.2 THEN 'ok' ELSE 'not usable' END AS status FROM nmx JOIN nmeta USING (series) JOIN spans USING (group_name)
+            WHERE nmx.ds >= lo + INTERVAL 2 MONTH AND nmx.ds <= hi GROUP BY series, hi"""),
+    ),
+)
+def rolling_methods(spark, d):
+    """Two months ahead by every method: what became of each step. Draws are fewer than the default, the steps are not."""
+    packed = cut_lineage(region_packed(spark, d))
+    runs = [
+        bayes.rolling_horizon(packed, SMALL, 2, method=m, sims=200, seed=7, **({} if m == "efficient" else {"n_samples": 60, "n_tune": 30})).withColumn("method", F.lit(m))
+        for m in bayes.METHODS
+    ]
+    return reduce(DataFrame.unionByName, runs).groupBy("method", "h", "ds", "status").agg(F.count(F.lit(1)).alias("n_series"))
+
+
 @register("fill_gaps")
 def fill_gaps(spark, d):
     """Every interior and trailing gap of the nation panel, filled in time order."""

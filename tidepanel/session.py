@@ -53,9 +53,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of a cluster, once per application; local workers import it as it is."""
+    """Send this package to the Python workers, once per application; local workers too start in any folder."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp(prefix="tidepanel-")) / "tidepanel.zip"
