@@ -103,7 +103,37 @@ def test_intervals_and_runs(spark, make_panel, tmp_path):
     assert sinks.read_draws(spark, runs, 2, 1, "factor").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan
-    assert spark.read.parquet(runs + "/forecasts").filter("run_id = 1").count() == 2
+    assert sinks.read_run_table(spark, runs, "forecasts").filter("run_id = 1").count() == 2
+
+
+def test_a_run_is_visible_as_a_whole_or_not_at_all(spark, make_panel, tmp_path):
+    panel, root = make_panel({"a": [1.0, 2.0]}), str(tmp_path / "runs")
+    table = lambda add: panel.select("panel_id", "series", "ds", (F.col("value") + add).alias("mean"))
+    values = lambda: sorted((r.run_id, r["mean"]) for r in sinks.read_run_table(spark, root, "forecasts").collect())
+    record = lambda i: sinks.run_record(spark, i, method="efficient")
+    broken = table(0).withColumn("mean", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_run(record(1), None, broken, root, 1)
+    assert sinks.committed_runs(spark, root).count() == 0 and sinks.read_run_table(spark, root, "runs").count() == 0
+    sinks.write_run(record(1), None, table(0), root, 1)
+    sinks.write_run(record(2), None, table(10), root, 2)
+    assert values() == [(1, 1.0), (1, 2.0), (2, 11.0), (2, 12.0)]
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_run(record(2), None, broken, root, 2)
+    assert values() == [(1, 1.0), (1, 2.0), (2, 11.0), (2, 12.0)]
+    sinks.write_run(record(2), None, table(20), root, 2)
+    assert values() == [(1, 1.0), (1, 2.0), (2, 21.0), (2, 22.0)] and sinks.read_run_table(spark, root, "runs").count() == 2
+    with pytest.raises(ValueError):
+        sinks.read_run_table(spark, root, "other")
+
+
+def test_appendix_of_either_encoding(spark, tmp_path):
+    folder = tmp_path / "appendix"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("fred,group\nMOODY\u2019S,1\ncaf\u00e9,2\n".encode("cp1252"))
+    (folder / "b.csv").write_bytes("description,group,fred\nx,3,\u20acB\n,y,C\n".encode())
+    got = {(r.series, r.group_id) for r in wide.read_appendix(spark, str(folder), "p").collect()}
+    assert got == {("MOODY\u2019S", 1), ("caf\u00e9", 2), ("\u20acB", 3), ("C", None)}
 
 
 def test_analysis_bundle(spark, make_panel, tmp_path):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +79,67 @@ def run_record(spark, run_id: int, **parameters) -> DataFrame:
     return spark.createDataFrame([tuple(row.values())], list(row)).withColumn("created_at", F.current_timestamp())
 
 
-def write_run(record: DataFrame, draws: DataFrame | None, forecasts: DataFrame, root: str, run_id: int) -> None:
-    """Write a run to the tables ``runs``, ``draws`` and ``forecasts``, each partitioned by run.
+RUN_TABLES = ("runs", "draws", "forecasts")
+
 
-    Other runs stay; writing the same run again replaces it, so a repeated job leaves no second copy.
+def write_run(record: DataFrame, draws: DataFrame | None, forecasts: DataFrame, root: str, run_id: int) -> str:
+    """Write a run to the tables ``runs``, ``draws`` and ``forecasts`` as one transaction; returns the attempt's name.
+
+    Every attempt has files of its own, partitioned by run and attempt, which nobody reads until a manifest of the
+    attempt is renamed into place as the last step. A job that ends before leaves no visible run. Writing a run again
+    makes its newest attempt the visible one; other runs stay.
     """
-    replace = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", *by)
-    replace(record).parquet(f"{root}/runs")
-    if draws is not None:
-        replace(draws.withColumn("run_id", F.lit(run_id)), "horizon_step", "model_step").parquet(f"{root}/draws")
-    replace(forecasts.withColumn("run_id", F.lit(run_id))).parquet(f"{root}/forecasts")
+    attempt = uuid.uuid4().hex
+    tables = {"runs": record, "draws": draws, "forecasts": forecasts}
+    for name, table in tables.items():
+        if table is not None:
+            own = table.withColumn("run_id", F.lit(run_id)).withColumn("attempt", F.lit(attempt))
+            steps = ["horizon_step", "model_step"] if name == "draws" else []
+            own.write.mode("append").partitionBy("run_id", "attempt", *steps).parquet(f"{root}/{name}")
+    _commit(record.sparkSession, root, run_id, attempt)
+    return attempt
+
+
+def _manifest(spark, root: str, name: str = ""):
+    """The file system and path of the manifest folder or of a file in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{name}".rstrip("/"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _commit(spark, root: str, run_id: int, attempt: str) -> None:
+    """One manifest file per committed attempt, written aside and renamed."""
+    files, aside = _manifest(spark, root, f".{attempt}")
+    out = files.create(aside)
+    out.writeBytes(json.dumps({"run_id": run_id, "attempt": attempt, "committed_at": time.time_ns()}) + "\n")
+    out.close()
+    if not files.rename(aside, _manifest(spark, root, f"{run_id}-{attempt}.json")[1]):
+        raise OSError(f"attempt {attempt} of run {run_id} could not be committed")
+
+
+def committed_runs(spark, root: str) -> DataFrame:
+    """``(run_id, attempt)`` of the newest committed attempt of every run; none if nothing was committed."""
+    files, folder = _manifest(spark, root)
+    schema = "run_id int, attempt string, committed_at long"
+    if not files.exists(folder):
+        return spark.createDataFrame([], schema).drop("committed_at")
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{root}/manifest")
+    return rows.groupBy("run_id").agg(F.max_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+
+
+def read_run_table(spark, root: str, name: str, run_id: int | None = None) -> DataFrame:
+    """One of ``RUN_TABLES``, committed runs only, or the one named; run and attempt are partitions."""
+    if name not in RUN_TABLES:
+        raise ValueError(f"unknown table {name!r}")
+    rows, runs = spark.read.parquet(f"{root}/{name}"), committed_runs(spark, root)
+    if run_id is not None:
+        rows, runs = rows.filter(F.col("run_id") == run_id), runs.filter(F.col("run_id") == run_id)
+    return rows.join(runs, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
 def read_draws(spark, root: str, run_id: int, horizon_step: int, model_step: str) -> DataFrame:
-    """Draws of one step of one run; the three keys are partitions, so nothing else is read."""
-    return spark.read.parquet(f"{root}/draws").filter(
-        (F.col("run_id") == run_id) & (F.col("horizon_step") == horizon_step) & (F.col("model_step") == model_step)
-    )
+    """Draws of one step of one committed run; the keys are partitions, so nothing else is read."""
+    draws = read_run_table(spark, root, "draws", run_id)
+    return draws.filter((F.col("horizon_step") == horizon_step) & (F.col("model_step") == model_step))
 
 
 def analysis_bundle(forecast: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:

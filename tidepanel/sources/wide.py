@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,12 +88,31 @@ def read_intervals(spark: SparkSession, root: str, horizon: int, panel_id: str)
     return picked.groupBy(*KEYS, "ds").pivot("measure", ["mean", "p5", "p95"]).agg(F.first("value"))
 
 
-def read_appendix(spark: SparkSession, path: str, panel_id: str, encoding: str = "UTF-8") -> DataFrame:
-    """Series to group map from a CSV with columns ``fred`` and ``group``.
+#: What the bytes 0x80 to 0x9F stand for in windows-1252; five of them stand for nothing.
+_CONTROLS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
 
-    Files that are not UTF-8 are read as ``iso-8859-1``; names and groups are plain ASCII in either.
+
+def read_appendix(spark: SparkSession, path: str, panel_id: str, encoding: str | None = None) -> DataFrame:
+    """Series to group map from CSV files with columns ``fred`` and ``group``.
+
+    Without ``encoding`` a file is UTF-8 if its bytes are valid, and windows-1252 otherwise; files of both kinds may lie
+    in one folder. Only the list of files, and which of them are valid, comes to the driver.
     """
-    raw = spark.read.csv(path, header=True, encoding=encoding)
+    wanted = lambda df: df.select("fred", "group")
+    if encoding:
+        raw = wanted(spark.read.csv(path, header=True, encoding=encoding))
+    else:
+        kinds = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid")).collect()
+        tables = []
+        for valid in (True, False):
+            files = [r["path"] for r in kinds if r["valid"] == valid]
+            if files:
+                rows = wanted(spark.read.csv(files, header=True, encoding="UTF-8" if valid else "ISO-8859-1"))
+                # ISO-8859-1 has control characters where windows-1252 has signs and quotes
+                tables.append(rows if valid else rows.select(*[F.translate(c, "".join(_CONTROLS), "".join(_CONTROLS.values())).alias(c) for c in rows.columns]))
+        if not tables:
+            return spark.createDataFrame([], "panel_id string, series string, group_id int")
+        raw = reduce(DataFrame.unionByName, tables)
     return raw.select(
         panel_name(panel_id, "fred"), F.col("fred").alias("series"), F.col("group").try_cast("int").alias("group_id")
     )
