@@ -39,6 +39,8 @@ APART_WORDS_OUTSIDE = {"header"}
 ROOTS = {"html", "body", "article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</([a-zA-Z][\w:-]*)[^>]*>|<([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Share of the text that could be content from which part of a name does not make an element boilerplate.
+MOST = 2 / 3
 #: Elements nested deeper than this hang on their ancestor at this depth.
 DEEPEST = 150
 #: A wrapper node is template if its text is the same on this share of the pages, of at least so many.
@@ -49,10 +51,12 @@ CONSTANT, PAGES = 0.8, 5
 class Node:
     tag: str
     names: frozenset = frozenset()
+    tokens: frozenset = frozenset()  # whole class names, ids and roles; ``names`` has their parts
     children: list = field(default_factory=list)
     text: str = ""  # of a leaf: its blocks of text
     apart: bool = False
     id: int = -1
+    size: int = 0  # characters of text in it
 
     @property
     def label(self) -> tuple:
@@ -107,25 +111,44 @@ def parse(page: str) -> Node:
             close(SIBLINGS[tag], {"ul", "ol", "dl", "table"})
         flush()
         found = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-        node = Node(tag, frozenset(w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=\d)", found) if w and not w.isdigit()))
+        node = Node(tag, frozenset(w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=\d)", found) if w and not w.isdigit()), frozenset(found.split()))
         stack[-1].children.append(node)
         if len(stack) < DEEPEST:
             stack.append(node)
     flush()
-    _settle(root, False)
+    _measure(root)
+    _settle(root, False, MOST * (root.size - _surely_apart(root)))
     _number(root)
     return root
 
 
-def _settle(node: Node, inside: bool) -> None:
-    """Mark parts that are no content by their names, and make one leaf of each run of like blocks of text."""
+def _measure(node: Node) -> int:
+    node.size = len(node.text) + sum(map(_measure, node.children))
+    return node.size
+
+
+def _surely_apart(node: Node) -> int:
+    """Characters in parts whose element or whole name says that they are no content."""
+    if node.tag not in ROOTS and (node.tag in APART - {"form"} or node.tokens & APART_WORDS):
+        return node.size
+    return sum(map(_surely_apart, node.children))
+
+
+def _settle(node: Node, inside: bool, most: float) -> None:
+    """Mark parts that are no content by their names, and make one leaf of each run of like blocks of text.
+
+    A whole name tells, such as ``sidebar``. Part of a name, as in ``no-sidebar``, or a form does not where the element
+    holds over ``most`` characters, nearly all of what could be content.
+    """
     inside = inside or node.tag in ("article", "main")
     if node.tag not in ROOTS:
-        node.apart = node.tag in APART or bool(node.names & APART_WORDS) or (not inside and (node.tag in APART_OUTSIDE or bool(node.names & APART_WORDS_OUTSIDE)))
+        hinted = node.tag == "form" or bool(node.names & APART_WORDS) or (not inside and bool(node.names & APART_WORDS_OUTSIDE))
+        sure = node.tag in APART - {"form"} or bool(node.tokens & APART_WORDS) or (not inside and (node.tag in APART_OUTSIDE or bool(node.tokens & APART_WORDS_OUTSIDE)))
+        node.apart = sure or (hinted and node.size <= most)
     out: list[Node] = []
     for child in node.children:
         if child.tag != "#text":
-            _settle(child, inside)
+            _settle(child, inside, most)
             if not child.children and not child.text:
                 continue
             if all(c.tag == "#text" for c in child.children) and child.tag not in ROOTS:
