@@ -21,7 +21,7 @@ ROWS = [
     (6, "日本語のテキスト 😀 !!", "ja", None, 3),
     (7, "Der Hund und die Katze gehen über den Berg und sehen das andere Ufer. " * 3, "de", "a", 3),
 ]
-CLASH = ["at", "row", "digest", "id", "ids", "h", "kept", "fp", "score", "lang_pred", "place", "family", "size", "target", "host", "listed", "mask"]
+CLASH = ["at", "row", "digest", "id", "ids", "N_Tokens", "round_trip", "h", "kept", "fp", "score", "lang_pred", "place", "family", "size", "target", "host", "listed", "mask"]
 
 
 @pytest.fixture(scope="module")
@@ -153,7 +153,8 @@ def test_wrapper(spark):
 def test_stage(spark, table, nothing, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     out = stage(spark, table, "")
-    assert set(table.columns) <= set(out.columns) | ({"ids"} if name == "tokens" else set())
+    assert set(table.columns) <= set(out.columns) | ({"ids", "N_Tokens", "round_trip"} if name == "tokens" else set())
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
     rows = out.collect()
     assert name == "mixture" or rows
     assert all(r["at"] == "own at" for r in rows)
