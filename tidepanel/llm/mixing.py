@@ -2,10 +2,12 @@
 
 1. Each source gets its weight's share of all words, at most ``max_epochs`` times its own size; what is above is shared
    again by weight. The level is found in one pass over the sources in the order in which they reach their limit.
-2. The mix has one block for every ``block_words`` words. Blocks go to sources by the highest quotients target / (2k + 1).
+2. The mix is cut into equal blocks, small enough that the least target has many of them: ``block_words`` words at most,
+   one word if need be. Blocks go to sources by the highest quotients target / (2k + 1).
    A source's count cannot leave a small interval around its quota, so only quotients inside it are ranked.
 3. The blocks of a source go to its shards in the same way, by shard size. A source has as many shards as its size
-   asks for, so a source with a third of all words is spread like any other.
+   asks for, so a source with a third of all words is spread like any other. What a shard's blocks have above
+   ``max_epochs`` times its words goes to the source's next shards that have room.
 4. Inside a shard the documents stand in a seeded order, and the shard takes its blocks from a seeded place on, around
    the shard as often as needed. What a document gives is the overlap of its words with that run.
 
@@ -83,6 +85,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     max_epochs: int = 3,
     block_words: int = 64,
+    least_blocks: int = 64,
     shard_words: int = 200_000,
     seed: int = 17,
     text: str = "text",
@@ -109,8 +112,11 @@ def mix(
     sizes = sized.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
     total = F.sum("source_size").over(Window.partitionBy())
-    targets = apportion(targets.withColumn("mix_blocks", F.floor(total / block_words)).withColumn("one", F.lit(1)), ["one"], SOURCE, "target", "mix_blocks", "blocks")
-    targets = targets.select(*SOURCE, "source_size", "target", "blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)).alias("shards"))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    block = F.greatest(F.lit(1).cast("long"), F.least(F.lit(block_words).cast("long"), F.floor(least / least_blocks)))
+    targets = targets.withColumn("block", block).withColumn("mix_blocks", F.floor(total / F.col("block"))).withColumn("one", F.lit(1))
+    targets = apportion(targets, ["one"], SOURCE, "target", "mix_blocks", "blocks")
+    targets = targets.select(*SOURCE, "source_size", "target", "block", "blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words)).alias("shards"))
 
     targets = written(targets, "mix-sources")
     shards_of = targets.select(*SOURCE, "shards")
@@ -120,9 +126,13 @@ def mix(
     shards = placed.groupBy(*shard).agg(F.sum("size").alias("shard_size")).join(targets, SOURCE)
     shards = apportion(shards, SOURCE, ["shard"], "shard_size", "blocks", "quota")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "source_name", F.lit(":"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long")
+    zero = F.lit(0).cast("long")
+    asked, most, whole = F.col("quota") * F.col("block"), F.col("shard_size") * max_epochs, Window.partitionBy(*SOURCE)
+    shards = shards.withColumn("room", F.greatest(zero, most - asked)).withColumn("above", F.sum(F.greatest(zero, asked - most)).over(whole))
+    before = F.coalesce(F.sum("room").over(whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    shards = shards.withColumn("run", F.least(asked, most) + F.least("room", F.greatest(zero, F.col("above") - before)))
     shards = shards.select(
-        *shard, "source_size", "target", "shard_size",
-        F.least(F.col("quota") * block_words, F.col("shard_size") * max_epochs).alias("run"),
+        *shard, "source_size", "target", "shard_size", "run",
         F.when(F.col("shard_size") > 0, start % F.col("shard_size")).otherwise(F.lit(0)).alias("start"),
     )
     order = Window.partitionBy(*shard).orderBy("turn", "id", "size", "body").rowsBetween(Window.unboundedPreceding, 0)
@@ -131,7 +141,6 @@ def mix(
     rest = F.when(F.col("shard_size") > 0, F.col("run") % F.col("shard_size")).otherwise(F.lit(0))
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("run") / F.col("shard_size"))).otherwise(F.lit(0))
     last = F.col("start") + rest
-    zero = F.lit(0).cast("long")
 
     def covered(x: Column) -> Column:
         """Words of the shard's first ``x`` that the last, partial round takes."""

@@ -98,14 +98,20 @@ def _apportioned(parties: str, group: str, names: str, votes: str, seats: str, o
             / sum(weight) OVER (ORDER BY lim / weight, no_source, source_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM ranked
     ), targets AS (
         SELECT one, no_source, source_name, source_size, least(lim, (SELECT l2.lev FROM levels l2 WHERE l2.lev < l2.reach ORDER BY reach, no_source, source_name LIMIT 1) * weight) AS target,
-            floor(total / 64)::BIGINT AS mix_blocks, greatest(1, ceil(source_size / 200000.0::DOUBLE))::BIGINT AS shards FROM levels
-    ), blocks AS {_apportioned("targets", "one", "no_source, source_name", "target", "mix_blocks", "blocks")}, placed AS (
+            total, greatest(1, ceil(source_size / 200000.0::DOUBLE))::BIGINT AS shards FROM levels
+    ), cut AS (
+        SELECT *, greatest(1, least(64, floor(min(target) FILTER (target > 0) OVER () / 64)))::BIGINT AS block FROM targets
+    ), dealing AS (
+        SELECT *, floor(total / block)::BIGINT AS mix_blocks FROM cut
+    ), blocks AS {_apportioned("dealing", "one", "no_source, source_name", "target", "mix_blocks", "blocks")}, placed AS (
         SELECT s.*, ('0x' || substr(mark, 1, 8))::BIGINT % shards AS shard, substr(mark, 9) AS turn FROM sized s JOIN targets USING (no_source, source_name)
     ), cells AS (
-        SELECT no_source, source_name, shard, any_value(b.source_size) AS source_size, any_value(b.target) AS target, any_value(b.blocks) AS blocks, sum(size)::BIGINT AS shard_size
+        SELECT no_source, source_name, shard, any_value(b.source_size) AS source_size, any_value(b.target) AS target, any_value(b.block) AS block, any_value(b.blocks) AS blocks, sum(size)::BIGINT AS shard_size
         FROM placed JOIN blocks b USING (no_source, source_name) GROUP BY ALL
-    ), quotas AS {_apportioned("cells", "no_source, source_name", "shard", "shard_size", "blocks", "quota")}, runs AS (
-        SELECT *, least(quota * 64, shard_size * 3) AS run, ('0x' || substr(md5('17:' || source_name || ':' || shard::VARCHAR), 1, 8))::BIGINT % shard_size AS start FROM quotas WHERE shard_size > 0
+    ), quotas AS {_apportioned("cells", "no_source, source_name", "shard", "shard_size", "blocks", "quota")}, rooms AS (
+        SELECT *, greatest(0, shard_size * 3 - quota * block) AS room, sum(greatest(0, quota * block - shard_size * 3)) OVER (PARTITION BY no_source, source_name) AS above FROM quotas
+    ), runs AS (
+        SELECT *, least(quota * block, shard_size * 3) + least(room, greatest(0, above - coalesce(sum(room) OVER (PARTITION BY no_source, source_name ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS run, ('0x' || substr(md5('17:' || source_name || ':' || shard::VARCHAR), 1, 8))::BIGINT % shard_size AS start FROM rooms WHERE shard_size > 0
     ), ended AS (
         SELECT p.*, sum(size) OVER (PARTITION BY no_source, source_name, shard ORDER BY turn, doc_id, size, body ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM placed p
     ), joined AS (
