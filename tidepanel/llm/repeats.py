@@ -30,8 +30,11 @@ from tidepanel.llm.suffixes import suffix_arrays
 
 LENGTH = 200
 GRAM = 16
-#: Contexts in a lane, and symbols of contexts that a task gathers for its suffix arrays.
+#: Contexts in a lane, and bytes of contexts that a task gathers for its suffix arrays.
 LANE, SYMBOLS = 64, 6_000_000
+#: Bytes of a symbol of the suffix arrays, and whole symbols in every string wherever it is cut.
+WIDE = 8
+CORE = (LENGTH - WIDE + 1) // WIDE
 KEY = ["kid", "body"]
 
 
@@ -69,6 +72,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return of[first], place[first] - starts[of[first]], run, hashes[least[first]], least[first] - place[first]
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def _raw(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column("text").to_pylist()]
 
@@ -100,61 +108,92 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for text, listed in zip(_raw(part), part.column("listed").to_pylist()):
                 out += [(x["h"], x["salt"], x["salts"], x["d"], x["copies"], text[x["first"] : x["first"] + x["number"] + LENGTH - 1], x["anchor"]) for x in listed]
-            yield pa.RecordBatch.from_pylist([dict(zip(CONTEXT.names, r)) for r in out], CONTEXT)
+            yield _batch(out, CONTEXT)
 
 
 CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("d", pa.int64()), ("copies", pa.int64()), ("context", pa.binary()), ("anchor", pa.int32())])
 FOUND = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("number", pa.int32()), ("string", pa.int64()), ("known", pa.bool_())])
 
 
+def _words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts end to end as numbers of ``WIDE`` bytes, one free number behind each; where each context begins in
+    them, and how many zero bytes stand before it. A number begins at every anchor, so equal strings are cut alike."""
+    shift = np.array([-r[6] % WIDE for r in rows], np.int64)
+    size = np.array([len(r[5]) for r in rows], np.int64)
+    count = -(-(shift + size) // WIDE)
+    end = np.cumsum(count + 1)
+    begin = end - count - 1
+    free = end * WIDE - begin * WIDE - shift - size
+    zeros = bytes(2 * WIDE)
+    line = b"".join(x for r, a, b in zip(rows, shift.tolist(), free.tolist()) for x in (zeros[:a], r[5], zeros[:b]))
+    return np.frombuffer(line, np.uint64), begin, shift
+
+
 def lane_repeats(rows: list[tuple]) -> Iterator[tuple]:
     """(h, d, first, number, string, known) of ``rows`` = (h, salt, salts, d, copies, context, anchor) sorted by lane.
 
     Without ``string``: a run of strings of a context that occur again. With it: one string of a lane of a split
     anchor by its digest, to be matched with the anchor's other lanes, so together with the hash of the anchor;
     ``known`` if it occurs again in its own lane.
+
+    The symbols of the suffix array are numbers of ``WIDE`` bytes. Each string has ``CORE`` whole ones, and ``WIDE``
+    bytes around them; strings are equal if their cores are equal neighbours and the bytes around them are equal.
     """
+    words, begin, shift = _words(rows)
+    end = np.append(begin[1:], len(words))
     size = np.array([len(r[5]) for r in rows], np.int64)
-    end = np.cumsum(size + 1)
-    begin = end - size - 1
-    text = np.ones(int(end[-1]), np.int32)
-    raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    inside = np.ones(len(text), bool)
+    inside = np.ones(len(words), bool)
     inside[end - 1] = False
-    text[inside] = raw.astype(np.int32) + 2
+    text = np.ones(len(words), np.int32)
+    text[inside] = np.unique(words[inside], return_inverse=True)[1] + 2
     last = np.array([i + 1 == len(rows) or rows[i + 1][:2] != r[:2] for i, r in enumerate(rows)])
     text[end[last] - 1] = 0
     bounds = np.concatenate([[0], end[last]])
     array = suffix_arrays(text, bounds)
-    context = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)
-    full = array[end[context[array]] - 1 - array >= LENGTH]  # suffixes that begin with a whole string
+    context = np.repeat(np.arange(len(rows), dtype=np.int32), end - begin)
+    full = array[end[context[array]] - 1 - array >= CORE]  # suffixes that begin with a whole core
     lane = np.searchsorted(bounds, full, side="right")
-    packed = np.zeros(len(text) + 8, np.uint8)
-    packed[: len(text)][inside] = raw
-    eight = np.lib.stride_tricks.sliding_window_view(packed, 8).copy().view(np.uint64).ravel()
     left, right = full[:-1], full[1:]
     same = np.flatnonzero(lane[1:] == lane[:-1])
-    for k in range(0, LENGTH - 7, 8):
-        same = same[eight[left[same] + k] == eight[right[same] + k]]
-    tail = LENGTH - 8
-    same = same[eight[left[same] + tail] == eight[right[same] + tail]]
+    for k in range(CORE):
+        same = same[text[left[same] + k] == text[right[same] + k]]
     joined = np.zeros(len(full), bool)
     joined[same + 1] = True
-    kind = np.cumsum(~joined) - 1
-    copies = np.array([r[4] for r in rows], np.int64)[context[full]]
-    again = (np.bincount(kind, copies) > 1)[kind] if len(kind) else np.zeros(0, bool)
-    own = full[again & (copies == 1)]
-    own.sort()
-    if len(own):
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 1) | (np.diff(context[own]) != 0)]))
-        for s, n in zip(own[new].tolist(), np.diff(np.append(new, len(own))).tolist()):
-            r = rows[context[s]]
-            yield r[0], r[3], s - int(begin[context[s]]), n, None, None
-    for s, known in zip(full[~joined].tolist(), again[~joined].tolist()):
-        r = rows[context[s]]
-        if r[2] > 1:
-            at = s - int(begin[context[s]])
-            yield r[0], r[3], at, 1, xxhash.xxh3_64_intdigest(r[5][at : at + LENGTH]) - (1 << 63), known
+    core = np.cumsum(~joined) - 1
+    copies, split = np.array([r[4] for r in rows], np.int64), np.array([r[2] > 1 for r in rows], bool)
+    beside = (np.bincount(core) > 1)[core] if len(core) else joined
+    at = np.flatnonzero(beside | split[context[full]])  # other strings of a whole anchor are alone
+    full, core = full[at], core[at]
+    of = context[full]
+    place = (full - begin[of]) * WIDE - shift[of]
+    found, strings = [], []
+    for before in range(WIDE):
+        first = place - before
+        fits = np.flatnonzero((first >= 0) & (first + LENGTH <= size[of]))
+        head, tail = words[np.maximum(full[fits] - 1, 0)], words[full[fits] + CORE]
+        around = tail << np.uint64(8 * before)
+        if before:
+            around |= head >> np.uint64(64 - 8 * before)
+        by = np.lexsort((around, core[fits]))
+        fits, around = fits[by], around[by]
+        new = np.ones(len(fits), bool)
+        new[1:] = (core[fits][1:] != core[fits][:-1]) | (around[1:] != around[:-1])
+        kind = np.cumsum(new) - 1
+        again = (np.bincount(kind, copies[of[fits]]) > 1)[kind] if len(kind) else new
+        own = fits[again & (copies[of[fits]] == 1)]
+        found.append(np.stack([of[own], place[own] - before]))
+        one = new & split[of[fits]]
+        strings.append((of[fits[one]], place[fits[one]] - before, again[one]))
+    c, first = np.concatenate(found, axis=1)
+    by = np.lexsort((first, c))
+    c, first = c[by], first[by]
+    if len(c):
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 1) | (np.diff(c) != 0)]))
+        for i, s, n in zip(c[new].tolist(), first[new].tolist(), np.diff(np.append(new, len(c))).tolist()):
+            yield rows[i][0], rows[i][3], s, n, None, None
+    for of_, first_, again_ in strings:
+        for i, s, known in zip(of_.tolist(), first_.tolist(), again_.tolist()):
+            yield rows[i][0], rows[i][3], s, 1, xxhash.xxh3_64_intdigest(rows[i][5][s : s + LENGTH]) - (1 << 63), known
 
 
 def possible(lane: list[tuple]) -> list[tuple]:
@@ -185,9 +224,7 @@ def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [possible(lane) if lane[0][2] == 1 else lane for lane in lanes.values()]
         # lanes of like size go through the steps together
         ordered = [r for lane in sorted(rest, key=lambda x: sum(len(r[5]) for r in x)) for r in lane]
-        if not ordered:
-            return pa.RecordBatch.from_pylist([], FOUND)
-        return pa.RecordBatch.from_pylist([dict(zip(FOUND.names, x)) for x in lane_repeats(ordered)], FOUND)
+        return _batch(list(lane_repeats(ordered)) if ordered else [], FOUND)
 
     for batch in batches:
         for r in zip(*(batch.column(n).to_pylist() for n in CONTEXT.names)):
@@ -233,6 +270,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
     counts = keyed.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    counts = written(counts, "repeat-anchors")  # read from a table, so that adaptive execution may split a hot anchor's places
     found = keyed.select(*KEY, "text").mapInArrow(_occurrences, "kid string, body long, first int, number int, h long, d long, anchor int")
     places = written(found.join(counts, "h", "left_semi"), "repeat-places")
     contexts = places.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "number", "anchor")).alias("at"))
