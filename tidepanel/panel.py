@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 KEYS = ["panel_id", "series"]
 
+#: Parts (a power of two) that the series of a panel are dealt into when a number of the whole panel is put beside its rows.
+SHARDS = 4096
+
 STEP = {
     "month": "INTERVAL 1 MONTH",
     "day": "INTERVAL 1 DAY",
@@ -64,6 +67,20 @@ def unique_cells(cells: DataFrame, on_duplicate: str = "error") -> DataFrame:
     )
 
 
+def with_panel_range(rows: DataFrame, of: Column, lo: str, hi: str) -> DataFrame:
+    """Put the least and the greatest ``of`` of the whole panel (nulls aside) beside each of its rows.
+
+    A join on the panel alone would deal a whole panel to one task, and every window by series after it would stay
+    there. Rows meet the range by panel and part of its series instead; a panel has at most ``SHARDS`` parts.
+    """
+    # no remainder: that can be null to the optimizer, whose check would go to one of two scans and make them differ
+    dealt = rows.withColumn("_shard", F.xxhash64("series").bitwiseAND(SHARDS - 1))
+    panel = Window.partitionBy("panel_id")
+    ranges = dealt.groupBy("panel_id", "_shard").agg(F.min(of).alias(lo), F.max(of).alias(hi))
+    ranges = ranges.select("panel_id", "_shard", F.min(lo).over(panel).alias(lo), F.max(hi).over(panel).alias(hi))
+    return dealt.join(ranges, ["panel_id", "_shard"]).drop("_shard")
+
+
 def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
     """Put every series of a panel on the panel's full calendar; absent periods become NULL rows.
 
@@ -74,14 +91,13 @@ def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
     step = F.expr(STEP[freq])
     # The bounds read the whole cell, not only its date: with the same columns on both sides the aggregated cells
     # are shuffled once and reused, and the raw table is scanned once.
-    cell = F.struct("ds", "value")
-    bounds = cells.groupBy("panel_id").agg(F.min(cell)["ds"].alias("lo"), F.max(cell)["ds"].alias("hi"))
+    bounded = with_panel_range(cells, F.struct("ds", "value"), "_lo", "_hi")
+    bounded = bounded.withColumns({"lo": F.col("_lo.ds"), "hi": F.col("_hi.ds")}).drop("_lo", "_hi")
     w = Window.partitionBy(*KEYS).orderBy("ds")
     first = F.row_number().over(w) == 1
     following = F.lead("ds").over(w)
     spans = (
-        cells.join(bounds, "panel_id")
-        .withColumn("from_", F.when(first, F.col("lo")).otherwise(F.col("ds")))
+        bounded.withColumn("from_", F.when(first, F.col("lo")).otherwise(F.col("ds")))
         .withColumn("next_", following)
         .withColumn(
             "periods",
