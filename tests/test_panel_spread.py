@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.operators import impute
 from tidepanel.panel import regularize
 
 
@@ -30,3 +31,14 @@ def test_calendar_of_one_panel_is_spread(spark, no_broadcast):
     assert {(r.panel_id, r.n_periods) for r in grid.select("panel_id", "n_periods").distinct().collect()} == {("p", 30), ("q", 2)}
     most, total = most_in_a_task(grid)
     assert total == 6004 and most < total / 3
+
+
+def test_model_ready_is_spread_and_cuts_the_start_of_its_panel(spark, no_broadcast):
+    # no series of p has a value before t = 5, and only one has it there; panel q has none at all
+    rows = [("p", f"s{i}", t, None if t < 5 or (t == 5 and i) else float(t * (i + 1))) for i in range(200) for t in range(1, 21)]
+    rows += [("q", "a", t, None) for t in range(1, 21)]
+    panel = spark.createDataFrame(rows, "panel_id string, series string, t int, x double").withColumn("ds", F.expr("make_date(2000 + t, 1, 1)"))
+    ready = impute.model_ready(panel, drop_leading=True)
+    assert {tuple(r) for r in ready.groupBy("panel_id").agg(F.min("t"), F.max("t"), F.countDistinct("series")).collect()} == {("p", 5, 20, 200)}
+    most, total = most_in_a_task(ready)
+    assert total == 200 * 16 and most < total / 3

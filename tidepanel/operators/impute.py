@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.transform import standardize
-from tidepanel.panel import KEYS, by_time
+from tidepanel.panel import KEYS, by_time, with_panel_range
 
 
 def _neighbours(panel: DataFrame, value: str) -> DataFrame:
@@ -116,8 +116,8 @@ def model_ready(
     """
     cut = panel.filter("t > 2")
     if drop_leading:
-        start = cut.filter(F.col(x).isNotNull()).groupBy("panel_id").agg(F.min("t").alias("_start"))
-        cut = cut.join(start, "panel_id").filter("t >= _start").drop("_start")
+        seen = F.when(F.col(x).isNotNull(), F.col("t"))
+        cut = with_panel_range(cut, seen, "_start", "_end").filter("t >= _start").drop("_start", "_end")
     missing = F.avg(F.col(x).isNull().cast("double")).over(Window.partitionBy(*KEYS))
     kept = cut.withColumn("_missing", missing).filter(F.col("_missing") < F.lit(1.0) - min_obs_ratio).drop("_missing")
     filled = interpolate_short(kept, x) if rule == "short" else interpolate_first(kept, x)
