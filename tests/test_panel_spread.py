@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import impute
-from tidepanel.panel import regularize
+from tidepanel.panel import by_time, regularize
 
 
 @pytest.fixture()
@@ -42,3 +42,12 @@ def test_model_ready_is_spread_and_cuts_the_start_of_its_panel(spark, no_broadca
     assert {tuple(r) for r in ready.groupBy("panel_id").agg(F.min("t"), F.max("t"), F.countDistinct("series")).collect()} == {("p", 5, 20, 200)}
     most, total = most_in_a_task(ready)
     assert total == 200 * 16 and most < total / 3
+
+
+def test_dealt_series_stay_in_their_tasks_whatever_is_merged(spark):
+    rows = [("p", f"s{i}", datetime.date(2000, 1 + m, 1), float(m)) for i in range(200) for m in (0, 2, 5)]
+    cells = spark.createDataFrame(rows, "panel_id string, series string, ds date, value double")
+    grid = regularize(cells, parts=40).withColumn("before", F.lag("value").over(by_time()))
+    most, total = most_in_a_task(grid)
+    assert total == 200 * 6 and most < total / 8
+    assert grid.exceptAll(regularize(cells).withColumn("before", F.lag("value").over(by_time()))).isEmpty()

@@ -81,18 +81,23 @@ def with_panel_range(rows: DataFrame, of: Column, lo: str, hi: str) -> DataFrame
     return dealt.join(ranges, ["panel_id", "_shard"]).drop("_shard")
 
 
-def regularize(cells: DataFrame, freq: str = "month") -> DataFrame:
+def regularize(cells: DataFrame, freq: str = "month", parts: int | None = None) -> DataFrame:
     """Put every series of a panel on the panel's full calendar; absent periods become NULL rows.
 
     Each observed row emits itself plus the empty periods up to the next one, so no calendar table is
     multiplied with the series list. Only the first row of a series needs the panel's start and only
     the last one its end. ``n_periods`` keeps the length of the calendar at hand on every row.
+
+    With ``parts`` the series are dealt to that many tasks, which adaptive execution does not merge: windows, joins
+    and aggregates by series that follow stay in these tasks, so their memory is that of one part.
     """
     step = F.expr(STEP[freq])
     # The bounds read the whole cell, not only its date: with the same columns on both sides the aggregated cells
     # are shuffled once and reused, and the raw table is scanned once.
     bounded = with_panel_range(cells, F.struct("ds", "value"), "_lo", "_hi")
     bounded = bounded.withColumns({"lo": F.col("_lo.ds"), "hi": F.col("_hi.ds")}).drop("_lo", "_hi")
+    if parts:
+        bounded = bounded.repartition(parts, *KEYS)
     w = Window.partitionBy(*KEYS).orderBy("ds")
     first = F.row_number().over(w) == 1
     following = F.lead("ds").over(w)

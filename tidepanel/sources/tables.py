@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parts(raw: DataFrame) -> int:
+    """Tasks that the series made of a raw table are dealt to: four for each split of the table, so that the share of
+    one does not grow with it, and no fewer than the session's shuffle partitions. Planned only; no job runs."""
+    least = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, 4 * raw.rdd.getNumPartitions())
+
+
 def _cents(c):
     return F.round(c * 100).cast("long")
 
@@ -91,13 +98,13 @@ def region_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue per supplier; the number of series grows with the data."""
     units = _cents(F.col("l_extendedprice")) * (100 - _cents(F.col("l_discount")))
+    lines = table(spark, sf_dir, "lineitem")
     cells = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", _month("l_shipdate").alias("ds"))
+        lines.groupBy("l_suppkey", _month("l_shipdate").alias("ds"))
         .agg((F.sum(units) / 10000).alias("value"))
         .select(panel_name("supplier_month", "l_suppkey"), F.col("l_suppkey").cast("string").alias("series"), "ds", "value")
     )
-    return regularize(cells, "month")
+    return regularize(cells, "month", _parts(lines))
 
 
 def supplier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
