@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import impute
+from tidepanel.operators import arma, impute, univariate
 from tidepanel.panel import by_time, regularize
 
 
@@ -51,3 +51,12 @@ def test_dealt_series_stay_in_their_tasks_whatever_is_merged(spark):
     most, total = most_in_a_task(grid)
     assert total == 200 * 6 and most < total / 8
     assert grid.exceptAll(regularize(cells).withColumn("before", F.lag("value").over(by_time()))).isEmpty()
+
+
+def test_fleet_windows_stay_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(univariate, "CELLS", 100)
+    rows = [("p", f"s{i}", [float(k * i % 7) for k in range(40)]) for i in range(100)]
+    packed = univariate.settled(spark.createDataFrame(rows, "panel_id string, series string, y array<double>"))
+    lagged = arma.scaled_rows(arma.observations(packed), 2)
+    most, total = most_in_a_task(lagged)
+    assert total == 4000 and most < total / 8

@@ -6,6 +6,7 @@ coefficients of a series on small arrays (see ``arma``). Nothing is ever gathere
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,9 @@ from tidepanel.operators.transform import stationary
 from tidepanel.panel import KEYS, by_time
 from tidepanel.session import cut_lineage, spread
 
+#: Values of the series that a task of a fleet fits.
+CELLS = 200_000
+
 MIN_OBS = {"ar": 20, "ma": 20, "arima": 30}
 
 
@@ -135,9 +139,18 @@ def _mean(y: str = "y") -> Column:
 
 
 def settled(packed: DataFrame) -> DataFrame:
-    """Packed series, dealt by series and checkpointed: a fit goes through them more than once, and no window of a
-    series deals them again."""
-    return packed if getattr(packed, "_settled", False) else _marked(cut_lineage(spread(packed, *KEYS)))
+    """Packed series, checkpointed and dealt by series: a fit goes through them more than once, and no window of a
+    series deals them again.
+
+    A checkpoint forgets how its rows were dealt, so they are dealt behind it, still packed, to tasks of about
+    ``CELLS`` values; adaptive execution does not merge these.
+    """
+    if getattr(packed, "_settled", False):
+        return packed
+    kept = cut_lineage(spread(packed, *KEYS))
+    cells = kept.agg(F.sum(F.size("y"))).first()[0] or 0
+    parts = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells / CELLS))
+    return _marked(kept.repartition(parts, *KEYS))
 
 
 def _marked(df: DataFrame) -> DataFrame:
