@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import arma, impute, univariate
 from tidepanel.panel import by_time, regularize
+from tidepanel.sources import tables
 
 
 @pytest.fixture()
@@ -60,3 +61,28 @@ def test_fleet_windows_stay_in_many_tasks(spark, monkeypatch):
     lagged = arma.scaled_rows(arma.observations(packed), 2)
     most, total = most_in_a_task(lagged)
     assert total == 4000 and most < total / 8
+
+
+def test_supplier_lines_are_dealt_by_cell_before_they_are_summed(spark, tmp_path):
+    """No task that reads lines sums them: its sums would be all cells of its split."""
+    rows = [(i % 50, datetime.datetime(1995, 1 + i % 7 // 2, 1 + i % 28), 100.0 + i, 0.05 * (i % 3)) for i in range(2000)]
+    rows += [(None, datetime.datetime(1995, 2, 3), 7.0, 0.0), (3, datetime.datetime(1995, 2, 3), None, 0.0)]
+    made = spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_discount double")
+    for name, kind in (c.split() for c in tables.SCHEMAS["lineitem"].split(", ")):
+        if name not in made.columns:
+            made = made.withColumn(name, F.lit(None).cast(kind))
+    made.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    panel = tables.supplier_month(spark, str(tmp_path))
+    plan = panel._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(plan) if "Scan parquet" in line]
+    assert scans
+    for i in scans:
+        last = max(k for k in range(i) if "Exchange" in plan[k])
+        assert "hashpartitioning(l_suppkey" in plan[last] and not any("Aggregate" in line for line in plan[last:i])
+    sums = {}
+    for key, day, price, discount in rows:
+        if key is not None and day is not None and price is not None:
+            at = str(key), day.date().replace(day=1)
+            sums[at] = sums.get(at, 0) + round(price * 100) * (100 - round(discount * 100))
+    got = {(r.series, r.ds): r.value for r in panel.filter("value is not null and series is not null").collect()}
+    assert got == {at: v / 10000 for at, v in sums.items()}

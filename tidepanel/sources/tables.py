@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows dealt to no more tasks than this are written straight to the file of each; beyond it (Spark's
+#: ``spark.shuffle.sort.bypassMergeThreshold``) a task holds all rows of its split until it has sorted them.
+DIRECT = 200
+
+
 def _parts(raw: DataFrame) -> int:
     """Tasks that the series made of a raw table are dealt to: four for each split of the table, so that the share of
     one does not grow with it, and no fewer than the session's shuffle partitions. Planned only; no job runs."""
@@ -96,15 +101,22 @@ def region_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly revenue per supplier; the number of series grows with the data."""
+    """Monthly revenue per supplier; the number of series grows with the data.
+
+    A split of the lines can have as many cells as lines, so lines are not summed where they are read: a sum there
+    would hold all cells of a split. They are dealt by cell first, and a task holds the cells of its own part only.
+    """
     units = _cents(F.col("l_extendedprice")) * (100 - _cents(F.col("l_discount")))
     lines = table(spark, sf_dir, "lineitem")
+    parts = _parts(lines)
+    dealt = lines.select("l_suppkey", _month("l_shipdate").alias("ds"), units.alias("units"))
     cells = (
-        lines.groupBy("l_suppkey", _month("l_shipdate").alias("ds"))
-        .agg((F.sum(units) / 10000).alias("value"))
+        dealt.repartition(min(parts, DIRECT), "l_suppkey", "ds")
+        .groupBy("l_suppkey", "ds")
+        .agg((F.sum("units") / 10000).alias("value"))
         .select(panel_name("supplier_month", "l_suppkey"), F.col("l_suppkey").cast("string").alias("series"), "ds", "value")
     )
-    return regularize(cells, "month", _parts(lines))
+    return regularize(cells, "month", parts)
 
 
 def supplier_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
