@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +24,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from tidepanel.llm.common import slices, with_fields
 
+#: What a task does with its batches, and the column that this appends.
+Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], StructField]
+
 NO_RANK = np.int32(2**31 - 1)
 WIDEST = 256
-#: Distinct chunks that a worker remembers; it forgets all of them when there are more.
+#: Distinct chunks that a task remembers; it forgets all of them when there are more.
 REMEMBERED = 600_000
 #: Chunks of a text: a run without white space and the one space before it, or white space. The split patterns of
 #: byte-level vocabularies never look past a chunk, so a chunk's pieces depend on the chunk alone.
@@ -101,9 +104,9 @@ class Tokenizer:
         self.token_len = np.array([len(t) for t in by_rank], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(by_rank), np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
@@ -181,7 +184,7 @@ class Tokenizer:
         cut = [[t] if UNCLEAR(t) else CHUNK(t) for t in texts]
         chunks = [c for s in cut for c in s]
         if len(self.index) > REMEMBERED:
-            self._forget()
+            self.forget()
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
         if new:
             split = [self.split(c) for c in new]
@@ -215,25 +218,24 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), values], [*keep, name])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Append ``out``, the token ids of the whole ``text`` as array<int>; no special tokens.
-
-    A null or empty text has no ids. Rows and all other columns stay as they are; a column already named ``out`` is
-    replaced. ``path`` is a rank file that every executor can open.
-    """
+def encoding(path: str, pattern: str, text: str = "text", out: str = "ids") -> Step:
+    """The step of ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
-            for part in slices(batch, text):
-                offsets, ids = bpe.encode([t or "" for t in part.column(text).to_pylist()])
-                yield _with(part, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    offsets, ids = bpe.encode([t or "" for t in part.column(text).to_pylist()])
+                    yield _with(part, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+        finally:
+            bpe.forget()  # the worker lives on, idle or in other stages
 
-    return df.mapInArrow(run, with_fields(df.schema, StructField(out, ArrayType(IntegerType()))))
+    return run, StructField(out, ArrayType(IntegerType()))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append ``out``, the bytes that ``ids`` stand for; null or no ids give no bytes."""
+def decoding(path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> Step:
+    """The step of ``decode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -247,4 +249,36 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 values = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
                 yield _with(part, out, values)
 
-    return df.mapInArrow(run, with_fields(df.schema, StructField(out, BinaryType())))
+    return run, StructField(out, BinaryType())
+
+
+def steps(df: DataFrame, *made: Step) -> DataFrame:
+    """Append the columns of all steps, in their order, in one pass.
+
+    A slice goes from step to step inside its Python worker. Steps applied one by one hold a worker each in every task,
+    and whole batches of all columns between them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, _ in made:
+            batches = step(batches)
+        return batches
+
+    schema = df.schema
+    for _, field in made:
+        schema = with_fields(schema, field)
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Append ``out``, the token ids of the whole ``text`` as array<int>; no special tokens.
+
+    A null or empty text has no ids. Rows and all other columns stay as they are; a column already named ``out`` is
+    replaced. ``path`` is a rank file that every executor can open.
+    """
+    return steps(df, encoding(path, pattern, text, out))
+
+
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Append ``out``, the bytes that ``ids`` stand for; null or no ids give no bytes."""
+    return steps(df, decoding(path, pattern, ids, out))
