@@ -29,7 +29,7 @@ from tidepanel.llm.common import Runs, slices, written
 from tidepanel.llm.suffixes import suffix_arrays
 
 LENGTH = 200
-GRAM = 16
+GRAM = 64
 #: Contexts in a lane, and bytes of contexts that a task gathers for its suffix arrays.
 LANE, SYMBOLS = 64, 6_000_000
 #: Bytes of a symbol of the suffix arrays, and whole symbols in every string wherever it is cut.
@@ -270,11 +270,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"),
     )
     counts = keyed.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    counts = written(counts, "repeat-anchors")  # read from a table, so that adaptive execution may split a hot anchor's places
+    counts = written(counts, "repeat-anchors", tidy=True)  # read from a table, so that adaptive execution may split a hot anchor's places
     found = keyed.select(*KEY, "text").mapInArrow(_occurrences, "kid string, body long, first int, number int, h long, d long, anchor int")
-    places = written(found.join(counts, "h", "left_semi"), "repeat-places")
+    places = written(found.join(counts, "h", "left_semi"), "repeat-places", tidy=True)
     contexts = places.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "number", "anchor")).alias("at"))
-    contexts = written(contexts, "repeat-contexts")
+    contexts = written(contexts, "repeat-contexts", tidy=True)
     lanes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")  # one context: only copies
     lanes = lanes.select("h", F.ceil(F.col("contexts") / LANE).cast("int").alias("salts"))
     dealt = contexts.join(lanes, "h").withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts")).cast("int"))
@@ -282,10 +282,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         F.collect_list(F.struct("h", "salt", "salts", "d", "copies", F.col("at.first").alias("first"), F.col("at.number").alias("number"), F.col("at.anchor").alias("anchor"))).alias("listed")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = written(listed, "repeat-lists", tidy=True)
     texts = keyed.select(*KEY, "text").join(listed, KEY).select("text", "listed")
     strings = texts.mapInArrow(_contexts, "h long, salt int, salts int, d long, copies long, context binary, anchor int")
     strings = strings.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "d")
-    seen = written(strings.mapInArrow(_lanes, "h long, d long, first int, number int, string long, known boolean"), "repeat-runs")
+    seen = written(strings.mapInArrow(_lanes, "h long, d long, first int, number int, string long, known boolean"), "repeat-runs", tidy=True)
     runs = seen.filter("string is null").select("h", "d", "first", "number")
     shared = seen.filter("string is not null").groupBy("h", "string").agg(F.count(F.lit(1)).alias("lanes")).filter("lanes > 1").drop("lanes")
     across = seen.filter("string is not null and not known").join(shared, ["h", "string"], "left_semi").select("h", "d", "first", "number")
@@ -293,6 +294,8 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     alone = once.join(runs.unionByName(across), ["h", "d"]).select(*KEY, (F.col("base") + F.col("first")).alias("first"), "number")
     copied = places.join(contexts.filter("copies > 1").select("h", "d"), ["h", "d"], "left_semi").select(*KEY, "first", "number")
     spans = alone.unionByName(copied).groupBy(*KEY).agg(F.collect_set(F.struct("first", "number")).alias("listed"))
-    whole = keyed.join(spans, KEY, "left").select("row", "text", "listed")
+    spans = written(spans, "repeat-spans", tidy=True)
+    whole = keyed.drop("text").join(spans, KEY, "left")  # the text is shuffled in its row only
+    whole = whole.select("row", F.coalesce(F.col("row")[text], F.lit("")).alias("text"), "listed")
     schema = f"row {whole.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
     return whole.mapInArrow(_cut, schema)
